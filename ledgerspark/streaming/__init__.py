@@ -1,0 +1 @@
+"""Intentionally empty: every operator in scope is a batch job (full reload, incremental keyed caches)."""
