@@ -85,3 +85,55 @@ def enrichment_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CACHE_TIME).cast("timestamp").alias("created_at"),
     )
     return frame.select(*ENRICHMENT_CACHE.fieldNames())
+
+
+# Query texts; the last one is too short to be searched. Each takes the vector of the same number.
+QUERIES = [
+    (0, "building construction"),
+    (1, "  Streaming "),
+    (2, "household club"),
+    (3, "travel motors and anomaly"),
+    (4, "the Professional Services of machines"),
+    (5, "ab"),
+]
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ", ".join(f"({number}L, '{query}')" for number, query in QUERIES)
+    queries = spark.sql(f"select * from values {texts} as t(query_id, query_text)")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return queries.join(vectors, on="query_id", how="left")
+
+
+def transaction_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every transaction: customers share the given vectors in turn."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    number = vectors.agg(F.count("*").alias("n")).scalar()
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("transaction_id"),
+        "o_orderpriority",
+        F.pmod("o_custkey", number).alias("vec_id"),
+    )
+    return orders.join(vectors, on="vec_id").drop("vec_id")
+
+
+def profile_cache(fact: DataFrame) -> DataFrame:
+    """Cached profiles of the mapped merchants."""
+    mapped = fact.filter("merchant_group <> 'Unmapped'").groupBy("normalized_merchant").agg(
+        F.min("merchant_group").alias("merchant_group"), F.min("final_category").alias("final_category")
+    )
+    return mapped.select(
+        "normalized_merchant",
+        "merchant_group",
+        "final_category",
+        F.concat(F.lit("Known for "), "merchant_group").alias("merchant_summary"),
+        F.array(F.lit("shopping"), F.lower("final_category")).alias("semantic_tags"),
+        F.lit("").alias("reasoning"),
+        F.lit(MODEL).alias("model"),
+        F.lit(CACHE_TIME).cast("timestamp").alias("created_at"),
+    )
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """Stand-in for an embedding model: text length and vowel counts."""
+    return [[float(len(text)), *[float(text.count(vowel)) for vowel in "aeiou"]] for text in texts]
