@@ -53,6 +53,12 @@ def delta_columns(current: Column, comparison: Column) -> dict[str, Column]:
     }
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round half away from zero on the scaled double, so that 0.285 * 100 counts as the 28.499... it is."""
+    scale = F.lit(10.0**digits)
+    return F.round(value.cast("double") * scale) / scale
+
+
 def magnitude_bucket(value: Column) -> Column:
     """Monotone bucket number from a value's order of magnitude and three leading digits.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ledgerspark import constants as K
+from ledgerspark.functions.amounts import rounded
 
 
 def accepted(confidence: Column, suggestion: Column) -> Column:
@@ -84,4 +85,4 @@ def review_priority(source: Column, occurrences: Column, spend: Column) -> Colum
     weight = F.when(source == K.SOURCE_FALLBACK, 100).when(source == K.SOURCE_ENRICHED, 10).otherwise(0)
     frequency = F.least(occurrences, F.lit(25)) * 3
     size = F.least(spend.cast("double") / 100, F.lit(25.0))
-    return F.round(weight + frequency + size, 2)
+    return rounded(weight + frequency + size, 2)

@@ -126,12 +126,12 @@ normalized as (
   from resolved
 ),
 merchant_stats as (
-  select normalized_merchant, avg(amount_abs::double) as merchant_avg_amount,
+  select normalized_merchant, avg(amount_abs) as merchant_avg_amount,
          stddev_samp(amount_abs::double) as merchant_std_amount
   from normalized group by normalized_merchant
 ),
 category_stats as (
-  select final_category, avg(amount_abs::double) as category_avg_amount,
+  select final_category, avg(amount_abs) as category_avg_amount,
          stddev_samp(amount_abs::double) as category_std_amount
   from normalized group by final_category
 ),
@@ -156,7 +156,7 @@ recurrence as (
   from (
     select normalized_merchant, final_category, count(*) as transaction_count,
            min(transaction_date) as first_seen, max(transaction_date) as last_seen,
-           avg(amount_abs::double) as avg_amount, stddev_samp(amount_abs::double) as amount_stddev,
+           avg(amount_abs) as avg_amount, stddev_samp(amount_abs::double) as amount_stddev,
            avg(days_since_last_transaction_at_merchant) as avg_days_between_transactions
     from gaps where is_debit group by all)
 ),
@@ -189,7 +189,7 @@ recurring_mart as (
 ),
 monthly as (
   select month, final_category, sum(amount_abs) as total_spend, count(*) as transaction_count,
-         avg(amount_abs::double) as avg_transaction_amount
+         avg(amount_abs) as avg_transaction_amount
   from debits group by all
 ),
 monthly_spend as (
@@ -208,7 +208,7 @@ month_merchants as (
 ),
 month_totals as (
   select month, sum(amount_abs) as total_spend, count(*) as transaction_count,
-         avg(amount_abs::double) as avg_transaction_amount, median(amount_abs::double) as median_transaction_amount,
+         avg(amount_abs) as avg_transaction_amount, median(amount_abs::double) as median_transaction_amount,
          coalesce(sum(amount_abs) filter (is_recurring), 0) as recurring_spend,
          count(*) filter (is_anomaly) as anomaly_count,
          coalesce(sum(amount_abs) filter (is_anomaly), 0) as anomaly_spend
@@ -246,9 +246,9 @@ category_metrics as (
          case when prior_month_spend >= 50
               then latest_month_spend::double / prior_month_spend::double - 1 end as latest_mom_change_pct
   from (select final_category, sum(amount_abs) as total_spend, count(*) as transaction_count,
-               avg(amount_abs::double) as avg_transaction_amount, max(amount_abs) as largest_transaction_amount
+               avg(amount_abs) as avg_transaction_amount, max(amount_abs) as largest_transaction_amount
         from debits group by final_category) b
-  join (select final_category, avg(spend::double) as monthly_avg_spend, stddev_samp(spend::double) as deviation
+  join (select final_category, avg(spend) as monthly_avg_spend, stddev_samp(spend::double) as deviation
         from category_months group by final_category) using (final_category)
   join category_leaders using (final_category) join category_movement using (final_category)
 ),
@@ -262,7 +262,7 @@ spend_totals as (
   select coalesce(sum(amount_abs) filter (is_debit), 0) as total_spend,
          coalesce(sum(amount_abs) filter (is_credit), 0) as credit_amount,
          count(*) as transaction_count, count(*) filter (is_debit) as debit_transaction_count,
-         avg(amount_abs::double) filter (is_debit) as avg_transaction_amount,
+         avg(amount_abs) filter (is_debit) as avg_transaction_amount,
          median(amount_abs::double) filter (is_debit) as median_transaction_amount,
          (select arg_min(final_category, (-spend, final_category)) from category_spend) as top_category,
          coalesce((select max(spend) from category_spend), 0) as top_category_spend,
@@ -303,7 +303,7 @@ review as (
     select raw_description, normalized_merchant, merchant_group, merchant_source, category_source, raw_category,
            final_category, count(*) as transaction_count,
            coalesce(sum(amount_abs) filter (is_debit), 0) as total_spend,
-           round(avg(amount_abs::double) filter (is_debit), 2) as avg_debit_amount,
+           round(avg(amount_abs) filter (is_debit), 2) as avg_debit_amount,
            min(transaction_date) as first_seen, max(transaction_date) as last_seen,
            count(*) filter (is_anomaly) as anomaly_count, bool_or(is_recurring) as has_recurring_flag
     from fact group by all)
@@ -333,7 +333,7 @@ period_categories as (
 ),
 period_wide as (
   select period_name, sum(amount_abs)::double as total_spend, count(*)::double as debit_transaction_count,
-         avg(amount_abs::double) as avg_transaction_amount, median(amount_abs::double) as median_transaction_amount,
+         avg(amount_abs) as avg_transaction_amount, median(amount_abs::double) as median_transaction_amount,
          (select max(spend)::double from period_categories c where c.period_name = d.period_name) as top_category_spend,
          (select max(spend)::double from period_merchants m where m.period_name = d.period_name) as top_merchant_spend,
          (select sum(spend)::double from period_merchants m where m.period_name = d.period_name and place <= 5)
@@ -343,7 +343,7 @@ period_wide as (
          coalesce(sum(amount_abs) filter (merchant_source = 'fallback'), 0)::double as fallback_spend,
          coalesce(sum(amount_abs) filter (merchant_source = 'cohere_cache'), 0)::double as cohere_spend,
          coalesce(sum(amount_abs) filter (merchant_source = 'seed_rule'), 0)::double as seed_rule_spend,
-         stddev_samp(amount_abs::double) / nullif(avg(amount_abs::double), 0) as transaction_amount_volatility
+         stddev_samp(amount_abs::double) / nullif(avg(amount_abs), 0) as transaction_amount_volatility
   from period_debits d group by period_name
 ),
 period_metrics as (

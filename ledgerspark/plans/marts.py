@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions import rules
-from ledgerspark.functions.amounts import delta_columns, guarded_change_pct, guarded_ratio, month_bucket
+from ledgerspark.functions.amounts import delta_columns, guarded_change_pct, guarded_ratio, month_bucket, rounded
 from ledgerspark.operators.aggregates import (
     deviation,
     exact_median,
@@ -278,7 +278,7 @@ def mart_merchant_review(fact: DataFrame) -> DataFrame:
     grouped = fact.groupBy(*REVIEW_KEYS).agg(
         F.count(COUNT).alias("transaction_count"),
         total("amount_abs", debit).alias("total_spend"),
-        F.round(mean(F.when(debit, F.col("amount_abs"))), 2).alias("avg_debit_amount"),
+        rounded(mean(F.when(debit, F.col("amount_abs"))), 2).alias("avg_debit_amount"),
         F.min("transaction_date").alias("first_seen"),
         F.max("transaction_date").alias("last_seen"),
         F.count_if("is_anomaly").alias("anomaly_count"),

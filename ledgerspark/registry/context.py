@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerspark import testbed
 from ledgerspark.constants import REQUIRED_COLUMNS
+from ledgerspark.functions.amounts import rounded
 from ledgerspark.plans.marts import mart_merchant_review, mart_recurring_spend
 from ledgerspark.plans.daily import mart_daily_metric_values
 from ledgerspark.plans.pipeline import Layers, build_layers
@@ -114,7 +115,7 @@ def present(df: DataFrame) -> DataFrame:
         column = F.col(f"`{field.name}`")
         kind = field.dataType
         if isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
-            column = F.round(column.cast("double"), 6)
+            column = rounded(column, 6)
         elif isinstance(kind, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

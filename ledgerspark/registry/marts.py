@@ -66,10 +66,12 @@ def summary(c: Context):
     return narrative.summary_record(selection(c), daily_selection(c), START, END)
 
 
-SELECTED = f"""
+def selected(last_day: str) -> str:
+    """The selection, its changes, and as anchor the given last day."""
+    return f"""
 chosen as (select * from fact where transaction_date between '{START}' and '{END}'),
 chosen_debits as (select * from chosen where is_debit),
-anchor as (select max(transaction_date) as day from chosen_debits),
+anchor as ({last_day}),
 sided as (
   select *, transaction_date > day - 30 as is_current, transaction_date between day - 59 and day - 30 as is_prior
   from chosen_debits, anchor
@@ -92,9 +94,10 @@ category_moves as (
         from sided where is_current or is_prior group by 1)
 )
 """
-CHOSEN = ALL_MARTS + "," + SELECTED
-CHOSEN_DAILY = WITH_DAILY + "," + SELECTED.rstrip() + f""",
+CHOSEN = ALL_MARTS + "," + selected("select max(transaction_date) as day from chosen_debits")
+CHOSEN_DAILY = WITH_DAILY + f""",
 chosen_rolling as (select * from rolling where metric_date between '{START}' and '{END}'),
+""" + selected("select max(metric_date) as day from chosen_rolling").rstrip() + """,
 rollup_lines as (
   select metric_key, metric_name, metric_group, unit, coalesce(sum(metric_value_l30d), 0) as metric_value_l30d,
          coalesce(sum(metric_value_prior_l30d), 0) as metric_value_prior_l30d
@@ -174,7 +177,7 @@ figures as (
          coalesce(sum(amount_abs) filter (is_credit), 0) as selected_credit_amount,
          count(*) as selected_transaction_count, count(*) filter (is_debit) as selected_debit_count,
          count(*) filter (is_credit) as selected_credit_count,
-         avg(amount_abs::double) filter (is_debit) as selected_avg_debit,
+         avg(amount_abs) filter (is_debit) as selected_avg_debit,
          coalesce(sum(amount_abs) filter (is_debit and is_recurring), 0) as selected_recurring_spend,
          coalesce(sum(amount_abs) filter (is_debit and is_anomaly), 0) as selected_anomaly_spend,
          count(*) filter (is_debit and is_anomaly) as selected_anomaly_count,
@@ -336,7 +339,7 @@ from (select metric_date, metric_key, metric_name, metric_group, unit, count(*)
         lambda c: slices.kpi_row(selection(c)),
         CHOSEN + "select " + out("""n:spend=coalesce(sum(amount_abs) filter (is_debit), 0)
 n:credits=coalesce(sum(amount_abs) filter (is_credit), 0);i:anomaly_count=count(*) filter (is_anomaly)
-i:transaction_count=count(*);n:avg_debit=avg(amount_abs::double) filter (is_debit)
+i:transaction_count=count(*);n:avg_debit=avg(amount_abs) filter (is_debit)
 n:recurring_total=coalesce(sum(amount_abs) filter (is_debit and is_recurring), 0)
 s:top_category=(select arg_min(final_category, (-s, final_category)) from (select final_category, sum(amount_abs) as s from chosen_debits group by 1))
 n:top_category_spend=(select max(s) from (select sum(amount_abs) as s from chosen_debits group by final_category))""")
@@ -416,7 +419,7 @@ n:selected_fallback_share=a3::double / spend::double;n:selected_cohere_share=a4:
 n:selected_seed_rule_share=a5::double / spend::double""") + """ from (select
   coalesce(sum(amount_abs) filter (is_debit), 0) as spend, sum(amount_abs) filter (is_credit) as credit,
   count(*) as n, count(*) filter (is_debit) as debits, count(*) filter (is_credit) as credits,
-  avg(amount_abs::double) filter (is_debit) as mean, count(*) filter (is_debit and is_anomaly) as anomalies,
+  avg(amount_abs) filter (is_debit) as mean, count(*) filter (is_debit and is_anomaly) as anomalies,
   coalesce(sum(amount_abs) filter (is_debit and is_recurring), 0) as a1,
   coalesce(sum(amount_abs) filter (is_debit and is_anomaly), 0) as a2,
   coalesce(sum(amount_abs) filter (is_debit and merchant_source = 'fallback'), 0) as a3,

@@ -363,7 +363,7 @@ ENTRIES = {
     "global_aggregate": (
         global_aggregate,
         LAYERS + "select " + out("n:total_spend=coalesce(sum(amount_abs), 0);i:transaction_count=count(*);"
-                                 "n:avg_amount=avg(amount_abs::double);n:median_amount=median(amount_abs::double)")
+                                 "n:avg_amount=avg(amount_abs);n:median_amount=median(amount_abs::double)")
         + " from debits",
     ),
     "group_aggregate": (
@@ -371,14 +371,14 @@ ENTRIES = {
         LAYERS + "select " + out("s:normalized_merchant;s:final_category;i:transaction_count;n:total_spend=amount;"
                                  "n:avg_amount;d:first_seen;d:last_seen")
         + " from (select normalized_merchant, final_category, count(*) as transaction_count, sum(amount_abs) as amount, "
-        "avg(amount_abs::double) as avg_amount, min(transaction_date) as first_seen, max(transaction_date) as last_seen "
+        "avg(amount_abs) as avg_amount, min(transaction_date) as first_seen, max(transaction_date) as last_seen "
         "from debits group by all)",
     ),
     "conditional_aggregate": (
         conditional_aggregate,
         LAYERS + "select final_category, " + ", ".join(
             out(f"n:{name}_sum=coalesce(sum(amount_abs) filter ({test}), 0);i:{name}_count=count(*) filter ({test});"
-                f"n:{name}_avg=avg(amount_abs::double) filter ({test})")
+                f"n:{name}_avg=avg(amount_abs) filter ({test})")
             for name, test in (("debit", "is_debit"), ("anomaly", "is_anomaly"),
                                ("fallback", "merchant_source = 'fallback'"))
         ) + " from fact group by final_category",
@@ -401,11 +401,11 @@ ENTRIES = {
     "coefficient_of_variation": (
         lambda c: agg.coefficient_of_variation(c.fact, [MERCHANT], AMOUNT),
         LAYERS + "select " + out("s:normalized_merchant;n:volatility=stddev_samp(amount_abs::double) / "
-                                 "nullif(avg(amount_abs::double), 0)") + " from fact group by normalized_merchant",
+                                 "nullif(avg(amount_abs), 0)") + " from fact group by normalized_merchant",
     ),
     "two_level_aggregate": (
         lambda c: agg.two_level_aggregate(monthly_debits(c), [CATEGORY, "month"], [CATEGORY], AMOUNT),
-        ALL_MARTS + "select " + out("s:final_category;n:mean_of_sums=avg(spend::double);"
+        ALL_MARTS + "select " + out("s:final_category;n:mean_of_sums=avg(spend);"
                                     "n:stddev_of_sums=stddev_samp(spend::double)")
         + " from category_months group by final_category",
     ),
