@@ -55,22 +55,20 @@ def expanded_terms(query: Column, synonyms: Column | None = None) -> Column:
 
 
 def lexical_score(query: Column, terms: Column, document: Column) -> Column:
-    """Score of one document for one query: whole-query hit, token hits, substring hits."""
-    return lexical_score_prepared(
-        F.lower(strip(query)), terms, F.lower(F.coalesce(document, F.lit(""))), tokenize(document)
-    )
-
-
-def lexical_score_prepared(cleaned: Column, terms: Column, lowered: Column, tokens: Column) -> Column:
-    """``lexical_score`` on a document that was lowered and tokenised once for all queries."""
+    """Score of one document for one query: 3 where the text holds the whole query, 1 per term that is a token,
+    half for a term that is only part of one, 1.5 for a phrase."""
+    cleaned, lowered = F.lower(strip(query)), F.lower(F.coalesce(document, F.lit("")))
+    tokens = tokenize(document)
 
-    def weight(term: Column) -> Column:
-        inside = F.contains(lowered, term)
-        single = F.when(F.array_contains(tokens, term), 1.0).when(inside, 0.5).otherwise(0.0)
-        return F.when(F.contains(term, F.lit(" ")), F.when(inside, 1.5).otherwise(0.0)).otherwise(single)
+    def inside(term: Column, score: float) -> Column:
+        return F.when(F.contains(lowered, term), score).otherwise(0.0)
 
+    words = F.filter(terms, lambda t: ~F.contains(t, F.lit(" ")))
+    phrases = F.filter(terms, lambda t: F.contains(t, F.lit(" ")))
+    hits = F.size(F.array_intersect(words, tokens)).cast("double")
     whole = F.when((F.length(cleaned) > 0) & F.contains(lowered, cleaned), 3.0).otherwise(0.0)
-    return F.aggregate(terms, whole, lambda total, term: total + weight(term))
+    partial = F.aggregate(F.array_except(words, tokens), hits, lambda total, t: total + inside(t, 0.5))
+    return F.aggregate(phrases, whole + partial, lambda total, t: total + inside(t, 1.5))
 
 
 # --- display formats ---------------------------------------------------------------------------------------

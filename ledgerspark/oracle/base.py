@@ -114,7 +114,7 @@ resolved as (
 ),
 normalized as (
   select transaction_id, transaction_date, post_date, raw_description, clean_description, raw_category,
-         transaction_type, amount, amount_abs, is_debit, is_credit,
+         transaction_type, amount, amount_abs, is_debit, is_credit, source_row_number,
          coalesce(rule_merchant, if(trusted, suggested_merchant, null), raw_description) as normalized_merchant,
          coalesce(rule_group, if(trusted, suggested_merchant_group, null), 'Unmapped') as merchant_group,
          rule_category, if(trusted, suggested_category, null) as ai_category,
@@ -137,7 +137,7 @@ category_stats as (
 ),
 features as (
   select n.*, merchant_avg_amount, merchant_std_amount, category_avg_amount, category_std_amount,
-         lag(transaction_date) over (partition by n.normalized_merchant order by transaction_date, transaction_id)
+         lag(transaction_date) over (partition by n.normalized_merchant order by transaction_date, source_row_number)
            as previous_merchant_transaction_date,
          (amount_abs::double - merchant_avg_amount) / nullif(merchant_std_amount, 0) as zscore_vs_merchant,
          (amount_abs::double - category_avg_amount) / nullif(category_std_amount, 0) as zscore_vs_category

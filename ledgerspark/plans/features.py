@@ -46,9 +46,10 @@ def transaction_features(normalized: DataFrame) -> DataFrame:
 
     The transactions move once, by (merchant, day). Everything a merchant contributes is first aggregated to
     one row per merchant and day, so neither a hot merchant nor one of few categories becomes a single task.
+    Transactions of one day follow each other in file order.
     """
     enriched = with_final_category(normalized)
-    merchant, day, tie = "normalized_merchant", "transaction_date", "transaction_id"
+    merchant, day, tie = "normalized_merchant", "transaction_date", "source_row_number"
     by_merchant = group_stats(enriched, merchant, "amount_abs", "merchant")
     by_category = group_stats(enriched, "final_category", "amount_abs", "category")
     per_day = null_safe_left_join(previous_dates(enriched, merchant, day, tie), by_merchant, [merchant])

@@ -5,26 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerspark import constants as K
 from ledgerspark.functions.text import (
     expanded_terms,
-    lexical_score_prepared,
     profile_text,
     search_text,
     strip,
     synonym_map,
-    tokenize,
-)
-from ledgerspark.functions.vectors import (
-    confidence_label,
-    cosine_prepared,
-    hybrid_score,
-    is_confident,
-    norm,
 )
+from ledgerspark.functions.vectors import confidence_label, is_confident
 from ledgerspark.operators.caches import cache_upsert, stale_cache_split
 from ledgerspark.operators.joins import lookup_map_join
 from ledgerspark.operators.ordering import top_k_limit
@@ -43,8 +39,8 @@ DOCUMENT_COLUMNS = [
     "is_anomaly",
 ]
 
-# Queries of one batch travel as a single array value beside the documents.
-INLINE_QUERIES = 256
+# Queries scored in one pass over the documents; more are scored in several passes.
+QUERY_BATCH = 64
 
 
 def profile_lookup(profiles: DataFrame, model: str | None = None) -> DataFrame:
@@ -120,33 +116,9 @@ def expand_query(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", expanded_terms(F.col("query_text"), synonym_map()))
 
 
-def prepare_documents(docs: DataFrame, text: str = "search_text") -> DataFrame:
-    """Per-document work of all queries done once: lowered text, its distinct tokens, vector length."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumns(
-        {
-            "__lowered": lowered,
-            "__tokens": F.array_distinct(tokenize(F.col(text))),
-            "__norm": norm(F.col("embedding")),
-        }
-    )
-
-
-def _query_array(queries: DataFrame) -> Column:
-    ready = expand_query(query_guard(queries)).select(
-        "query_id",
-        "query_text",
-        "terms",
-        F.lower("query_text").alias("cleaned"),
-        F.col("embedding").alias("vector"),
-        norm(F.col("embedding")).alias("length"),
-    )
-    return ready.agg(F.array_sort(F.collect_list(F.struct(*ready.columns))).alias("queries")).scalar()
-
-
 def query_batches(queries: DataFrame) -> list[DataFrame]:
-    """The queries in batches small enough to travel as one value; one batch for any interactive use."""
-    batches = -(-queries.count() // INLINE_QUERIES)
+    """The queries in batches of bounded size; a single batch for any interactive use."""
+    batches = -(-queries.count() // QUERY_BATCH)
     if batches <= 1:
         return [queries]
     place = F.ntile(batches).over(Window.orderBy("query_id"))
@@ -154,24 +126,98 @@ def query_batches(queries: DataFrame) -> list[DataFrame]:
     return [numbered.filter(F.col("__batch") == number).drop("__batch") for number in range(1, batches + 1)]
 
 
-def score_documents(queries: DataFrame, docs: DataFrame, text: str = "search_text") -> DataFrame:
-    """Every document's scores for every query of one batch.
+def lexical_scores(queries: list[Row]) -> Column:
+    """A document's lexical score for each query of a batch, as an array.
 
-    The batch travels as one value of bounded size, and the documents are read once, where they lie, for all
-    of its queries.
+    Expects ``__lowered``, the lowered text, and ``__words``, its tokens each between blanks. The terms are known
+    when the plan is made, so every test is a plain text search that compiles into the scan's loop; a term that
+    several queries share is tested once.
     """
-    asked = prepare_documents(docs, text).withColumn("__query", F.explode(_query_array(queries)))
-    query = F.col("__query")
-    semantic = cosine_prepared(F.col("embedding"), F.col("__norm"), query["vector"], query["length"])
-    lexical = lexical_score_prepared(query["cleaned"], query["terms"], F.col("__lowered"), F.col("__tokens"))
-    scored = asked.select(
-        query["query_id"].alias("query_id"),
-        query["query_text"].alias("query_text"),
-        *[name for name in docs.columns if name != "embedding"],
-        semantic.alias("semantic_score"),
-        lexical.alias("lexical_score"),
-    )
-    return scored.withColumn("hybrid_score", hybrid_score(F.col("semantic_score"), F.col("lexical_score")))
+    lowered, words = F.col("__lowered"), F.col("__words")
+
+    def weight(term: str) -> Column:
+        inside = lowered.contains(term)
+        if " " in term:
+            return F.when(inside, 1.5).otherwise(0.0)
+        return F.when(words.contains(f" {term} "), 1.0).when(inside, 0.5).otherwise(0.0)
+
+    def score(row: Row) -> Column:
+        whole = F.when(lowered.contains(row["query_text"].lower()), 3.0).otherwise(0.0)
+        return reduce(Column.__add__, [weight(term) for term in row["terms"]], whole)
+
+    return F.array(*[score(row) for row in queries])
+
+
+def cosine_matrix(vectors: pa.Array, queries: list[np.ndarray]) -> np.ndarray:
+    """Cosine of each vector with each query; 0 for a missing or zero vector. Unequal lengths meet over the
+    shorter one, as in ``cosine_similarity``."""
+    scores = np.zeros((len(vectors), len(queries)))
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    lengths_of_queries = [np.sqrt((query * query).sum()) for query in queries]
+    for length in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == length)
+        flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        matrix = np.nan_to_num(flat.astype(np.float64)).reshape(-1, length)
+        norms = np.sqrt((matrix * matrix).sum(axis=1))
+        for place, query in enumerate(queries):
+            width = min(length, len(query))
+            # A sum per row, not a matrix product: equal vectors then score equally to the last bit.
+            products = (matrix[:, :width] * query[:width]).sum(axis=1)
+            scale = norms * lengths_of_queries[place]
+            scores[rows, place] = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
+    return scores
+
+
+def batch_leaders(queries: list[Row], k: int | None, schema: pa.Schema):
+    """Task function: scores record batches and keeps what can still be among the ``k`` best of a query.
+
+    Rows that tie with the ``k``-th best of a batch are kept too, so nothing is lost before the final ranking.
+    ``k=None`` keeps every pair.
+    """
+    vectors = [np.nan_to_num(np.asarray(row["embedding"] or [], dtype=np.float64)) for row in queries]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            semantic = cosine_matrix(batch.column("embedding"), vectors)
+            lexical = batch.column("__lexical").flatten().to_numpy(zero_copy_only=False).reshape(semantic.shape)
+            hybrid = semantic + lexical * K.LEXICAL_WEIGHT
+            for place, query in enumerate(queries):
+                rows = np.arange(batch.num_rows)
+                if k is not None and batch.num_rows > k:
+                    floor = np.partition(hybrid[:, place], -k)[-k]
+                    rows = np.flatnonzero(hybrid[:, place] >= floor)
+                kept = batch.drop_columns(["embedding", "__lexical"]).take(pa.array(rows))
+                constants = [pa.repeat(pa.scalar(query[name], schema.field(name).type), len(rows))
+                             for name in ("query_id", "query_text")]
+                scores = [pa.array(values[rows, place]) for values in (semantic, lexical, hybrid)]
+                yield pa.RecordBatch.from_arrays([*constants, *kept.columns, *scores], schema=schema)
+
+    return run
+
+
+def score_documents(
+    queries: DataFrame, docs: DataFrame, text: str = "search_text", leaders: int | None = None
+) -> DataFrame:
+    """Documents with their semantic, lexical and hybrid score for every query of one batch.
+
+    The documents are read once, where they lie, for the whole batch; lexical scores are computed in the JVM
+    and cosines on Arrow batches. The queries are few and bounded, so they go to the tasks with the plan. With
+    ``leaders`` only rows that can be among that many best leave a task, unsorted.
+    """
+    asked = expand_query(query_guard(queries)).select("query_id", "query_text", "terms", "embedding").collect()
+    names = [name for name in docs.columns if name != "embedding"]
+    shape = docs.select(F.lit(None).cast("long").alias("query_id"), F.lit("").alias("query_text"), *names).schema
+    for score in ("semantic_score", "lexical_score", "hybrid_score"):
+        shape = shape.add(score, "double")
+    if not asked:
+        return docs.sparkSession.createDataFrame([], shape)
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    words = F.concat(F.lit(" "), F.regexp_replace("__lowered", "[^a-z0-9]+", " "), F.lit(" "))
+    prepared = docs.withColumn("__lowered", lowered).withColumn("__words", words)
+    scored = prepared.select(*names, "embedding", lexical_scores(asked).alias("__lexical"))
+    return scored.mapInArrow(batch_leaders(asked, leaders, to_arrow_schema(shape)), shape)
 
 
 def hybrid_search(
@@ -183,24 +229,14 @@ def hybrid_search(
     document_id: str = "transaction_id",
     recency: str = "transaction_date",
 ) -> DataFrame:
-    """Best candidates per query by hybrid score, then semantic score, then newest, with their 0-based place.
-
-    The rank limit is applied inside each task before the shuffle, so only the leaders of a task travel.
-    """
+    """Best candidates per query by hybrid score, then semantic score, then newest, with their 0-based place."""
     k = max(result_limit, candidate_count)
-    found = [
-        _best_candidates(batch, docs, k, text, document_id, recency) for batch in query_batches(queries)
-    ]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _best_candidates(
-    queries: DataFrame, docs: DataFrame, k: int, text: str, document_id: str, recency: str
-) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(
         F.desc("hybrid_score"), F.desc("semantic_score"), F.desc_nulls_last(recency), F.asc(document_id)
     )
-    scored = score_documents(queries, docs, text)
+    scored = reduce(
+        DataFrame.unionByName, [score_documents(batch, docs, text, leaders=k) for batch in query_batches(queries)]
+    )
     ranked = scored.withColumn("candidate_index", F.row_number().over(order)).filter(F.col("candidate_index") <= k)
     return ranked.withColumn("candidate_index", F.col("candidate_index") - 1)
 

@@ -73,21 +73,22 @@ class Context:
     def profiles(self) -> DataFrame:
         return testbed.profile_cache(self.fact)
 
-    @property
+    @cached_property
     def documents(self) -> DataFrame:
-        return build_search_documents(self.fact, profile_lookup(self.profiles, testbed.MODEL))
+        return stored(build_search_documents(self.fact, profile_lookup(self.profiles, testbed.MODEL)), "documents")
 
-    @property
+    @cached_property
     def embedding_cache(self) -> DataFrame:
-        """Vectors of all transactions under the current texts."""
+        """Vectors of all transactions under the current texts, as the stored cache table they are."""
         vectors = testbed.transaction_vectors(self.spark, self.dir).drop("o_orderpriority")
-        return self.documents.select("transaction_id", "search_text").join(vectors, "transaction_id").select(
+        cache = self.documents.select("transaction_id", "search_text").join(vectors, "transaction_id").select(
             "transaction_id",
             F.lit(testbed.EMBED_MODEL).alias("embedding_model"),
             "search_text",
             "embedding",
             F.lit(testbed.CACHE_TIME).cast("timestamp").alias("created_at"),
         )
+        return stored(cache, "embedding-cache")
 
     @property
     def queries(self) -> DataFrame:

@@ -314,7 +314,7 @@ def validated(c: Context):
 
 
 def _profile_replies(c: Context):
-    """One batched reply per merchant group, holding a profile for each of its merchants and a stranger."""
+    """A batched reply for every merchant: its profile, and one of a stranger nobody asked for."""
     merchants = c.fact.groupBy("normalized_merchant").agg(F.min("final_category").alias("final_category"))
     item = F.struct(
         "normalized_merchant",
@@ -326,11 +326,12 @@ def _profile_replies(c: Context):
         F.lit("Nobody").alias("normalized_merchant"), F.lit("").alias("merchant_summary"),
         F.array(F.lit("bar")).alias("semantic_tags"), F.lit("").alias("reasoning"),
     )
-    replies = merchants.groupBy(F.xxhash64("normalized_merchant").bitwiseAND(F.lit(63)).alias("reply_id")).agg(
-        F.collect_list(item).alias("profiles")
+    body = F.to_json(F.struct(F.array(item, stranger).alias("profiles")))
+    return merchants.select(
+        "normalized_merchant",
+        F.xxhash64("normalized_merchant").alias("reply_id"),
+        F.concat(F.lit("Here: "), body).alias("reply"),
     )
-    body = F.to_json(F.struct(F.concat("profiles", F.array(stranger)).alias("profiles")))
-    return replies.select("reply_id", F.concat(F.lit("Here: "), body).alias("reply"))
 
 
 def profile_matches(c: Context):

@@ -194,8 +194,8 @@ def partition_stats(c: Context):
 
 
 def lag_dates(c: Context):
-    rows = c.layers.normalized.select(ID, MERCHANT, DAY)
-    return windows.lag_date_window(rows, MERCHANT, DAY, ID, "previous_date").select(ID, "previous_date")
+    rows = c.layers.normalized.select(ID, MERCHANT, DAY, "source_row_number")
+    return windows.lag_date_window(rows, MERCHANT, DAY, "source_row_number", "previous_date").select(ID, "previous_date")
 
 
 def rank_over_aggregate(c: Context):

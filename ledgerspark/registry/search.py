@@ -18,7 +18,7 @@ ID = "transaction_id"
 
 
 def documents(c: Context):
-    return c.documents
+    return search.build_search_documents(c.fact, search.profile_lookup(c.profiles, testbed.MODEL))
 
 
 def backfill(c: Context):
@@ -86,7 +86,9 @@ def profile_cycle(c: Context):
 
 
 def profile_stats(c: Context):
-    replies = _profile_replies(c).filter("reply_id % 4 <> 1")
+    """Merchants that ever paid a credit get no reply."""
+    credited = c.fact.filter("is_credit").select("normalized_merchant").distinct()
+    replies = _profile_replies(c).join(credited, "normalized_merchant", "left_anti")
     return enrichment.profile_backfill_stats(
         enrichment.merchant_candidates(c.fact), c.profiles, replies, testbed.MODEL
     )
@@ -238,7 +240,12 @@ select raw_description, 'Shop ' || n as suggested_merchant, if(category = 'Trave
   '{testbed.CACHE_TIME}' as created_at
 from fact group by normalized_merchant""",
     ),
-    "profile_backfill_stats": (profile_stats, None),
+    "profile_backfill_stats": (
+        profile_stats,
+        LAYERS + "select status, count(*) as merchants from (select case when bool_or(merchant_group <> 'Unmapped') "
+        "then 'skipped' when bool_or(is_credit) then 'failed' else 'inserted' end as status from fact "
+        "group by normalized_merchant) group by status",
+    ),
     "dq_not_null": (
         lambda c: quality.dq_not_null(c.fact, NOT_NULL),
         LAYERS + " union all ".join(
