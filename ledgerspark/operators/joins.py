@@ -17,10 +17,11 @@ def scalar_struct(one_row: DataFrame, columns: Sequence[str] | None = None) -> C
     return one_row.select(F.struct(*names).alias("row")).scalar()
 
 
-def scalar_cross_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the values of a one-row aggregate to every row."""
-    held = df.withColumn("__row", scalar_struct(one_row))
-    return held.select(*df.columns, *[F.col(f"__row.{name}").alias(name) for name in one_row.columns])
+def scalar_cross_join(df: DataFrame, *one_rows: DataFrame) -> DataFrame:
+    """Attach the values of one-row aggregates to every row."""
+    held = df.withColumns({f"__row{place}": scalar_struct(row) for place, row in enumerate(one_rows)})
+    values = [F.col(f"__row{place}.{name}").alias(name) for place, row in enumerate(one_rows) for name in row.columns]
+    return held.select(*df.columns, *values)
 
 
 # An optional row attaches the same way: without a row the struct, and so each value, is NULL.

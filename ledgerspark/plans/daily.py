@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.operators.calendar import date_bounds, fill_days
+from ledgerspark.operators.filters import filter_daily_metrics, filter_transactions
 
 DIMS = ["final_category", "normalized_merchant", "merchant_source", "category_source"]
-SERIES = [*DIMS, "metric_key"]
 VALUE = "decimal(28,2)"
 SPAN = K.PERIOD_DAYS
 
@@ -49,7 +51,7 @@ def daily_metric_events(fact: DataFrame) -> DataFrame:
     )
 
 
-def daily_values(fact: DataFrame) -> DataFrame:
+def daily_values(fact: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """Sparse daily metrics: one row per series and day on which something happened.
 
     The fact is summed to day and dimensions in wide form first and turned into metric rows afterwards, so the
@@ -57,7 +59,7 @@ def daily_values(fact: DataFrame) -> DataFrame:
     """
     member = populations()
     amount = F.col("amount_abs").cast("decimal(18,2)")
-    wide = fact.groupBy(F.col("transaction_date").alias("metric_date"), *DIMS).agg(
+    wide = fact.groupBy(F.col("transaction_date").alias("metric_date"), *dims).agg(
         *[F.sum(F.when(rows, amount)).alias(f"{name}_sum") for name, rows in member.items()],
         *[F.count_if(rows).alias(f"{name}_count") for name, rows in member.items()],
     )
@@ -67,7 +69,7 @@ def daily_values(fact: DataFrame) -> DataFrame:
         for key, value in ((amount_key, F.col(f"{population}_sum")), (count_key, seen)):
             entry = F.struct(F.lit(key).alias("metric_key"), value.cast(VALUE).alias("metric_value"))
             entries.append(F.when(seen > 0, entry))
-    return wide.select("metric_date", *DIMS, F.inline(F.array_compact(F.array(*entries))))
+    return wide.select("metric_date", *dims, F.inline(F.array_compact(F.array(*entries))))
 
 
 def metric_text(field: int) -> Column:
@@ -80,47 +82,54 @@ def metric_text(field: int) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("metric_key"))
 
 
-def mart_daily_metric_values(fact: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Dense daily series per metric and dimensions with the 30-day sum and the 30-day sum 30 days earlier.
+def _step(date: Column, value: Column, current: Column, earlier: Column) -> Column:
+    return F.struct(
+        date.alias("metric_date"),
+        value.cast(VALUE).alias("metric_value"),
+        current.cast(VALUE).alias("current_step"),
+        earlier.cast(VALUE).alias("earlier_step"),
+    )
+
+
+def dense_metrics(
+    fact: DataFrame, bounds: DataFrame, dims: Sequence[str], start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Dense daily series per metric and ``dims`` over the days of ``bounds``, with both 30-day sums.
 
     A value enters the current sum on its day, moves to the earlier sum after 30 days and leaves after 60. These
     steps are sparse: running totals over them give both sums, and each step is then repeated for the days up to
-    the next one. Only sparse rows are shuffled and sorted, and a series contributes at most three rows per day,
-    so the dense result costs no more than writing it. ``start`` and ``end`` bound the days that are produced;
-    the sums are the same as without bounds.
+    the next one. Only sparse rows are shuffled and sorted, a series contributes at most three rows per day
+    however many transactions it has, and the dense rows come straight out of a narrow step. ``start`` and
+    ``end`` bound the days that come out; the sums still see all days.
     """
-    bounds = date_bounds(fact, "transaction_date")
+    series = [*dims, "metric_key"]
     first, last = bounds.select("min_date").scalar(), bounds.select("max_date").scalar()
-    day, zero = F.col("metric_date"), F.lit(0).cast(VALUE)
-    values = daily_values(fact)
-
-    def step(date: Column, value: Column, current: Column, earlier: Column) -> Column:
-        columns = {"metric_date": date, "metric_value": value, "current_step": current, "earlier_step": earlier}
-        return F.struct(*[column.cast(VALUE if name != "metric_date" else "date").alias(name)
-                          for name, column in columns.items()])
-
-    value = F.col("metric_value")
+    day, value, zero = F.col("metric_date"), F.col("metric_value"), F.lit(0).cast(VALUE)
     steps = F.array(
-        step(first, zero, zero, zero),
-        step(day, value, value, zero),
-        step(F.date_add(day, SPAN), zero, -value, value),
-        step(F.date_add(day, 2 * SPAN), zero, zero, -value),
+        _step(first, zero, zero, zero),
+        _step(day, value, value, zero),
+        _step(F.date_add(day, SPAN), zero, -value, value),
+        _step(F.date_add(day, 2 * SPAN), zero, zero, -value),
     )
     sparse = (
-        values.select(*SERIES, F.inline(steps))
+        daily_values(fact, dims)
+        .select(*series, F.inline(steps))
         .filter(day <= last)
-        .groupBy(*SERIES, "metric_date")
+        .groupBy(*series, "metric_date")
         .agg(*[F.sum(name).cast(VALUE).alias(name) for name in ("metric_value", "current_step", "earlier_step")])
     )
-    running = Window.partitionBy(*SERIES).orderBy("metric_date").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*series).orderBy("metric_date").rowsBetween(Window.unboundedPreceding, 0)
     sums = sparse.withColumns(
         {
             "metric_value_l30d": F.sum("current_step").over(running).cast(VALUE),
             "metric_value_prior_l30d": F.sum("earlier_step").over(running).cast(VALUE),
+            "metric_name": metric_text(1),
+            "metric_group": metric_text(2),
+            "unit": metric_text(3),
         }
     )
-    held = ["metric_value", "metric_value_l30d", "metric_value_prior_l30d"]
-    dense = fill_days(sums, SERIES, "metric_date", last, held)
+    held = ["metric_name", "metric_group", "unit", "metric_value", "metric_value_l30d", "metric_value_prior_l30d"]
+    dense = fill_days(sums, series, "metric_date", last, held)
     if start:
         dense = dense.filter(day >= F.lit(start).cast("date"))
     if end:
@@ -128,11 +137,36 @@ def mart_daily_metric_values(fact: DataFrame, start: str | None = None, end: str
     return dense.select(
         "metric_date",
         "metric_key",
-        metric_text(1).alias("metric_name"),
-        metric_text(2).alias("metric_group"),
-        *DIMS,
-        F.when(F.col("__added") == 0, F.col("metric_value")).otherwise(zero).alias("metric_value"),
+        "metric_name",
+        "metric_group",
+        *dims,
+        F.when(F.col("__added") == 0, value).otherwise(zero).alias("metric_value"),
         "metric_value_l30d",
         F.when(day >= F.date_add(first, SPAN), F.col("metric_value_prior_l30d")).alias("metric_value_prior_l30d"),
-        metric_text(3).alias("unit"),
+        "unit",
     )
+
+
+def mart_daily_metric_values(fact: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Dense daily series per metric, category, merchant and sources, optionally only some days of it."""
+    return dense_metrics(fact, date_bounds(fact, "transaction_date"), DIMS, start, end)
+
+
+def daily_totals(
+    fact: DataFrame,
+    start: str | None = None,
+    end: str | None = None,
+    categories: Sequence[str] | None = None,
+    merchants: Sequence[str] | None = None,
+    view: str = "all",
+    groups: Sequence[str] | None = None,
+) -> DataFrame:
+    """The daily mart under the user's filters, summed over all dimensions, without building the mart.
+
+    Rolling sums are additive, so the sum of all series equals the series of the sums: the fact is filtered and
+    summed to day and metric before any day is filled in. Roll-ups and trends give the same on this frame as on
+    the filtered mart, for days times metrics rows instead of days times metrics times merchants.
+    """
+    chosen = filter_transactions(fact, None, None, categories, merchants)
+    totals = dense_metrics(chosen, date_bounds(fact, "transaction_date"), [], start, end)
+    return filter_daily_metrics(totals, view=view, groups=groups)

@@ -182,15 +182,14 @@ def mart_spend_kpis(fact: DataFrame, recurring_mart: DataFrame) -> DataFrame:
     recurring = recurring_mart.agg(
         F.coalesce(F.sum("estimated_monthly_cost"), F.lit(0.0)).alias("estimated_monthly_recurring_spend")
     )
-    wide = base
-    for one_row in (
+    wide = scalar_cross_join(
+        base,
         exact_median(debits, [], amount, "median_transaction_amount"),
         leader("final_category", "top_category"),
         leader("normalized_merchant", "top_merchant"),
         top_n_sum(debits, "normalized_merchant", amount, 5, "top_5_merchant_spend"),
         recurring,
-    ):
-        wide = scalar_cross_join(wide, one_row)
+    )
     zero = F.lit(0).cast("decimal(18,2)")
     wide = wide.withColumns({name: F.coalesce(name, zero) for name in ("top_category_spend", "top_merchant_spend")})
     spend, count = F.col("total_spend"), F.col("debit_transaction_count")

@@ -14,7 +14,7 @@ from ledgerspark.functions.text import (
     percent_text,
     signed_money_text,
 )
-from ledgerspark.operators.joins import scalar_cross_join, scalar_struct
+from ledgerspark.operators.joins import scalar_cross_join
 from ledgerspark.plans import slices
 
 
@@ -79,18 +79,24 @@ def summary_record(
           for c in rolled(key, "metric_value_l30d")],
     )
     latest = daily.agg(F.max("metric_date").alias("latest_metric_date"))
-    base = slices.selected_window_summary(filtered)
-    for one_row in (observed, slices.rolling_windows(filtered, anchor), metrics, latest):
-        base = scalar_cross_join(base, one_row)
-
-    movers = {}
-    changes = {}
-    for dimension, short in (("final_category", "category"), ("normalized_merchant", "merchant")):
-        changes[short] = slices.change_table(debits, dimension, anchor)
-        movers[f"__primary_{short}"] = scalar_struct(slices.primary_mover(changes[short], dimension))
-        movers[f"__decline_{short}"] = scalar_struct(slices.directional_mover(changes[short], dimension, "down"))
-    movers["__anomaly"] = scalar_struct(slices.largest_anomaly(filtered))
-    base = base.withColumns(movers)
+    changes = {
+        short: slices.change_table(debits, dimension, anchor)
+        for dimension, short in (("final_category", "category"), ("normalized_merchant", "merchant"))
+    }
+    movers = {
+        "__primary_category": slices.primary_mover(changes["category"], "final_category"),
+        "__primary_merchant": slices.primary_mover(changes["merchant"], "normalized_merchant"),
+        "__decline_category": slices.directional_mover(changes["category"], "final_category", "down"),
+        "__anomaly": slices.largest_anomaly(filtered),
+    }
+    base = scalar_cross_join(
+        slices.selected_window_summary(filtered),
+        observed,
+        slices.rolling_windows(filtered, anchor),
+        metrics,
+        latest,
+        *[row.select(F.struct(*row.columns).alias(name)) for name, row in movers.items()],
+    )
 
     no_change = "No material change versus the prior 30 days."
     category = _change_text(F.col("__primary_category"), "final_category", no_change)

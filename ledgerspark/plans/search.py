@@ -126,6 +126,30 @@ def query_batches(queries: DataFrame) -> list[DataFrame]:
     return [numbered.filter(F.col("__batch") == number).drop("__batch") for number in range(1, batches + 1)]
 
 
+def batch_queries(queries: DataFrame, *more: str) -> list[Row]:
+    """The searchable queries of one batch with their terms; at most ``QUERY_BATCH`` small rows."""
+    return expand_query(query_guard(queries)).select("query_id", "query_text", "terms", *more).collect()
+
+
+def prepare_text(docs: DataFrame, text: str) -> DataFrame:
+    """Add what all lexical tests of a document share: its lowered text, and its tokens between blanks."""
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    words = F.concat(F.lit(" "), F.regexp_replace("__lowered", "[^a-z0-9]+", " "), F.lit(" "))
+    return docs.withColumn("__lowered", lowered).withColumn("__words", words)
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Lexical score of every document for every query; the document's text stays behind."""
+    names = [name for name in docs.columns if name != text]
+    found = []
+    for batch in query_batches(queries):
+        asked = batch_queries(batch)
+        ids = F.array(*[F.lit(row["query_id"]) for row in asked]).cast("array<long>")
+        pairs = F.arrays_zip(ids.alias("query_id"), lexical_scores(asked).alias("lexical_score"))
+        found.append(prepare_text(docs, text).select(*names, F.inline(pairs)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def lexical_scores(queries: list[Row]) -> Column:
     """A document's lexical score for each query of a batch, as an array.
 
@@ -206,17 +230,14 @@ def score_documents(
     and cosines on Arrow batches. The queries are few and bounded, so they go to the tasks with the plan. With
     ``leaders`` only rows that can be among that many best leave a task, unsorted.
     """
-    asked = expand_query(query_guard(queries)).select("query_id", "query_text", "terms", "embedding").collect()
+    asked = batch_queries(queries, "embedding")
     names = [name for name in docs.columns if name != "embedding"]
     shape = docs.select(F.lit(None).cast("long").alias("query_id"), F.lit("").alias("query_text"), *names).schema
     for score in ("semantic_score", "lexical_score", "hybrid_score"):
         shape = shape.add(score, "double")
     if not asked:
         return docs.sparkSession.createDataFrame([], shape)
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = F.concat(F.lit(" "), F.regexp_replace("__lowered", "[^a-z0-9]+", " "), F.lit(" "))
-    prepared = docs.withColumn("__lowered", lowered).withColumn("__words", words)
-    scored = prepared.select(*names, "embedding", lexical_scores(asked).alias("__lexical"))
+    scored = prepare_text(docs, text).select(*names, "embedding", lexical_scores(asked).alias("__lexical"))
     return scored.mapInArrow(batch_leaders(asked, leaders, to_arrow_schema(shape)), shape)
 
 

@@ -185,11 +185,14 @@ def _in_windows(anchor: Column) -> tuple[Column, Column]:
 
 
 def anchor_date(filtered: DataFrame, daily: DataFrame | None = None) -> Column:
-    """Last day of the metric series, or of the selected debits where there is no series."""
-    last_debit = filtered.filter("is_debit").agg(F.max("transaction_date").alias("day")).scalar()
-    if daily is None:
-        return last_debit
-    return F.coalesce(daily.agg(F.max("metric_date").alias("day")).scalar(), last_debit)
+    """Last day of the metric series, or of the selected debits where there is no series.
+
+    One value is fetched here, so that the windows it opens reach every scan as constants.
+    """
+    day = daily.agg(F.max("metric_date")).head()[0] if daily is not None else None
+    if day is None:
+        day = filtered.filter("is_debit").agg(F.max("transaction_date")).head()[0]
+    return F.lit(day).cast("date")
 
 
 def rolling_windows(filtered: DataFrame, anchor: Column) -> DataFrame:

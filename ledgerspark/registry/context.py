@@ -58,9 +58,9 @@ class Context:
     def review(self) -> DataFrame:
         return mart_merchant_review(self.fact)
 
-    @cached_property
+    @property
     def daily(self) -> DataFrame:
-        return stored(mart_daily_metric_values(self.fact), "daily")
+        return mart_daily_metric_values(self.fact)
 
     @cached_property
     def export_path(self) -> str:

@@ -202,11 +202,7 @@ def expansions(c: Context):
 
 
 def lexical(c: Context):
-    asked = search.expand_query(search.query_guard(c.queries)).select("query_id", "query_text", "terms")
-    held = asked.agg(F.collect_list(F.struct("query_id", "query_text", "terms")).alias("q")).scalar()
-    docs = c.table("documents").select("doc_id", "text").withColumn("q", F.explode(held))
-    score = text.lexical_score(F.col("q.query_text"), F.col("q.terms"), F.col("text"))
-    return docs.select("doc_id", F.col("q.query_id").alias("query_id"), score.alias("lexical_score"))
+    return search.lexical_search(c.queries, c.table("documents").select("doc_id", "text"), "text")
 
 
 def cosine(c: Context):

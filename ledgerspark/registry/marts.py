@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.filters import filter_transactions
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans import marts, narrative, slices
-from ledgerspark.plans.daily import mart_daily_metric_values
+from ledgerspark.plans.daily import daily_totals, mart_daily_metric_values
 from ledgerspark.plans.features import fact_transactions, recurring_transactions, transaction_features
 from ledgerspark.plans.normalization import normalize_merchants
 from ledgerspark.registry.context import Context
@@ -16,15 +17,11 @@ START, END = "1995-03-01", "2001-05-31"
 
 
 def selection(c: Context):
-    from ledgerspark.operators.filters import filter_transactions
-
     return filter_transactions(c.fact, START, END)
 
 
 def daily_selection(c: Context):
-    from ledgerspark.operators.filters import filter_daily_metrics
-
-    return filter_daily_metrics(c.daily, START, END)
+    return daily_totals(c.fact, START, END)
 
 
 def features(c: Context):
