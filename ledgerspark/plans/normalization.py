@@ -36,8 +36,11 @@ def _with_inline_matches(txn: DataFrame, rules: DataFrame) -> DataFrame:
 def _pieces(text: Column) -> Column:
     """All substrings a rule could start with: one per position and length up to ``PIECE``, and the empty one."""
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    sized = [F.transform(places, lambda p, size=size: F.substring(text, p, size)) for size in range(1, PIECE + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *sized))
+
+    def sized(size: int) -> Column:
+        return F.transform(places, lambda place: F.substring(text, place, size))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[sized(size) for size in range(1, PIECE + 1)]))
 
 
 def _piece_matches(txn: DataFrame, rules: DataFrame) -> DataFrame:
