@@ -62,6 +62,22 @@ def rank_over_aggregate(
     return sums.withColumn(rank_name, F.row_number().over(order)).filter(F.col(rank_name) <= n)
 
 
+def top_k_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread_by: str, name: str, parts: int = 64
+) -> DataFrame:
+    """The first ``k`` rows of each group in an order, numbered from 1.
+
+    A group is first ranked in ``parts`` slices by a hash of ``spread_by`` and then among the leaders of its
+    slices, so that a group of any size never meets in one task. Each task also keeps only ``k`` rows per slice
+    before it shuffles them.
+    """
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(spread_by), F.lit(parts)))
+    in_slice = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
+    leaders = sliced.withColumn("__place", in_slice).filter(F.col("__place") <= k).drop("__place", "__slice")
+    in_group = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return leaders.withColumn(name, in_group).filter(F.col(name) <= k)
+
+
 def top_per_partition(df: DataFrame, partition: str, key: str, value: str, key_name: str, sum_name: str) -> DataFrame:
     """The largest key of each partition by summed value."""
     ranked = rank_over_aggregate(df, partition, key, value, "__sum", "__rank", 1)

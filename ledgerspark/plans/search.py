@@ -24,7 +24,9 @@ from ledgerspark.functions.vectors import confidence_label, is_confident
 from ledgerspark.operators.caches import cache_upsert, stale_cache_split
 from ledgerspark.operators.joins import lookup_map_join
 from ledgerspark.operators.ordering import top_k_limit
+from ledgerspark.operators.windows import top_k_per_group
 from ledgerspark.schemas import EMBEDDING_CACHE
+from ledgerspark.session import stored
 
 DOCUMENT_COLUMNS = [
     "transaction_id",
@@ -91,9 +93,13 @@ def embed_documents(docs: DataFrame, embed: EmbedFunction, model: str, batch: in
 def embedding_backfill(
     docs: DataFrame, cache: DataFrame, embed: EmbedFunction, model: str, batch: int = K.EMBED_BATCH
 ) -> DataFrame:
-    """The cache after embedding every document that is new or whose text changed."""
+    """The cache after embedding every document that is new or whose text changed.
+
+    The new vectors are written before they are merged: each text is sent to the model once, and a later failure
+    does not send it again.
+    """
     split = stale_cache_split(docs, cache, "transaction_id", "search_text", model)
-    fresh = embed_documents(split.filter("status <> 'hit'"), embed, model, batch)
+    fresh = stored(embed_documents(split.filter("status <> 'hit'"), embed, model, batch), "embedded")
     names = EMBEDDING_CACHE.fieldNames()
     return cache_upsert(cache.select(*names), fresh, ["transaction_id", "embedding_model"])
 
@@ -195,12 +201,13 @@ def cosine_matrix(vectors: pa.Array, queries: list[np.ndarray]) -> np.ndarray:
 def batch_leaders(queries: list[Row], k: int | None, schema: pa.Schema):
     """Task function: scores record batches and keeps what can still be among the ``k`` best of a query.
 
-    Rows that tie with the ``k``-th best of a batch are kept too, so nothing is lost before the final ranking.
-    ``k=None`` keeps every pair.
+    A row stays unless some batch of its task holds ``k`` rows with a higher score, so ties are kept and nothing is
+    lost before the final ranking. ``k=None`` keeps every pair.
     """
     vectors = [np.nan_to_num(np.asarray(row["embedding"] or [], dtype=np.float64)) for row in queries]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = np.full(len(queries), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -208,10 +215,11 @@ def batch_leaders(queries: list[Row], k: int | None, schema: pa.Schema):
             lexical = batch.column("__lexical").flatten().to_numpy(zero_copy_only=False).reshape(semantic.shape)
             hybrid = semantic + lexical * K.LEXICAL_WEIGHT
             for place, query in enumerate(queries):
-                rows = np.arange(batch.num_rows)
-                if k is not None and batch.num_rows > k:
-                    floor = np.partition(hybrid[:, place], -k)[-k]
-                    rows = np.flatnonzero(hybrid[:, place] >= floor)
+                if k is not None and batch.num_rows >= k:
+                    floors[place] = max(floors[place], np.partition(hybrid[:, place], -k)[-k])
+                rows = np.flatnonzero(hybrid[:, place] >= floors[place])
+                if not len(rows):
+                    continue
                 kept = batch.drop_columns(["embedding", "__lexical"]).take(pa.array(rows))
                 constants = [pa.repeat(pa.scalar(query[name], schema.field(name).type), len(rows))
                              for name in ("query_id", "query_text")]
@@ -252,13 +260,11 @@ def hybrid_search(
 ) -> DataFrame:
     """Best candidates per query by hybrid score, then semantic score, then newest, with their 0-based place."""
     k = max(result_limit, candidate_count)
-    order = Window.partitionBy("query_id").orderBy(
-        F.desc("hybrid_score"), F.desc("semantic_score"), F.desc_nulls_last(recency), F.asc(document_id)
-    )
+    order = [F.desc("hybrid_score"), F.desc("semantic_score"), F.desc_nulls_last(recency), F.asc(document_id)]
     scored = reduce(
         DataFrame.unionByName, [score_documents(batch, docs, text, leaders=k) for batch in query_batches(queries)]
     )
-    ranked = scored.withColumn("candidate_index", F.row_number().over(order)).filter(F.col("candidate_index") <= k)
+    ranked = top_k_per_group(scored, ["query_id"], order, k, document_id, "candidate_index")
     return ranked.withColumn("candidate_index", F.col("candidate_index") - 1)
 
 

@@ -91,7 +91,9 @@ def _versions(c: Context, new: bool):
 
 
 def upsert(c: Context):
-    return cache_upsert(_versions(c, False), _versions(c, True), ["c_mktsegment", "model"])
+    keys, old = ["c_mktsegment", "model"], _versions(c, False)
+    cache = cache_upsert(old.limit(0), old, keys)
+    return cache_upsert(cache, _versions(c, True), keys)
 
 
 def lookup(c: Context):

@@ -183,3 +183,18 @@ def test_description_samples_are_the_first_in_order(spark):
     frame = spark.createDataFrame(rows, "k string, v string")
     got = {row["k"]: row["samples"] for row in aggregates.description_samples(frame, "k", "v").collect()}
     assert got == {"m": ["text 01", "text 02", "text 03", "text 05", "text 07", "text 08"]}
+
+
+def test_top_k_of_a_hot_group_with_ties(spark):
+    rows = [("hot", n, n % 5) for n in range(3000)] + [("cold", 1, 9), ("cold", 2, 9)]
+    frame = spark.createDataFrame(rows, "k string, n long, v int").repartition(6)
+    ranked = windows.top_k_per_group(frame, ["k"], [F.desc("v"), F.asc("n")], 7, "n", "place")
+    got = {(row["k"], row["place"]): row["n"] for row in ranked.collect()}
+    expected = {("hot", place): n for place, n in enumerate([4, 9, 14, 19, 24, 29, 34], 1)}
+    assert got == {**expected, ("cold", 1): 1, ("cold", 2): 2}
+
+
+def test_upsert_into_an_empty_cache(spark):
+    schema = "k string, v int, created_at timestamp"
+    new = spark.createDataFrame([("a", 1, None), ("a", 2, dt.datetime(2024, 1, 1))], schema)
+    assert [tuple(row)[:2] for row in caches.cache_upsert(new.limit(0), new, ["k"]).collect()] == [("a", 2)]
