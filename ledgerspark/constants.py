@@ -42,6 +42,10 @@ REVIEW_RAW = "Raw description used as merchant fallback"
 REVIEW_RULE = "Mapped by seed rules"
 REVIEW_MIN_COUNT = 3
 REVIEW_MIN_SPEND = 250
+REVIEW_WEIGHT_FALLBACK = 100
+REVIEW_WEIGHT_ENRICHED = 10
+REVIEW_COUNT_CAP, REVIEW_POINTS_PER_COUNT = 25, 3
+REVIEW_SPEND_PER_POINT, REVIEW_SPEND_CAP = 100, 25
 
 # --- fixed values: categories an enrichment may use ------------------------------------------------------
 ALLOWED_CATEGORIES = [
@@ -117,6 +121,14 @@ SYNONYMS = {
     "subscriptions": ["subscription", "subscriptions", "premium", "membership", "recurring", "monthly"],
     "travel": ["travel", "flight", "hotel", "airline", "uber", "lyft", "transit", "amtrak"],
 }
+WHOLE_QUERY_SCORE, PHRASE_SCORE, TOKEN_SCORE, PART_SCORE = 3.0, 1.5, 1.0, 0.5
+# (rerank, semantic, lexical) scores, any of which is enough for the label
+HIGH_CONFIDENCE = (0.15, 0.38, 4)
+MEDIUM_CONFIDENCE = (0.08, 0.30, 2)
+# enough alone: rerank, semantic; enough together: (lexical, semantic), (lexical, rerank)
+GATE_RERANK, GATE_SEMANTIC = 0.08, 0.33
+GATE_LEXICAL_SEMANTIC = (1, 0.20)
+GATE_LEXICAL_RERANK = (2, 0.04)
 MIN_QUERY_LENGTH = 3
 RESULT_LIMIT = 25
 CANDIDATE_COUNT = 60
@@ -190,3 +202,113 @@ DISPLAY_ORDER = [
     "credit_transaction_count",
 ]
 UNLISTED_POSITION = 999
+
+# --- fixed values: texts of the search sentence, the profile sentence and the summary ----------------------------
+# Names in braces stand for formatted columns.
+SEARCH_SENTENCE = (
+    "merchant: {merchant}. merchant_group: {group}. category: {category}. raw_description: {raw_description}. "
+    "transaction_type: {type}. amount: {amount}. date: {date}. signals: {signals}. merchant_source: {source}."
+)
+PROFILE_SENTENCE = "merchant_summary: {summary}. semantic_tags: {tags}."
+
+NO_CHANGE = "No change"
+NO_MATERIAL_CHANGE = "No material change versus the prior 30 days."
+NO_DECLINE = "No category moved down versus the prior 30 days."
+NO_ANOMALY = "No major anomaly"
+NO_ANOMALY_TEXT = "No anomalies in the current selection."
+MOVE_UP = "{label} up {size} vs prior 30d ({current} current)"
+MOVE_DOWN = "{label} down {size} vs prior 30d ({current} current)"
+ANOMALY_TEXT = "{amount} · {reason}"
+CARD_TITLES = ("30D Trend", "Recent Driver", "Watch Item")
+CARD_TREND = "{delta} vs prior 30d ({delta_pct})"
+
+FALLBACK_SUMMARY = """## What changed
+- Rolling 30-day spend is {window_spend}, with a change of {delta} vs the prior 30 days ({delta_pct}).
+- Biggest category mover: {category_move}
+- Biggest merchant mover: {merchant_move}
+- Largest category decline: {category_decline}
+
+## What's notable
+- Recurring spend in the latest 30-day window is {window_recurring}.
+- Anomaly spend in the current selection is {anomaly_spend} ({anomaly_share} of debit spend).
+- Watch item: {watch} — {watch_text}
+
+## What to review
+- Fallback merchant coverage is {fallback_share} of selected debit spend.
+- If you are investigating recent change, start with {category_label} and {merchant_label}."""
+
+PROMPT_CONTEXT = """Summary cues
+- Selected window: {start} to {end}
+- Selected debit spend: {total_spend}
+- Debit transactions: {debit_count}
+- Rolling 30-day spend: {window_spend}, delta {delta} ({delta_pct})
+- Primary category shift: {category_move}
+- Primary merchant shift: {merchant_move}
+- Largest category decline: {category_decline}
+- Recurring spend in latest 30d: {window_recurring}
+- Anomaly spend in selected window: {anomaly_spend} ({anomaly_share} of debit spend)
+- Watch item: {watch} — {watch_text}
+- Fallback merchant coverage: {fallback_share} of selected debit spend"""
+
+CONTEXT_ROLLING = """Latest rolling 30-day window: {window_start} to {window_end}
+Prior rolling 30-day window: {prior_start} to {prior_end}
+- Total spend: {l30_total} vs prior 30d {l30_prior}
+- Total spend delta vs prior 30d: {l30_delta} ({delta_pct})
+- Recurring spend: {l30_recurring} ({l30_recurring_share} of total spend)
+- Anomaly spend: {l30_anomaly} ({l30_anomaly_share} of total spend)
+- Fallback spend: {l30_fallback} ({l30_fallback_share} of total spend)
+- Cohere-enriched spend: {l30_enriched} ({l30_enriched_share} of total spend)"""
+CONTEXT_NO_ROLLING = """Rolling 30-day metrics
+- No daily metric rollups match the current filters."""
+
+CONTEXT = """Summary scope
+- View mode: {view}
+- Selected date window: {start} to {end}
+- Observed transaction window after filters: {observed_start} to {observed_end}
+- Category filter: {categories}
+- Merchant filter: {merchants}
+
+Selected-window metrics from marts.fct_transactions
+- Total debit spend: {total_spend}
+- Credit amount: {credit_amount}
+- Total transactions: {count}
+- Debit transactions: {debit_count}
+- Credit transactions: {credit_count}
+- Average debit transaction: {avg_debit}
+- Recurring spend: {recurring_spend} ({recurring_share} of debit spend)
+- Anomaly spend: {anomaly_spend} across {anomaly_count} transactions ({anomaly_share} of debit spend)
+- Merchant source coverage: seed_rule={rule_spend} ({rule_share}), cohere_cache={enriched_spend} ({enriched_share}), \
+fallback={fallback_spend} ({fallback_share})
+
+{rolling}
+
+Primary summary cues
+- Primary category shift for the summary card: {category_move}
+- Primary merchant shift for the summary card: {merchant_move}
+- Largest category decline: {category_decline}
+- Watch item for the summary card: {watch} | {watch_text}
+
+Biggest recent changes by category
+{category_changes}
+
+Biggest recent changes by merchant
+{merchant_changes}
+
+Top categories in selected window
+{top_categories}
+
+Largest anomalies in selected window
+{largest_anomalies}
+
+Recurring merchants in selected window
+{recurring_merchants}"""
+ALL_CATEGORIES, ALL_MERCHANTS = "All categories", "All merchants"
+CHANGE_LINE = "- {label}: current {current}, prior {prior}, delta {delta}"
+CATEGORY_LINE = "- {label}: {amount} ({share})"
+ANOMALY_LINE = "- {date} | {merchant} | {amount} | {reason}"
+RECURRING_LINE = "- {merchant} | {category} | {amount} across {count} transactions"
+NO_CATEGORY_CHANGES = "- No recent category comparison is available."
+NO_MERCHANT_CHANGES = "- No recent merchant comparison is available."
+NO_CATEGORIES = "- No debit categories in the current filters."
+NO_ANOMALIES = "- No anomalies in the current filters."
+NO_RECURRING = "- No recurring merchants in the current filters."

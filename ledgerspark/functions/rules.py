@@ -82,7 +82,11 @@ def review_reason(source: Column, occurrences: Column, spend: Column, merchant:
 
 
 def review_priority(source: Column, occurrences: Column, spend: Column) -> Column:
-    weight = F.when(source == K.SOURCE_FALLBACK, 100).when(source == K.SOURCE_ENRICHED, 10).otherwise(0)
-    frequency = F.least(occurrences, F.lit(25)) * 3
-    size = F.least(spend.cast("double") / 100, F.lit(25.0))
+    weight = (
+        F.when(source == K.SOURCE_FALLBACK, K.REVIEW_WEIGHT_FALLBACK)
+        .when(source == K.SOURCE_ENRICHED, K.REVIEW_WEIGHT_ENRICHED)
+        .otherwise(0)
+    )
+    frequency = F.least(occurrences, F.lit(K.REVIEW_COUNT_CAP)) * K.REVIEW_POINTS_PER_COUNT
+    size = F.least(spend.cast("double") / K.REVIEW_SPEND_PER_POINT, F.lit(float(K.REVIEW_SPEND_CAP)))
     return rounded(weight + frequency + size, 2)

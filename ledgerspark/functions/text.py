@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StructType
 
@@ -65,10 +67,11 @@ def lexical_score(query: Column, terms: Column, document: Column) -> Column:
 
     words = F.filter(terms, lambda t: ~F.contains(t, F.lit(" ")))
     phrases = F.filter(terms, lambda t: F.contains(t, F.lit(" ")))
-    hits = F.size(F.array_intersect(words, tokens)).cast("double")
-    whole = F.when((F.length(cleaned) > 0) & F.contains(lowered, cleaned), 3.0).otherwise(0.0)
-    partial = F.aggregate(F.array_except(words, tokens), hits, lambda total, t: total + inside(t, 0.5))
-    return F.aggregate(phrases, whole + partial, lambda total, t: total + inside(t, 1.5))
+    hits = F.size(F.array_intersect(words, tokens)) * F.lit(K.TOKEN_SCORE)
+    asked = (F.length(cleaned) > 0) & F.contains(lowered, cleaned)
+    whole = F.when(asked, K.WHOLE_QUERY_SCORE).otherwise(0.0)
+    parts = F.aggregate(F.array_except(words, tokens), hits, lambda total, t: total + inside(t, K.PART_SCORE))
+    return F.aggregate(phrases, whole + parts, lambda total, t: total + inside(t, K.PHRASE_SCORE))
 
 
 # --- display formats ---------------------------------------------------------------------------------------
@@ -114,41 +117,40 @@ def unit_format(value: Column, unit: Column) -> Column:
 # --- labelled sentences --------------------------------------------------------------------------------------
 
 
-def profile_text(summary: Column, tags: Column) -> Column:
-    listed = F.array_join(F.coalesce(tags, F.array().cast("array<string>")), ", ")
-    return F.concat(
-        F.lit("merchant_summary: "), F.coalesce(summary, F.lit("")), F.lit(". semantic_tags: "), listed, F.lit(".")
-    )
-
-
-def search_text(row: dict[str, Column] | None = None) -> Column:
-    """One labelled sentence per transaction, built from the fact's columns (or the given replacements)."""
+def fill(template: str, **columns: Column) -> Column:
+    """A text with the named columns in the places of their names; NULL where one of them is NULL."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(columns[name])
+    return F.concat(*parts)
 
-    def col(name: str) -> Column:
-        return (row or {}).get(name, F.col(name))
 
-    signals = F.concat_ws(
-        ", ",
-        F.when(col("is_recurring"), "recurring"),
-        F.when(col("is_anomaly"), "anomaly"),
+def profile_text(summary: Column, tags: Column) -> Column:
+    listed = F.array_join(F.coalesce(tags, F.array().cast("array<string>")), ", ")
+    return fill(K.PROFILE_SENTENCE, summary=F.coalesce(summary, F.lit("")), tags=listed)
+
+
+def search_text() -> Column:
+    """One labelled sentence per transaction, built from the fact's columns."""
+    signals = F.concat_ws(", ", F.when(F.col("is_recurring"), "recurring"), F.when(F.col("is_anomaly"), "anomaly"))
+    category = F.coalesce(F.nullif(F.col("final_category"), F.lit("")), F.col("raw_category"))
+    direction = F.when(F.coalesce("is_debit", F.lit(False)), " debit").otherwise(" credit")
+    unknown = "Unknown"
+    return fill(
+        K.SEARCH_SENTENCE,
+        merchant=or_default(F.col("normalized_merchant"), unknown),
+        group=or_default(F.col("merchant_group"), unknown),
+        category=or_default(category, unknown),
+        raw_description=F.coalesce("raw_description", F.lit("")),
+        type=or_default(F.col("transaction_type"), unknown),
+        amount=F.concat(money_text(F.col("amount_abs")), direction),
+        date=F.coalesce(F.date_format("transaction_date", "yyyy-MM-dd"), F.lit(unknown)),
+        signals=or_default(signals, "standard"),
+        source=or_default(F.col("merchant_source"), unknown),
     )
-    category = F.coalesce(F.nullif(col("final_category"), F.lit("")), F.nullif(col("raw_category"), F.lit("")))
-    parts = {
-        "merchant": or_default(col("normalized_merchant"), "Unknown"),
-        "merchant_group": or_default(col("merchant_group"), "Unknown"),
-        "category": F.coalesce(category, F.lit("Unknown")),
-        "raw_description": F.coalesce(col("raw_description"), F.lit("")),
-        "transaction_type": or_default(col("transaction_type"), "Unknown"),
-        "amount": F.concat(
-            money_text(col("amount_abs")),
-            F.when(F.coalesce(col("is_debit"), F.lit(False)), " debit").otherwise(" credit"),
-        ),
-        "date": F.coalesce(F.date_format(col("transaction_date"), "yyyy-MM-dd"), F.lit("Unknown")),
-        "signals": or_default(signals, "standard"),
-        "merchant_source": or_default(col("merchant_source"), "Unknown"),
-    }
-    sentences = [F.concat(F.lit(label + ": "), text, F.lit(".")) for label, text in parts.items()]
-    return F.concat_ws(" ", *sentences)
 
 
 # --- keys and replies ----------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ledgerspark.constants import LEXICAL_WEIGHT
+from ledgerspark import constants as K
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -28,18 +28,26 @@ def cosine_prepared(left: Column, left_norm: Column, right: Column, right_norm:
 
 
 def hybrid_score(semantic: Column, lexical: Column) -> Column:
-    return semantic + lexical * LEXICAL_WEIGHT
+    return semantic + lexical * K.LEXICAL_WEIGHT
+
+
+def _known(*scores: Column) -> list[Column]:
+    return [F.coalesce(score, F.lit(0.0)) for score in scores]
 
 
 def confidence_label(rerank: Column, semantic: Column, lexical: Column) -> Column:
-    r, s, x = (F.coalesce(score, F.lit(0.0)) for score in (rerank, semantic, lexical))
-    return (
-        F.when((r >= 0.15) | (s >= 0.38) | (x >= 4), "high")
-        .when((r >= 0.08) | (s >= 0.30) | (x >= 2), "medium")
-        .otherwise("low")
-    )
+    scores = _known(rerank, semantic, lexical)
+
+    def reaches(limits: tuple) -> Column:
+        r, s, x = (score >= limit for score, limit in zip(scores, limits, strict=True))
+        return r | s | x
+
+    return F.when(reaches(K.HIGH_CONFIDENCE), "high").when(reaches(K.MEDIUM_CONFIDENCE), "medium").otherwise("low")
 
 
 def is_confident(rerank: Column, semantic: Column, lexical: Column) -> Column:
-    r, s, x = (F.coalesce(score, F.lit(0.0)) for score in (rerank, semantic, lexical))
-    return (r >= 0.08) | (s >= 0.33) | ((x >= 1) & (s >= 0.20)) | ((x >= 2) & (r >= 0.04))
+    r, s, x = _known(rerank, semantic, lexical)
+    words, meaning = K.GATE_LEXICAL_SEMANTIC
+    more_words, order = K.GATE_LEXICAL_RERANK
+    together = ((x >= words) & (s >= meaning)) | ((x >= more_words) & (r >= order))
+    return (r >= K.GATE_RERANK) | (s >= K.GATE_SEMANTIC) | together

@@ -6,48 +6,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerspark import constants as K
 from ledgerspark.functions.amounts import guarded_ratio
-from ledgerspark.functions.text import (
-    count_text,
-    date_text,
-    money_text,
-    percent_text,
-    signed_money_text,
-)
+from ledgerspark.functions.text import count_text, date_text, fill, money_text, percent_text, signed_money_text
 from ledgerspark.operators.joins import scalar_cross_join
 from ledgerspark.plans import slices
 
+CATEGORY, MERCHANT = "final_category", "normalized_merchant"
 
-def _line(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
 
+def money(name: str) -> Column:
+    return money_text(F.col(name))
 
-def _change_text(row: Column, dimension: str, missing: str) -> tuple[Column, Column, Column]:
-    """Label, sentence and amount of a mover; a fixed sentence where nothing moved."""
+
+def percent(name: str) -> Column:
+    return percent_text(F.col(name))
+
+
+def count(name: str) -> Column:
+    return count_text(F.col(name))
+
+
+def move_text(row: Column, dimension: str, missing: str) -> Column:
+    """Sentence about a mover, or a fixed one where nothing moved."""
     delta = row["delta_amount"]
-    sentence = _line(
-        row[dimension],
-        F.when(delta > 0, " up ").otherwise(" down "),
-        money_text(F.abs(delta)),
-        " vs prior 30d (",
-        money_text(row["current_spend"]),
-        " current)",
-    )
-    label = F.coalesce(row[dimension], F.lit("No change"))
-    return label, F.coalesce(sentence, F.lit(missing)), delta
-
-
-def _listing(df: DataFrame, order: Sequence[Column], line: Column, empty: str) -> Column:
-    """At most five rows as bullet lines in order, or a fixed line; the input is already limited."""
-    lines = df.agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda r: r["line"]),
-            "\n",
-        ).alias("lines")
-    ).scalar()
+    parts = {"label": row[dimension], "size": money_text(F.abs(delta)), "current": money_text(row["current_spend"])}
+    sentence = F.when(delta > 0, fill(K.MOVE_UP, **parts)).otherwise(fill(K.MOVE_DOWN, **parts))
+    return F.coalesce(sentence, F.lit(missing))
+
+
+def listing(df: DataFrame, order: Sequence[Column], line: Column, empty: str) -> Column:
+    """The few rows of ``df`` as lines in an order, or a fixed line where there is none."""
+    ordered = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    lines = df.agg(F.array_join(F.transform(ordered, lambda row: row["line"]), "\n").alias("lines")).scalar()
     return F.coalesce(F.nullif(lines, F.lit("")), F.lit(empty))
 
 
+def rolled_metrics(daily: DataFrame) -> DataFrame:
+    """The rolled-up metrics the summary names, side by side in one row."""
+    wanted = {
+        "l30_total": ("total_spend", "metric_value_l30d"),
+        "l30_prior": ("total_spend", "metric_value_prior_l30d"),
+        "l30_delta": ("total_spend", "delta_value"),
+        "l30_delta_pct": ("total_spend", "delta_pct"),
+        "l30_recurring": ("recurring_spend", "metric_value_l30d"),
+        "l30_anomaly": ("anomaly_spend", "metric_value_l30d"),
+        "l30_fallback": ("fallback_spend", "metric_value_l30d"),
+        "l30_enriched": ("cohere_spend", "metric_value_l30d"),
+    }
+    columns = [
+        F.max(F.when(F.col("metric_key") == key, F.col(field))).alias(name) for name, (key, field) in wanted.items()
+    ]
+    return slices.metric_rollup(daily).agg(*columns)
+
+
 def summary_record(
     filtered: DataFrame,
     daily: DataFrame,
@@ -59,97 +71,188 @@ def summary_record(
 ) -> DataFrame:
     """All summary figures, cue sentences, the grounding context and the ready-made summary, as one row.
 
-    ``filtered`` and ``daily`` are the selected transactions and daily metrics; the remaining arguments only
-    describe the selection.
+    ``filtered`` and ``daily`` are the selected transactions and daily metrics (the mart's rows or their totals);
+    the remaining arguments only describe the selection.
     """
     anchor = slices.anchor_date(filtered, daily)
     debits = filtered.filter("is_debit")
-    observed = filtered.agg(
-        F.min("transaction_date").alias("observed_start"), F.max("transaction_date").alias("observed_end")
-    )
-    rollup = slices.metric_rollup(daily)
-
-    def rolled(key: str, *fields: str) -> list[Column]:
-        hit = F.col("metric_key") == key
-        return [F.max(F.when(hit, F.col(f))).alias(f"{key}__{f}") for f in fields]
-
-    metrics = rollup.agg(
-        *rolled("total_spend", "metric_value_l30d", "metric_value_prior_l30d", "delta_value", "delta_pct"),
-        *[c for key in ("recurring_spend", "anomaly_spend", "fallback_spend", "cohere_spend")
-          for c in rolled(key, "metric_value_l30d")],
-    )
-    latest = daily.agg(F.max("metric_date").alias("latest_metric_date"))
-    changes = {
-        short: slices.change_table(debits, dimension, anchor)
-        for dimension, short in (("final_category", "category"), ("normalized_merchant", "merchant"))
-    }
+    by_category = slices.change_table(debits, CATEGORY, anchor)
+    by_merchant = slices.change_table(debits, MERCHANT, anchor)
     movers = {
-        "__primary_category": slices.primary_mover(changes["category"], "final_category"),
-        "__primary_merchant": slices.primary_mover(changes["merchant"], "normalized_merchant"),
-        "__decline_category": slices.directional_mover(changes["category"], "final_category", "down"),
+        "__category": slices.primary_mover(by_category, CATEGORY),
+        "__merchant": slices.primary_mover(by_merchant, MERCHANT),
+        "__decline": slices.directional_mover(by_category, CATEGORY, "down"),
         "__anomaly": slices.largest_anomaly(filtered),
     }
     base = scalar_cross_join(
         slices.selected_window_summary(filtered),
-        observed,
+        filtered.agg(
+            F.min("transaction_date").alias("observed_start"), F.max("transaction_date").alias("observed_end")
+        ),
         slices.rolling_windows(filtered, anchor),
-        metrics,
-        latest,
+        rolled_metrics(daily),
+        daily.agg(F.max("metric_date").alias("latest_metric_date")),
         *[row.select(F.struct(*row.columns).alias(name)) for name, row in movers.items()],
     )
-
-    no_change = "No material change versus the prior 30 days."
-    category = _change_text(F.col("__primary_category"), "final_category", no_change)
-    merchant = _change_text(F.col("__primary_merchant"), "normalized_merchant", no_change)
-    decline = _change_text(
-        F.col("__decline_category"), "final_category", "No category moved down versus the prior 30 days."
+    cues = base.withColumns(cue_columns(start, end))
+    texts = cues.withColumns(text_parts())
+    lists = {
+        "__category_changes": change_lines(by_category, CATEGORY, K.NO_CATEGORY_CHANGES),
+        "__merchant_changes": change_lines(by_merchant, MERCHANT, K.NO_MERCHANT_CHANGES),
+        **short_lists(filtered),
+    }
+    described = texts.withColumns({name: column for name, column in lists.items()})
+    scope = {
+        "view": F.lit(view),
+        "categories": F.lit(", ".join(categories) if categories else K.ALL_CATEGORIES),
+        "merchants": F.lit(", ".join(merchants) if merchants else K.ALL_MERCHANTS),
+    }
+    parts = {name[2:]: F.col(name) for name in described.columns if name.startswith("__")}
+    rolling = F.when(F.col("latest_metric_date").isNotNull(), fill(K.CONTEXT_ROLLING, **parts))
+    return described.select(
+        *RECORD_COLUMNS,
+        fill(K.FALLBACK_SUMMARY, **parts).alias("fallback_summary"),
+        fill(K.PROMPT_CONTEXT, **parts).alias("prompt_context"),
+        fill(K.CONTEXT, **{**parts, **scope, "rolling": F.coalesce(rolling, F.lit(K.CONTEXT_NO_ROLLING))}).alias(
+            "context_text"
+        ),
     )
-    anomaly = F.col("__anomaly")
-    watch = F.coalesce(anomaly["normalized_merchant"], F.lit("No major anomaly"))
-    watch_text = F.coalesce(
-        _line(money_text(anomaly["amount_abs"]), " · ", anomaly["anomaly_reason"]),
-        F.lit("No anomalies in the current selection."),
+
+
+def cue_columns(start: str | None, end: str | None) -> dict[str, Column]:
+    """Labels, sentences and summary cards, from the gathered figures."""
+    category, merchant, decline, anomaly = (F.col(f"__{name}") for name in ("category", "merchant", "decline", "anomaly"))
+    category_text = move_text(category, CATEGORY, K.NO_MATERIAL_CHANGE)
+    anomaly_text = fill(K.ANOMALY_TEXT, amount=money_text(anomaly["amount_abs"]), reason=anomaly["anomaly_reason"])
+    trend = fill(
+        K.CARD_TREND, delta=signed_money_text(F.col("l30_delta")), delta_pct=percent("l30_delta_pct")
     )
 
     def chosen(text: str | None, name: str) -> Column:
-        return date_text(F.lit(text).cast("date")) if text else date_text(F.col(name))
-
-    total, delta = "total_spend__metric_value_l30d", F.col("total_spend__delta_value")
-    record = base.withColumns(
-        {
-            "selected_start": chosen(start, "observed_start"),
-            "selected_end": chosen(end, "observed_end"),
-            "recent_category_label": category[0],
-            "recent_category_text": category[1],
-            "recent_category_delta": category[2],
-            "recent_merchant_label": merchant[0],
-            "recent_merchant_text": merchant[1],
-            "recent_merchant_delta": merchant[2],
-            "largest_decline_category_label": decline[0],
-            "largest_decline_category_text": decline[1],
-            "largest_decline_category_delta": decline[2],
-            "current_30d_total_spend": F.col(total),
-            "current_30d_total_spend_delta": delta,
-            "current_30d_total_spend_delta_pct": F.col("total_spend__delta_pct"),
-            "summary_card_1_title": F.lit("30D Trend"),
-            "summary_card_1_value": money_text(F.col("current_window_spend")),
-            "summary_card_1_subtitle": _line(
-                signed_money_text(delta), " vs prior 30d (", percent_text(F.col("total_spend__delta_pct")), ")"
-            ),
-            "summary_card_2_title": F.lit("Recent Driver"),
-            "summary_card_2_value": category[0],
-            "summary_card_2_subtitle": category[1],
-            "summary_card_3_title": F.lit("Watch Item"),
-            "summary_card_3_value": watch,
-            "summary_card_3_subtitle": watch_text,
-        }
+        return date_text(F.lit(text).cast("date") if text else F.col(name))
+
+    def label(row: Column, dimension: str) -> Column:
+        return F.coalesce(row[dimension], F.lit(K.NO_CHANGE))
+
+    return {
+        "selected_start": chosen(start, "observed_start"),
+        "selected_end": chosen(end, "observed_end"),
+        "current_30d_total_spend": F.col("l30_total"),
+        "current_30d_total_spend_delta": F.col("l30_delta"),
+        "current_30d_total_spend_delta_pct": F.col("l30_delta_pct"),
+        "recent_category_label": label(category, CATEGORY),
+        "recent_category_text": category_text,
+        "recent_category_delta": category["delta_amount"],
+        "recent_merchant_label": label(merchant, MERCHANT),
+        "recent_merchant_text": move_text(merchant, MERCHANT, K.NO_MATERIAL_CHANGE),
+        "recent_merchant_delta": merchant["delta_amount"],
+        "largest_decline_category_label": label(decline, CATEGORY),
+        "largest_decline_category_text": move_text(decline, CATEGORY, K.NO_DECLINE),
+        "largest_decline_category_delta": decline["delta_amount"],
+        "summary_card_1_title": F.lit(K.CARD_TITLES[0]),
+        "summary_card_1_value": money("current_window_spend"),
+        "summary_card_1_subtitle": trend,
+        "summary_card_2_title": F.lit(K.CARD_TITLES[1]),
+        "summary_card_2_value": label(category, CATEGORY),
+        "summary_card_2_subtitle": category_text,
+        "summary_card_3_title": F.lit(K.CARD_TITLES[2]),
+        "summary_card_3_value": F.coalesce(anomaly[MERCHANT], F.lit(K.NO_ANOMALY)),
+        "summary_card_3_subtitle": F.coalesce(anomaly_text, F.lit(K.NO_ANOMALY_TEXT)),
+    }
+
+
+def text_parts() -> dict[str, Column]:
+    """The formatted parts of the texts; a leading ``__`` marks them as parts, the rest is the name in the text."""
+    parts = {
+        "start": F.col("selected_start"),
+        "end": F.col("selected_end"),
+        "observed_start": date_text(F.col("observed_start")),
+        "observed_end": date_text(F.col("observed_end")),
+        "window_start": date_text(F.col("current_window_start")),
+        "window_end": date_text(F.col("current_window_end")),
+        "prior_start": date_text(F.col("prior_window_start")),
+        "prior_end": date_text(F.col("prior_window_end")),
+        "count": count("selected_transaction_count"),
+        "debit_count": count("selected_debit_count"),
+        "credit_count": count("selected_credit_count"),
+        "anomaly_count": count("selected_anomaly_count"),
+        "total_spend": money("selected_total_spend"),
+        "credit_amount": money("selected_credit_amount"),
+        "avg_debit": money("selected_avg_debit"),
+        "window_spend": money("current_window_spend"),
+        "window_recurring": money("current_window_recurring_spend"),
+        "delta": signed_money_text(F.col("l30_delta")),
+        "delta_pct": percent("l30_delta_pct"),
+        "l30_total": money("l30_total"),
+        "l30_prior": money("l30_prior"),
+        "l30_delta": money("l30_delta"),
+        "category_label": F.col("recent_category_label"),
+        "category_move": F.col("recent_category_text"),
+        "merchant_label": F.col("recent_merchant_label"),
+        "merchant_move": F.col("recent_merchant_text"),
+        "category_decline": F.col("largest_decline_category_text"),
+        "watch": F.col("summary_card_3_value"),
+        "watch_text": F.col("summary_card_3_subtitle"),
+    }
+    selected = {"recurring": "recurring", "anomaly": "anomaly", "fallback": "fallback", "enriched": "cohere",
+                "rule": "seed_rule"}
+    for name, column in selected.items():
+        parts[f"{name}_spend"] = money(f"selected_{column}_spend")
+        parts[f"{name}_share"] = percent(f"selected_{column}_share")
+    for name in ("recurring", "anomaly", "fallback", "enriched"):
+        share = guarded_ratio(F.col(f"l30_{name}"), F.col("l30_total"))
+        parts[f"l30_{name}"] = money(f"l30_{name}")
+        parts[f"l30_{name}_share"] = percent_text(share)
+    return {f"__{name}": column for name, column in parts.items()}
+
+
+def change_lines(changes: DataFrame, dimension: str, empty: str) -> Column:
+    line = fill(
+        K.CHANGE_LINE,
+        label=F.col(dimension),
+        current=money("current_spend"),
+        prior=money("prior_spend"),
+        delta=money("delta_amount"),
     )
-    described = {
-        "fallback_summary": fallback_summary(),
-        "prompt_context": prompt_context(),
-        "context_text": _context(filtered, changes, categories, merchants, view),
+    order = [(-F.col("delta_amount")).alias("a"), (-F.col("current_spend")).alias("b"), F.col(dimension)]
+    return listing(changes.limit(5), order, line, empty)
+
+
+def short_lists(filtered: DataFrame) -> dict[str, Column]:
+    """The bullet lists of leading categories, anomalies and recurring merchants."""
+    by_amount = (-F.col("amount_abs")).alias("a")
+    category_line = fill(
+        K.CATEGORY_LINE, label=F.col(CATEGORY), amount=money("amount_abs"), share=percent("spend_share")
+    )
+    anomaly_line = fill(
+        K.ANOMALY_LINE,
+        date=F.date_format("transaction_date", "yyyy-MM-dd"),
+        merchant=F.col(MERCHANT),
+        amount=money("amount_abs"),
+        reason=F.col("anomaly_reason"),
+    )
+    recurring_line = fill(
+        K.RECURRING_LINE,
+        merchant=F.col(MERCHANT),
+        category=F.col(CATEGORY),
+        amount=money("amount_abs"),
+        count=count("transaction_count"),
+    )
+    by_count = (-F.col("transaction_count")).alias("b")
+    return {
+        "__top_categories": listing(
+            slices.top_categories(filtered), [by_amount, F.col(CATEGORY)], category_line, K.NO_CATEGORIES
+        ),
+        "__largest_anomalies": listing(
+            slices.largest_anomalies(filtered), [by_amount, F.col("transaction_id")], anomaly_line, K.NO_ANOMALIES
+        ),
+        "__recurring_merchants": listing(
+            slices.recurring_merchants(filtered),
+            [by_amount, by_count, F.col(MERCHANT), F.col(CATEGORY)],
+            recurring_line,
+            K.NO_RECURRING,
+        ),
     }
-    return record.withColumns(described).select(*RECORD_COLUMNS)
 
 
 RECORD_COLUMNS = [
@@ -193,225 +296,4 @@ RECORD_COLUMNS = [
     "summary_card_3_title",
     "summary_card_3_value",
     "summary_card_3_subtitle",
-    "fallback_summary",
-    "prompt_context",
-    "context_text",
 ]
-
-
-def _spend_change() -> Column:
-    return _line(
-        signed_money_text(F.col("current_30d_total_spend_delta")),
-        " vs the prior 30 days (",
-        percent_text(F.col("current_30d_total_spend_delta_pct")),
-        ")",
-    )
-
-
-def _watch_item() -> Column:
-    return _line("- Watch item: ", F.col("summary_card_3_value"), " — ", F.col("summary_card_3_subtitle"))
-
-
-def fallback_summary() -> Column:
-    """The ready-made summary, from the record's columns."""
-    return F.concat_ws(
-        "\n",
-        F.lit("## What changed"),
-        _line(
-            "- Rolling 30-day spend is ", money_text(F.col("current_window_spend")), ", with a change of ",
-            _spend_change(), ".",
-        ),
-        _line("- Biggest category mover: ", F.col("recent_category_text")),
-        _line("- Biggest merchant mover: ", F.col("recent_merchant_text")),
-        _line("- Largest category decline: ", F.col("largest_decline_category_text")),
-        F.lit(""),
-        F.lit("## What's notable"),
-        _line(
-            "- Recurring spend in the latest 30-day window is ",
-            money_text(F.col("current_window_recurring_spend")), ".",
-        ),
-        _line(
-            "- Anomaly spend in the current selection is ", money_text(F.col("selected_anomaly_spend")), " (",
-            percent_text(F.col("selected_anomaly_share")), " of debit spend).",
-        ),
-        _watch_item(),
-        F.lit(""),
-        F.lit("## What to review"),
-        _line(
-            "- Fallback merchant coverage is ", percent_text(F.col("selected_fallback_share")),
-            " of selected debit spend.",
-        ),
-        _line(
-            "- If you are investigating recent change, start with ", F.col("recent_category_label"), " and ",
-            F.col("recent_merchant_label"), ".",
-        ),
-    )
-
-
-def prompt_context() -> Column:
-    """The compact cue list, from the record's columns."""
-    return F.concat_ws(
-        "\n",
-        F.lit("Summary cues"),
-        _line("- Selected window: ", F.col("selected_start"), " to ", F.col("selected_end")),
-        _line("- Selected debit spend: ", money_text(F.col("selected_total_spend"))),
-        _line("- Debit transactions: ", count_text(F.col("selected_debit_count"))),
-        _line(
-            "- Rolling 30-day spend: ", money_text(F.col("current_window_spend")), ", delta ",
-            signed_money_text(F.col("current_30d_total_spend_delta")), " (",
-            percent_text(F.col("current_30d_total_spend_delta_pct")), ")",
-        ),
-        _line("- Primary category shift: ", F.col("recent_category_text")),
-        _line("- Primary merchant shift: ", F.col("recent_merchant_text")),
-        _line("- Largest category decline: ", F.col("largest_decline_category_text")),
-        _line("- Recurring spend in latest 30d: ", money_text(F.col("current_window_recurring_spend"))),
-        _line(
-            "- Anomaly spend in selected window: ", money_text(F.col("selected_anomaly_spend")), " (",
-            percent_text(F.col("selected_anomaly_share")), " of debit spend)",
-        ),
-        _watch_item(),
-        _line(
-            "- Fallback merchant coverage: ", percent_text(F.col("selected_fallback_share")),
-            " of selected debit spend",
-        ),
-    )
-
-
-def _context(
-    filtered: DataFrame,
-    changes: dict[str, DataFrame],
-    categories: Sequence[str] | None,
-    merchants: Sequence[str] | None,
-    view: str,
-) -> Column:
-    """The full grounding context: scope, selection figures, rolling windows, cues and short listings."""
-
-    def with_share(kind: str) -> list[str | Column]:
-        return [
-            money_text(F.col(f"selected_{kind}_spend")), " (", percent_text(F.col(f"selected_{kind}_share")), ")",
-        ]
-
-    def rolling(label: str, key: str) -> Column:
-        value = F.col(f"{key}__metric_value_l30d")
-        share = guarded_ratio(value, F.col("total_spend__metric_value_l30d"))
-        return _line(f"- {label}: ", money_text(value), " (", percent_text(share), " of total spend)")
-
-    def moved(short: str, dimension: str) -> Column:
-        amounts = [("current ", "current_spend"), (", prior ", "prior_spend"), (", delta ", "delta_amount")]
-        pieces = [part for text, name in amounts for part in (text, money_text(F.col(name)))]
-        order = [(-F.col("delta_amount")).alias("a"), (-F.col("current_spend")).alias("b"), F.col(dimension)]
-        line = _line("- ", F.col(dimension), ": ", *pieces)
-        return _listing(changes[short].limit(5), order, line, f"- No recent {short} comparison is available.")
-
-    by_amount = (-F.col("amount_abs")).alias("a")
-    leaders = _listing(
-        slices.top_categories(filtered),
-        [by_amount, F.col("final_category")],
-        _line(
-            "- ", F.col("final_category"), ": ", money_text(F.col("amount_abs")), " (",
-            percent_text(F.col("spend_share")), ")",
-        ),
-        "- No debit categories in the current filters.",
-    )
-    outliers = _listing(
-        slices.largest_anomalies(filtered),
-        [by_amount, F.col("transaction_id")],
-        _line(
-            "- ", F.date_format("transaction_date", "yyyy-MM-dd"), " | ", F.col("normalized_merchant"), " | ",
-            money_text(F.col("amount_abs")), " | ", F.col("anomaly_reason"),
-        ),
-        "- No anomalies in the current filters.",
-    )
-    repeated = _listing(
-        slices.recurring_merchants(filtered),
-        [by_amount, (-F.col("transaction_count")).alias("b"), F.col("normalized_merchant"), F.col("final_category")],
-        _line(
-            "- ", F.col("normalized_merchant"), " | ", F.col("final_category"), " | ",
-            money_text(F.col("amount_abs")), " across ", count_text(F.col("transaction_count")), " transactions",
-        ),
-        "- No recurring merchants in the current filters.",
-    )
-    windows = F.concat_ws(
-        "\n",
-        _line(
-            "Latest rolling 30-day window: ", date_text(F.col("current_window_start")), " to ",
-            date_text(F.col("current_window_end")),
-        ),
-        _line(
-            "Prior rolling 30-day window: ", date_text(F.col("prior_window_start")), " to ",
-            date_text(F.col("prior_window_end")),
-        ),
-        _line(
-            "- Total spend: ", money_text(F.col("total_spend__metric_value_l30d")), " vs prior 30d ",
-            money_text(F.col("total_spend__metric_value_prior_l30d")),
-        ),
-        _line(
-            "- Total spend delta vs prior 30d: ", money_text(F.col("total_spend__delta_value")), " (",
-            percent_text(F.col("total_spend__delta_pct")), ")",
-        ),
-        rolling("Recurring spend", "recurring_spend"),
-        rolling("Anomaly spend", "anomaly_spend"),
-        rolling("Fallback spend", "fallback_spend"),
-        rolling("Cohere-enriched spend", "cohere_spend"),
-    )
-    nothing = F.lit("Rolling 30-day metrics\n- No daily metric rollups match the current filters.")
-    blank = F.lit("")
-    return F.concat_ws(
-        "\n",
-        F.lit("Summary scope"),
-        F.lit(f"- View mode: {view}"),
-        _line("- Selected date window: ", F.col("selected_start"), " to ", F.col("selected_end")),
-        _line(
-            "- Observed transaction window after filters: ", date_text(F.col("observed_start")), " to ",
-            date_text(F.col("observed_end")),
-        ),
-        F.lit("- Category filter: " + (", ".join(categories) if categories else "All categories")),
-        F.lit("- Merchant filter: " + (", ".join(merchants) if merchants else "All merchants")),
-        blank,
-        F.lit("Selected-window metrics from marts.fct_transactions"),
-        _line("- Total debit spend: ", money_text(F.col("selected_total_spend"))),
-        _line("- Credit amount: ", money_text(F.col("selected_credit_amount"))),
-        _line("- Total transactions: ", count_text(F.col("selected_transaction_count"))),
-        _line("- Debit transactions: ", count_text(F.col("selected_debit_count"))),
-        _line("- Credit transactions: ", count_text(F.col("selected_credit_count"))),
-        _line("- Average debit transaction: ", money_text(F.col("selected_avg_debit"))),
-        _line(
-            "- Recurring spend: ", money_text(F.col("selected_recurring_spend")), " (",
-            percent_text(F.col("selected_recurring_share")), " of debit spend)",
-        ),
-        _line(
-            "- Anomaly spend: ", money_text(F.col("selected_anomaly_spend")), " across ",
-            count_text(F.col("selected_anomaly_count")), " transactions (",
-            percent_text(F.col("selected_anomaly_share")), " of debit spend)",
-        ),
-        _line(
-            "- Merchant source coverage: seed_rule=", *with_share("seed_rule"), ", cohere_cache=",
-            *with_share("cohere"), ", fallback=", *with_share("fallback"),
-        ),
-        blank,
-        F.when(F.col("latest_metric_date").isNotNull(), windows).otherwise(nothing),
-        blank,
-        F.lit("Primary summary cues"),
-        _line("- Primary category shift for the summary card: ", F.col("recent_category_text")),
-        _line("- Primary merchant shift for the summary card: ", F.col("recent_merchant_text")),
-        _line("- Largest category decline: ", F.col("largest_decline_category_text")),
-        _line(
-            "- Watch item for the summary card: ", F.col("summary_card_3_value"), " | ",
-            F.col("summary_card_3_subtitle"),
-        ),
-        blank,
-        F.lit("Biggest recent changes by category"),
-        moved("category", "final_category"),
-        blank,
-        F.lit("Biggest recent changes by merchant"),
-        moved("merchant", "normalized_merchant"),
-        blank,
-        F.lit("Top categories in selected window"),
-        leaders,
-        blank,
-        F.lit("Largest anomalies in selected window"),
-        outliers,
-        blank,
-        F.lit("Recurring merchants in selected window"),
-        repeated,
-    )

@@ -168,11 +168,11 @@ def lexical_scores(queries: list[Row]) -> Column:
     def weight(term: str) -> Column:
         inside = lowered.contains(term)
         if " " in term:
-            return F.when(inside, 1.5).otherwise(0.0)
-        return F.when(words.contains(f" {term} "), 1.0).when(inside, 0.5).otherwise(0.0)
+            return F.when(inside, K.PHRASE_SCORE).otherwise(0.0)
+        return F.when(words.contains(f" {term} "), K.TOKEN_SCORE).when(inside, K.PART_SCORE).otherwise(0.0)
 
     def score(row: Row) -> Column:
-        whole = F.when(lowered.contains(row["query_text"].lower()), 3.0).otherwise(0.0)
+        whole = F.when(lowered.contains(row["query_text"].lower()), K.WHOLE_QUERY_SCORE).otherwise(0.0)
         return reduce(Column.__add__, [weight(term) for term in row["terms"]], whole)
 
     return F.array(*[score(row) for row in queries])

@@ -49,9 +49,10 @@ def stored_candidates(c: Context):
 
 
 def rerank_scores(c: Context, found):
-    """External scores by place for the first queries; one query has none."""
+    """External scores by place, for candidates with some lexical match; one query was never reranked."""
     place = F.col("candidate_index")
-    return found.filter("query_id <> 4 and candidate_index % 7 <> 3").select(
+    reranked = found.filter("lexical_score >= 1 and not contains(lower(query_text), 'services')")
+    return reranked.select(
         "query_id", "candidate_index", (((place * 13) % 60) / F.lit(200.0)).alias("rerank_score")
     )
 
@@ -155,9 +156,10 @@ ranked as (
 ),
 found as (select * from ranked where candidate_index < 60),
 merged as (
-  select *, case when query_id <> 4 and candidate_index % 7 <> 3
+  select *, case when lexical_score >= 1 and not contains(lower(query_text), 'services')
                  then ((candidate_index * 13) % 60) / 200.0::double end as rerank_score,
-         if(query_id <> 4, 'cohere_rerank', 'hybrid_semantic') as rank_source
+         if(bool_or(lexical_score >= 1 and not contains(lower(query_text), 'services')) over (partition by query_id),
+            'cohere_rerank', 'hybrid_semantic') as rank_source
   from found
 )
 """
