@@ -32,13 +32,12 @@ def using_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, on=key, how="left")
 
 
-def composite_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on all grain columns of ``right``; a shorter key would multiply rows."""
-    return left.join(right, on=list(keys), how="left")
-
-
 def null_safe_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which a missing key matches a missing key, as window partitions do."""
+    """Left join in which a missing key matches a missing key, as window partitions do.
+
+    The join hashes its own form of the keys, so both sides are shuffled for it even where ``right`` was just
+    grouped by them. AQE splits a hot key only below such a shuffle.
+    """
     renamed = right.withColumnsRenamed({key: f"__right_{key}" for key in keys})
     same = F.lit(True)
     for key in keys:
@@ -46,6 +45,12 @@ def null_safe_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str])
     return left.join(renamed, same, "left").drop(*[f"__right_{key}" for key in keys])
 
 
+def composite_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on all grain columns of ``right``, where a shorter key would multiply rows; missing keys match
+    nothing. A hot key on the left is split, also where ``right`` is a fresh aggregate."""
+    return null_safe_left_join(left, right.dropna(subset=list(keys)), keys)
+
+
 def conditional_left_join(left: DataFrame, right: DataFrame, key: str, right_predicate: Column) -> DataFrame:
     """Left join where only some right rows may match; filtering them first keeps the unmatched left rows."""
     return left.join(right.filter(right_predicate), on=key, how="left")

@@ -92,15 +92,22 @@ def _step(date: Column, value: Column, current: Column, earlier: Column) -> Colu
 
 
 def dense_metrics(
-    fact: DataFrame, bounds: DataFrame, dims: Sequence[str], start: str | None = None, end: str | None = None
+    fact: DataFrame,
+    bounds: DataFrame,
+    dims: Sequence[str],
+    start: str | None = None,
+    end: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Dense daily series per metric and ``dims`` over the days of ``bounds``, with both 30-day sums.
 
     A value enters the current sum on its day, moves to the earlier sum after 30 days and leaves after 60. These
     steps are sparse: running totals over them give both sums, and each step is then repeated for the days up to
     the next one. Only sparse rows are shuffled and sorted, a series contributes at most three rows per day
-    however many transactions it has, and the dense rows come straight out of a narrow step. ``start`` and
-    ``end`` bound the days that come out; the sums still see all days.
+    however many transactions it has, and the dense rows come straight out of a narrow step. The steps are placed
+    by series once, which serves their sums and both windows. ``start`` and ``end`` bound the days that come out;
+    the sums still see all days. ``partitions`` fixes the number of output tasks where the dense rows need more of
+    them than the small sparse input suggests to AQE.
     """
     series = [*dims, "metric_key"]
     first, last = bounds.select("min_date").scalar(), bounds.select("max_date").scalar()
@@ -111,11 +118,10 @@ def dense_metrics(
         _step(F.date_add(day, SPAN), zero, -value, value),
         _step(F.date_add(day, 2 * SPAN), zero, zero, -value),
     )
+    placed = daily_values(fact, dims).select(*series, F.inline(steps)).filter(day <= last)
+    placed = placed.repartition(partitions, *series) if partitions else placed.repartition(*series)
     sparse = (
-        daily_values(fact, dims)
-        .select(*series, F.inline(steps))
-        .filter(day <= last)
-        .groupBy(*series, "metric_date")
+        placed.groupBy(*series, "metric_date")
         .agg(*[F.sum(name).cast(VALUE).alias(name) for name in ("metric_value", "current_step", "earlier_step")])
     )
     running = Window.partitionBy(*series).orderBy("metric_date").rowsBetween(Window.unboundedPreceding, 0)
@@ -147,9 +153,11 @@ def dense_metrics(
     )
 
 
-def mart_daily_metric_values(fact: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+def mart_daily_metric_values(
+    fact: DataFrame, start: str | None = None, end: str | None = None, partitions: int | None = None
+) -> DataFrame:
     """Dense daily series per metric, category, merchant and sources, optionally only some days of it."""
-    return dense_metrics(fact, date_bounds(fact, "transaction_date"), DIMS, start, end)
+    return dense_metrics(fact, date_bounds(fact, "transaction_date"), DIMS, start, end, partitions)
 
 
 def daily_totals(

@@ -53,7 +53,8 @@ def transaction_features(normalized: DataFrame) -> DataFrame:
     by_merchant = group_stats(enriched, merchant, "amount_abs", "merchant")
     by_category = group_stats(enriched, "final_category", "amount_abs", "category")
     per_day = null_safe_left_join(previous_dates(enriched, merchant, day, tie), by_merchant, [merchant])
-    joined = null_safe_left_join(enriched, per_day, [merchant, day]).join(by_category, "final_category", "left")
+    joined = null_safe_left_join(enriched, per_day, [merchant, day])
+    joined = null_safe_left_join(joined, by_category, ["final_category"])
     previous = lag_from_previous(F.col("__first"), F.col("__previous_day"), F.col(day), F.col(tie))
     dated = joined.withColumn("previous_merchant_transaction_date", previous)
     amount = F.col("amount_abs")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from ledgerspark.constants import REQUIRED_COLUMNS
-
 
 def _struct(spec: str) -> T.StructType:
     names = {
@@ -21,9 +19,6 @@ def _struct(spec: str) -> T.StructType:
     return T.StructType([T.StructField(name, names[kind]) for name, kind in fields])
 
 
-# A card export arrives as text; staging gives the columns their real types.
-CARD_EXPORT = T.StructType([T.StructField(name, T.StringType()) for name in REQUIRED_COLUMNS])
-
 MERCHANT_RULES = _struct(
     "pattern:string normalized_merchant:string merchant_group:string default_category:string"
 )

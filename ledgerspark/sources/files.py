@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ledgerspark.constants import REQUIRED_COLUMNS
 from ledgerspark.operators.quality import missing_columns
@@ -24,10 +24,13 @@ def csv_scan(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED_
 
     The header is checked before any data is read, and the error names every missing column in order.
     """
-    missing = missing_columns(csv_header(spark, path), required)
+    header = csv_header(spark, path)
+    missing = missing_columns(header, required)
     if missing:
         raise ValueError(f"CSV is missing required columns: {missing}")
-    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    # Each file's header is compared with the schema, so files with another column order fail loudly.
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     return rows.select(*[F.col(f"`{name}`") for name in required], "_metadata")
 
 

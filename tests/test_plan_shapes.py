@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.operators.filters import filter_transactions
+from ledgerspark.operators.joins import composite_left_join
 from ledgerspark.plans import daily, features, marts, normalization, slices
 from ledgerspark.plans.staging import stage_transactions
 from ledgerspark.schemas import ENRICHMENT_CACHE
@@ -67,6 +69,8 @@ def test_windows_of_the_daily_mart_see_sparse_rows(fact):
     text = plan(daily.mart_daily_metric_values(fact))
     assert text.index("Generate") < text.index("Window")
     assert "HashAggregate" in text[text.index("Window"):]
+    # One move by day and dimensions, one by series; the subqueries for the date bounds bring single rows.
+    assert text.count("Exchange hashpartitioning") == 2
 
 
 def test_filters_and_columns_reach_the_scan(fact):
@@ -90,3 +94,38 @@ def test_top_k_is_limited_before_the_shuffle(fact):
     ranked = rank_over_aggregate(fact, "final_category", "normalized_merchant", "amount_abs", "s", "r", 2)
     assert "WindowGroupLimit" in plan(ranked)
     assert "TakeOrderedAndProject" in plan(slices.top_merchants(fact, 3))
+
+
+def test_a_hot_key_is_split_in_the_recurrence_join(spark):
+    """A third and more of all rows share one merchant; the join splits them over several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        # With eight partitions a third of the rows is less than five times the median partition.
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        merchant = F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("m"), (F.col("id") % 5000).cast("string")))
+        left = stored(
+            spark.range(0, 90000, 1, 8).select("id", merchant.alias("m"), F.lit("c").alias("c"), F.sha2("m", 256).alias("pad")),
+            "skew-left",
+        )
+        right = left.groupBy("m", "c").agg(F.count("*").alias("n"))
+        joined = composite_left_join(left, right, ["m", "c"])
+        rows = joined.groupBy((F.col("n") > 1000).alias("hot")).agg(F.count("*").alias("rows"))
+        assert {row["hot"]: row["rows"] for row in rows.collect()} == {True: 30000, False: 60000}
+        joined.collect()
+        final = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

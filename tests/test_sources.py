@@ -33,6 +33,14 @@ def test_missing_columns_are_named_in_order(spark, tmp_path):
         files.csv_scan(spark, path)
 
 
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    write(tmp_path / "1.csv", ["01/01/2025,01/01/2025,A,F,Sale,-1,"])
+    swapped = "Post Date,Transaction Date,Description,Category,Type,Amount,Memo"
+    write(tmp_path / "2.csv", ["01/01/2025,01/01/2025,A,F,Sale,-1,"], swapped)
+    with pytest.raises(Exception, match="header|Header"):
+        files.csv_scan(spark, str(tmp_path)).drop("_metadata").collect()
+
+
 def test_latest_file_by_modification_time(spark, tmp_path):
     write(tmp_path / "z_old.csv", ["01/01/2025,01/01/2025,OLD,F,Sale,-1,"], age=1000)
     write(tmp_path / "a_new.CSV", ["01/01/2025,01/01/2025,NEW,F,Sale,-1,"], age=10)
