@@ -101,7 +101,7 @@ def summary_record(
         "__merchant_changes": change_lines(by_merchant, MERCHANT, K.NO_MERCHANT_CHANGES),
         **short_lists(filtered),
     }
-    described = texts.withColumns({name: column for name, column in lists.items()})
+    described = texts.withColumns(lists)
     scope = {
         "view": F.lit(view),
         "categories": F.lit(", ".join(categories) if categories else K.ALL_CATEGORIES),
@@ -121,7 +121,8 @@ def summary_record(
 
 def cue_columns(start: str | None, end: str | None) -> dict[str, Column]:
     """Labels, sentences and summary cards, from the gathered figures."""
-    category, merchant, decline, anomaly = (F.col(f"__{name}") for name in ("category", "merchant", "decline", "anomaly"))
+    category, merchant = F.col("__category"), F.col("__merchant")
+    decline, anomaly = F.col("__decline"), F.col("__anomaly")
     category_text = move_text(category, CATEGORY, K.NO_MATERIAL_CHANGE)
     anomaly_text = fill(K.ANOMALY_TEXT, amount=money_text(anomaly["amount_abs"]), reason=anomaly["anomaly_reason"])
     trend = fill(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions.amounts import guarded_ratio, month_bucket
+from ledgerspark.functions.rules import severity_score
 from ledgerspark.operators.aggregates import mean, total
 from ledgerspark.operators.joins import scalar_cross_join, visible_semi_join
 from ledgerspark.operators.ordering import display_position, multi_key_sort, top_k_limit, top_one
@@ -58,8 +59,7 @@ def daily_spend(filtered: DataFrame) -> DataFrame:
 
 
 def anomaly_ranking(filtered: DataFrame, k: int = 10) -> DataFrame:
-    merchant_z, category_z = F.col("zscore_vs_merchant"), F.col("zscore_vs_category")
-    severity = F.greatest(F.coalesce(merchant_z, F.lit(0.0)), F.coalesce(category_z, F.lit(0.0)))
+    severity = severity_score(F.col("zscore_vs_merchant"), F.col("zscore_vs_category"))
     flagged = filtered.filter("is_anomaly").select(
         "transaction_id",
         "transaction_date",
@@ -250,13 +250,6 @@ def primary_mover(changes: DataFrame, dimension: str) -> DataFrame:
     return top_one(moved, order).drop("__rank", "__size")
 
 
-def largest_anomaly(filtered: DataFrame) -> DataFrame:
-    flagged = filtered.filter("is_debit and is_anomaly").select(
-        "transaction_id", "transaction_date", "normalized_merchant", AMOUNT, "anomaly_reason"
-    )
-    return top_one(flagged, [(AMOUNT, "desc"), ("transaction_id", "asc")])
-
-
 def largest_anomalies(filtered: DataFrame, k: int = 5) -> DataFrame:
     flagged = filtered.filter("is_debit and is_anomaly").select(
         "transaction_id", "transaction_date", "normalized_merchant", AMOUNT, "anomaly_reason"
@@ -264,6 +257,10 @@ def largest_anomalies(filtered: DataFrame, k: int = 5) -> DataFrame:
     return top_k_limit(flagged, [(AMOUNT, "desc"), ("transaction_id", "asc")], k)
 
 
+def largest_anomaly(filtered: DataFrame) -> DataFrame:
+    return largest_anomalies(filtered, 1)
+
+
 def top_categories(filtered: DataFrame, k: int = 5) -> DataFrame:
     whole = filtered.filter("is_debit").agg(F.sum(AMOUNT).alias("whole")).scalar()
     leaders = top_k_limit(spend_by(filtered, "final_category"), [(AMOUNT, "desc"), ("final_category", "asc")], k)

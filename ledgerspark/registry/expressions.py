@@ -16,6 +16,7 @@ from ledgerspark.plans.features import recurring_transactions
 from ledgerspark.plans.normalization import merchant_normalization, resolve_precedence, with_best_rule
 from ledgerspark.plans.staging import stage_enrichments, stage_transactions
 from ledgerspark.registry.context import Context
+from ledgerspark.schemas import ENRICHMENT_REPLY
 
 ID = "transaction_id"
 
@@ -246,7 +247,7 @@ def gated(c: Context):
     return search.confidence_gate(_scores(c)).select(ID)
 
 
-def _enrichment_replies(c: Context):
+def enrichment_replies(c: Context):
     """A model reply for every raw description, some without an object or with missing fields."""
     kinds = c.fact.groupBy("raw_description").agg(F.count("*").alias("n"))
     kind = F.col("n") % 5
@@ -273,10 +274,8 @@ REPLIES_SQL = """replies as (
 
 
 def json_objects(c: Context):
-    from ledgerspark.schemas import ENRICHMENT_REPLY
-
     parsed = text.extract_json_object(F.col("reply"), ENRICHMENT_REPLY)
-    return _enrichment_replies(c).withColumn("parsed", parsed).select(
+    return enrichment_replies(c).withColumn("parsed", parsed).select(
         "raw_description",
         F.col("parsed.suggested_merchant").alias("suggested_merchant"),
         F.col("parsed.suggested_category").alias("suggested_category"),
@@ -306,10 +305,10 @@ def tags(c: Context):
 
 
 def validated(c: Context):
-    return enrichment.validate_enrichment(_enrichment_replies(c), c.review).drop("created_at")
+    return enrichment.validate_enrichment(enrichment_replies(c), c.review).drop("created_at")
 
 
-def _profile_replies(c: Context):
+def profile_replies(c: Context):
     """A batched reply for every merchant: its profile, and one of a stranger nobody asked for."""
     merchants = c.fact.groupBy("normalized_merchant").agg(F.min("final_category").alias("final_category"))
     item = F.struct(
@@ -331,7 +330,7 @@ def _profile_replies(c: Context):
 
 
 def profile_matches(c: Context):
-    return enrichment.profile_batch_match(_profile_replies(c), enrichment.merchant_candidates(c.fact))
+    return enrichment.profile_batch_match(profile_replies(c), enrichment.merchant_candidates(c.fact))
 
 
 def profile_sentences(c: Context):

@@ -10,7 +10,7 @@ from ledgerspark.operators import caches, quality
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_SEARCH, out
 from ledgerspark.plans import enrichment, search
 from ledgerspark.registry.context import Context
-from ledgerspark.registry.expressions import REPLIES_SQL, _enrichment_replies, _profile_replies
+from ledgerspark.registry.expressions import REPLIES_SQL, enrichment_replies, profile_replies
 from ledgerspark.registry.relational import embedding_states
 from ledgerspark.session import stored
 
@@ -76,12 +76,12 @@ def diagnostics(c: Context):
 
 
 def cycle(c: Context):
-    return enrichment.enrichment_cycle(c.review, c.enrichment_cache, _enrichment_replies(c)).drop("created_at")
+    return enrichment.enrichment_cycle(c.review, c.enrichment_cache, enrichment_replies(c)).drop("created_at")
 
 
 def profile_cycle(c: Context):
     filled = enrichment.profile_backfill(
-        enrichment.merchant_candidates(c.fact), c.profiles, _profile_replies(c), testbed.MODEL, testbed.CACHE_TIME
+        enrichment.merchant_candidates(c.fact), c.profiles, profile_replies(c), testbed.MODEL, testbed.CACHE_TIME
     )
     return filled
 
@@ -89,7 +89,7 @@ def profile_cycle(c: Context):
 def profile_stats(c: Context):
     """Merchants that ever paid a credit get no reply."""
     credited = c.fact.filter("is_credit").select("normalized_merchant").distinct()
-    replies = _profile_replies(c).join(credited, "normalized_merchant", "left_anti")
+    replies = profile_replies(c).join(credited, "normalized_merchant", "left_anti")
     return enrichment.profile_backfill_stats(
         enrichment.merchant_candidates(c.fact), c.profiles, replies, testbed.MODEL
     )

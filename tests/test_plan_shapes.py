@@ -113,7 +113,7 @@ def test_a_hot_key_is_split_in_the_recurrence_join(spark):
     try:
         merchant = F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("m"), (F.col("id") % 5000).cast("string")))
         left = stored(
-            spark.range(0, 90000, 1, 8).select("id", merchant.alias("m"), F.lit("c").alias("c"), F.sha2("m", 256).alias("pad")),
+            spark.range(0, 90000, 1, 8).select("id", merchant.alias("m"), F.lit("c").alias("c"), F.sha2(F.col("id").cast("string"), 256).alias("pad")),
             "skew-left",
         )
         right = left.groupBy("m", "c").agg(F.count("*").alias("n"))
