@@ -168,6 +168,88 @@ def mover(view: str, dimension: str, where: str, order: str, missing: str) -> st
 
 _FLAT = "No material change versus the prior 30 days."
 _RISES = "delta_amount <> 0", "(delta_amount <= 0), abs(delta_amount) desc"
+
+
+def share(expression: str, whole: str = "selected_total_spend") -> str:
+    return percent(f"({expression})::double / nullif({whole}, 0)::double")
+
+
+def long_date(expression: str) -> str:
+    return f"strftime({expression}, '%b %-d, %Y')"
+
+
+def rolled_line(label: str, key: str) -> str:
+    value = f"(select max(metric_value_l30d) from rollup where metric_key = '{key}')"
+    return f"'- {label}: ' || {money(value)} || ' (' || {share(value, 'l30')} || ' of total spend)'"
+
+
+def lines(line: str, order: str, source: str, empty: str) -> str:
+    """At most five rows of a source as lines in an order, or a fixed line."""
+    return (
+        f"coalesce((select string_agg({line}, chr(10) order by {order}) from "
+        f"(select * from {source} order by {order} limit 5)), '{empty}')"
+    )
+
+
+def change_lines(view: str, dimension: str, empty: str) -> str:
+    line = (
+        f"'- ' || {dimension} || ': current ' || {money('current_spend')} || ', prior ' || {money('prior_spend')} "
+        f"|| ', delta ' || {money('delta_amount')}"
+    )
+    return lines(line, f"delta_amount desc, current_spend desc, {dimension}", view, empty)
+
+
+CONTEXT_SQL = f"""concat_ws(chr(10), 'Summary scope', '- View mode: all',
+  '- Selected date window: ' || {long_date(f"date '{START}'")} || ' to ' || {long_date(f"date '{END}'")},
+  '- Observed transaction window after filters: ' || {long_date('observed_start')} || ' to ' || {long_date('observed_end')},
+  '- Category filter: All categories', '- Merchant filter: All merchants', '',
+  'Selected-window metrics from marts.fct_transactions',
+  '- Total debit spend: ' || {money('selected_total_spend')}, '- Credit amount: ' || {money('selected_credit_amount')},
+  '- Total transactions: ' || format('{{:,}}', selected_transaction_count),
+  '- Debit transactions: ' || format('{{:,}}', selected_debit_count),
+  '- Credit transactions: ' || format('{{:,}}', selected_credit_count),
+  '- Average debit transaction: ' || {money('selected_avg_debit')},
+  '- Recurring spend: ' || {money('selected_recurring_spend')} || ' (' || {share('selected_recurring_spend')}
+    || ' of debit spend)',
+  '- Anomaly spend: ' || {money('selected_anomaly_spend')} || ' across ' || format('{{:,}}', selected_anomaly_count)
+    || ' transactions (' || {share('selected_anomaly_spend')} || ' of debit spend)',
+  '- Merchant source coverage: seed_rule=' || {money('rule_spend')} || ' (' || {share('rule_spend')}
+    || '), cohere_cache=' || {money('enriched_spend')} || ' (' || {share('enriched_spend')} || '), fallback='
+    || {money('fallback_spend')} || ' (' || {share('fallback_spend')} || ')', '',
+  'Latest rolling 30-day window: ' || {long_date('latest_metric_date - 29')} || ' to ' || {long_date('latest_metric_date')},
+  'Prior rolling 30-day window: ' || {long_date('latest_metric_date - 59')} || ' to '
+    || {long_date('latest_metric_date - 30')},
+  '- Total spend: ' || {money('l30')} || ' vs prior 30d ' || {money('l30_prior')},
+  '- Total spend delta vs prior 30d: ' || {money('l30_delta')} || ' (' || {percent('l30_pct')} || ')',
+  {rolled_line('Recurring spend', 'recurring_spend')}, {rolled_line('Anomaly spend', 'anomaly_spend')},
+  {rolled_line('Fallback spend', 'fallback_spend')}, {rolled_line('Cohere-enriched spend', 'cohere_spend')}, '',
+  'Primary summary cues',
+  '- Primary category shift for the summary card: ' || cu_text,
+  '- Primary merchant shift for the summary card: ' || mu_text,
+  '- Largest category decline: ' || cd_text,
+  '- Watch item for the summary card: ' || watch_label || ' | ' || watch_text, '',
+  'Biggest recent changes by category',
+  {change_lines('category_moves', 'final_category', '- No recent category comparison is available.')}, '',
+  'Biggest recent changes by merchant',
+  {change_lines('merchant_moves', 'normalized_merchant', '- No recent merchant comparison is available.')}, '',
+  'Top categories in selected window',
+  {lines(f"'- ' || final_category || ': ' || {money('s')} || ' (' || {share('s', '(select sum(amount_abs) from chosen_debits)')} || ')'",
+         's desc, final_category',
+         '(select final_category, sum(amount_abs) as s from chosen_debits group by 1)',
+         '- No debit categories in the current filters.')}, '',
+  'Largest anomalies in selected window',
+  {lines(f"'- ' || strftime(transaction_date, '%Y-%m-%d') || ' | ' || normalized_merchant || ' | ' || "
+         f"{money('amount_abs')} || ' | ' || anomaly_reason",
+         'amount_abs desc, transaction_id', '(select * from chosen_debits where is_anomaly)',
+         '- No anomalies in the current filters.')}, '',
+  'Recurring merchants in selected window',
+  {lines(f"'- ' || normalized_merchant || ' | ' || final_category || ' | ' || {money('s')} || ' across ' || "
+         "format('{:,}', n) || ' transactions'",
+         's desc, n desc, normalized_merchant, final_category',
+         '(select normalized_merchant, final_category, sum(amount_abs) as s, count(*) as n from chosen_debits '
+         'where is_recurring group by all)',
+         '- No recurring merchants in the current filters.')}
+) as context_text"""
 SUMMARY_SQL = CHOSEN_DAILY.rstrip() + f""",
 figures as (
   select coalesce(sum(amount_abs) filter (is_debit), 0) as selected_total_spend,
@@ -178,7 +260,10 @@ figures as (
          coalesce(sum(amount_abs) filter (is_debit and is_recurring), 0) as selected_recurring_spend,
          coalesce(sum(amount_abs) filter (is_debit and is_anomaly), 0) as selected_anomaly_spend,
          count(*) filter (is_debit and is_anomaly) as selected_anomaly_count,
-         coalesce(sum(amount_abs) filter (is_debit and merchant_source = 'fallback'), 0) as fallback_spend
+         coalesce(sum(amount_abs) filter (is_debit and merchant_source = 'fallback'), 0) as fallback_spend,
+         coalesce(sum(amount_abs) filter (is_debit and merchant_source = 'cohere_cache'), 0) as enriched_spend,
+         coalesce(sum(amount_abs) filter (is_debit and merchant_source = 'seed_rule'), 0) as rule_spend,
+         min(transaction_date) as observed_start, max(transaction_date) as observed_end
   from chosen
 ),
 latest as (select max(metric_date) as latest_metric_date from chosen_rolling),
@@ -203,7 +288,8 @@ watch as (
   from (select * from chosen_debits where is_anomaly order by amount_abs desc, transaction_id limit 1)
 ),
 together as (
-  select f.*, w.*, latest_metric_date, s.metric_value_l30d as l30, s.delta_value as l30_delta, s.delta_pct as l30_pct,
+  select f.*, w.*, latest_metric_date, s.metric_value_l30d as l30, s.metric_value_prior_l30d as l30_prior,
+         s.delta_value as l30_delta, s.delta_pct as l30_pct,
          cu.label as cu_label, cu.sentence as cu_text, cu.delta as cu_delta,
          mu.label as mu_label, mu.sentence as mu_text, mu.delta as mu_delta,
          cd.label as cd_label, cd.sentence as cd_text, cd.delta as cd_delta,
@@ -252,7 +338,8 @@ concat_ws(chr(10), 'Summary cues',
     || ' of debit spend)',
   '- Watch item: ' || watch_label || ' — ' || watch_text,
   '- Fallback merchant coverage: ' || {percent('fallback_share')} || ' of selected debit spend'
-) as prompt_context
+) as prompt_context,
+{CONTEXT_SQL}
 from together"""
 
 ENTRIES = {
@@ -467,6 +554,5 @@ d:prior_window_end=max(day) - 30""") + " from sided",
         "from chosen_debits where is_recurring group by all order by s desc, transaction_count desc, "
         "normalized_merchant, final_category limit 5)",
     ),
-    "summary_record": (lambda c: summary(c).drop("context_text"), SUMMARY_SQL),
-    "summary_context": (lambda c: summary(c).select(F.explode(F.split("context_text", "\n")).alias("line")), None),
+    "summary_record": (summary, SUMMARY_SQL),
 }
