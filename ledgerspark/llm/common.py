@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -49,9 +50,22 @@ def units(text: str) -> list[str]:
     return _LONE_SPACE.split(text)
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """Let Python workers on this machine, and on others with the same layout, import this library.
+
+    Elsewhere install the package on the executors or ship it with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = df.sparkSession.sparkContext.environment
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df
+
+
 def fields(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so other columns of the input can clash with nothing."""
-    return df.select(*(F.col(f"`{given}`").alias(name) for name, given in columns.items()))
+    return importable(df).select(*(F.col(f"`{given}`").alias(name) for name, given in columns.items()))
 
 
 def arrow_rows(df: DataFrame, schema: StructType | str, work: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
@@ -67,7 +81,7 @@ def arrow_rows(df: DataFrame, schema: StructType | str, work: Callable[[dict[str
                 out = work({name: column.to_pylist() for name, column in zip(batch.schema.names, batch.columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return importable(df).mapInArrow(run, target)
 
 
 def fold(id_column, folds: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts
+from . import bpe_counts, merge_encoding, packing
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -17,11 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op7_merge_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_encoding.encode_decode(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op7_merge_encoding": op7_merge_encoding,
     "op8_token_counts": op8_token_counts,
 }
 
