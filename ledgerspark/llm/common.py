@@ -18,9 +18,6 @@ WORDS = re.compile(WORD)
 _BESIDE_SPACE = re.compile(r" \s|\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
-#: Lower-cases A to Z only, whatever the locale.
-ASCII_LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
-
 #: Entries a per-process cache of words may hold; a full cache is emptied, which changes no result.
 CACHE_ENTRIES = 600_000
 
@@ -87,3 +84,22 @@ def arrow_rows(df: DataFrame, schema: StructType | str, work: Callable[[dict[str
 def fold(id_column, folds: int):
     """crc32 of an id written as text, modulo ``folds``; an id that is null counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, A to Z in lower case. Bytes split at exactly the white space of ``WORD``."""
+    return text.encode().lower().split() if text else []
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound: int, used=None) -> DataFrame:
+    """Documents with a known 0/1 ``label``: those of the ``bound`` ids that come first by hash, among the ids ``used``.
+
+    Null ids and labels are left out; an id labelled twice counts as 1 if any label is 1. The labels side of the join
+    has at most ``bound`` rows of two numbers, which is the proof that it may be broadcast.
+    """
+    known = labels.select(F.col("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
+    if used is not None:
+        known = known.where(used(F.col("doc_id")))
+    picked = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return documents.join(F.broadcast(picked), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, merge_encoding, packing
+from . import bpe_counts, merge_encoding, packing, ranking, sketch
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -21,6 +21,11 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return ranking.score(documents, ranking.train(documents, table(spark, folder, "labels")))
+
+
 def op7_merge_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return merge_encoding.encode_decode(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -29,10 +34,16 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.compare_with_edits(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_pairwise_quality": op3_pairwise_quality,
     "op7_merge_encoding": op7_merge_encoding,
     "op8_token_counts": op8_token_counts,
+    "op10_scaled_sketch": op10_scaled_sketch,
 }
 
 ORACLES: dict[str, str] = {}
