@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, merge_encoding, packing, ranking, sketch
+from . import bpe_counts, merge_encoding, packing, ranking, severity, sketch
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return severity.score(documents, severity.train(documents, table(spark, folder, "labels")))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -39,6 +44,7 @@ def op10_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_packing": op2_packing,
     "op3_pairwise_quality": op3_pairwise_quality,
     "op7_merge_encoding": op7_merge_encoding,
