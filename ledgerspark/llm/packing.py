@@ -33,7 +33,7 @@ from .bpe_counts import BYTE_LEVEL_SPLIT, byte_symbols
 from .common import BoundedCache, arrow_rows, fields, importable, units
 
 #: Pieces of one length are numbered in blocks of at least so many rows.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 256
 
 
 class ByteEncoder:
@@ -52,7 +52,7 @@ class ByteEncoder:
         special = {token["content"]: token["id"] for token in spec.get("added_tokens", [])}
         ranks = {bytes(symbols[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        self.after_space = BoundedCache(lambda unit: self.unit_ids(" " + unit))
+        self.after_space = BoundedCache(lambda unit: self.unit_ids(" " + unit), 400_000)
 
     def unit_ids(self, unit: str) -> bytes:
         return array("I", self.encoding.encode(unit, allowed_special="all")).tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, merge_encoding, packing, ranking, severity, sketch
+from . import bpe_counts, merge_encoding, packing, ranking, severity, sketch, skip_chain
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -31,6 +31,11 @@ def op3_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.score(documents, ranking.train(documents, table(spark, folder, "labels")))
 
 
+def op5_skip_chain_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return skip_chain.found_spans(documents, skip_chain.train(documents))
+
+
 def op7_merge_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return merge_encoding.encode_decode(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_packing": op2_packing,
     "op3_pairwise_quality": op3_pairwise_quality,
+    "op5_skip_chain_pii": op5_skip_chain_pii,
     "op7_merge_encoding": op7_merge_encoding,
     "op8_token_counts": op8_token_counts,
     "op10_scaled_sketch": op10_scaled_sketch,
