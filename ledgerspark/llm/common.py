@@ -91,15 +91,19 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def first_ids(rows: DataFrame, bound: int, *extra) -> DataFrame:
+    """The ``bound`` distinct doc_ids that come first by hash, with aggregates ``extra`` over their rows."""
+    picked = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), *extra).drop("n")
+    return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound: int, used=None) -> DataFrame:
     """Documents with a known 0/1 ``label``: those of the ``bound`` ids that come first by hash, among the ids ``used``.
 
     Null ids and labels are left out; an id labelled twice counts as 1 if any label is 1. The labels side of the join
     has at most ``bound`` rows of two numbers, which is the proof that it may be broadcast.
     """
-    known = labels.select(F.col("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
+    known = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("label")).dropna()
     if used is not None:
         known = known.where(used(F.col("doc_id")))
-    picked = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return documents.join(F.broadcast(picked), "doc_id")
+    return documents.join(F.broadcast(first_ids(known, bound, F.max("label").alias("label"))), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, merge_encoding, packing, ranking, severity, sketch, skip_chain
+from . import bpe_counts, merge_encoding, ngram_rules, packing, ranking, severity, sketch, skip_chain
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -44,6 +44,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_ngram_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.compare_with_edits(table(spark, folder, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_skip_chain_pii": op5_skip_chain_pii,
     "op7_merge_encoding": op7_merge_encoding,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_quality_rules": op9_ngram_quality_rules,
     "op10_scaled_sketch": op10_scaled_sketch,
 }
 
