@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, merge_encoding, ngram_rules, packing, ranking, severity, sketch, skip_chain
+from . import bpe_counts, hamming, merge_encoding, ngram_rules, packing, ranking, severity, sketch, skip_chain
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op3_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.score(documents, ranking.train(documents, table(spark, folder, "labels")))
 
 
+def op4_multi_index_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_skip_chain_pii(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return skip_chain.found_spans(documents, skip_chain.train(documents))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_packing": op2_packing,
     "op3_pairwise_quality": op3_pairwise_quality,
+    "op4_multi_index_simhash": op4_multi_index_simhash,
     "op5_skip_chain_pii": op5_skip_chain_pii,
     "op7_merge_encoding": op7_merge_encoding,
     "op8_token_counts": op8_token_counts,
