@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, hamming, merge_encoding, ngram_rules, packing, ranking, severity, sketch, skip_chain
+from . import bpe_counts, hamming, katz, merge_encoding, ngram_rules, packing, ranking, severity, sketch, skip_chain
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -40,6 +40,10 @@ def op5_skip_chain_pii(spark: SparkSession, folder: str) -> DataFrame:
     return skip_chain.found_spans(documents, skip_chain.train(documents))
 
 
+def op6_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score(table(spark, folder, "documents"))
+
+
 def op7_merge_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return merge_encoding.encode_decode(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pairwise_quality": op3_pairwise_quality,
     "op4_multi_index_simhash": op4_multi_index_simhash,
     "op5_skip_chain_pii": op5_skip_chain_pii,
+    "op6_katz_backoff": op6_katz_backoff,
     "op7_merge_encoding": op7_merge_encoding,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_quality_rules": op9_ngram_quality_rules,
