@@ -60,6 +60,14 @@ def importable(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as make it a new column name, whatever the case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fields(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so other columns of the input can clash with nothing."""
     return importable(df).select(*(F.col(f"`{given}`").alias(name) for name, given in columns.items()))

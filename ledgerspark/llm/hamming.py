@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.session import stored
 
-from .common import arrow_rows, fields, words_of
+from .common import arrow_rows, fields, free_name, words_of
 
 SEGMENTS, SEGMENT_BITS = 2, 32
 DISTANCE = 2
@@ -135,6 +135,7 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     """One document of each component, all columns kept: the one with the smallest id, and of its rows the first by text."""
     prints = stored(fingerprints(documents), "fingerprints")
     kept = near_groups(prints).select("keeper.id", "keeper.hash").distinct()
-    rows = documents.withColumns({"__hash": F.xxhash64("text")})
-    match = rows["doc_id"].eqNullSafe(kept["id"]) & (rows["__hash"] == kept["hash"])
-    return rows.join(kept, match, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    mark = free_name(documents, "text_hash")
+    rows = documents.withColumn(mark, F.xxhash64("text"))
+    match = rows["doc_id"].eqNullSafe(kept["id"]) & (rows[mark] == kept["hash"])
+    return rows.join(kept, match, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark)

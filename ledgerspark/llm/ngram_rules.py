@@ -73,8 +73,8 @@ def bucket_ratios(counts: DataFrame) -> DataFrame:
     )
     return listed.select(
         F.expr(
-            f"transform(found, b -> if(b.raw is null, 0, cast(round({SCALE} * ln((b.target + {prior} * b.raw / raw_sum)"
-            f" / (target_sum + {prior}) / (b.raw / raw_sum))) as int)))"
+            f"transform(found, b -> if(b.raw is null, 0, cast(round({SCALE} * ln((b.target + {prior}D * b.raw / raw_sum)"
+            f" / (target_sum + {prior}D) / (b.raw / raw_sum))) as int)))"
         ).alias("ratios")
     )
 
