@@ -17,23 +17,16 @@ def cache_upsert(
 ) -> DataFrame:
     """Insert or replace by key: the latest version of each key, a new row winning over an old one of equal age.
 
-    ``cache`` holds one row per key. Only the new rows are grouped; versions of one key combine before their
-    shuffle, and remaining ties are broken by the other columns, which keeps reruns identical. The cache itself
-    is joined to them, so while the new rows are small enough to broadcast it is not shuffled at all. ``new`` is
-    read more than once; write it down first where it is costly.
+    ``cache`` holds one row per key. New versions of one key combine before their shuffle, remaining ties are
+    broken by the other columns, and one outer join with the cache then reads either input once.
     """
     keys, columns = list(keys), cache.columns
     rest = [name for name in columns if name not in (*keys, order)]
     latest = new.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("__new"))
-
-    newer = F.col("__new").isNotNull() & F.coalesce(F.col(f"__new.{order}") >= F.col(order), F.lit(True))
-    chosen = {name: F.when(newer, F.col(f"__new.{name}")).otherwise(F.col(name)) for name in (order, *rest)}
-    kept = cache.join(latest, on=keys, how="left").select(
-        *[chosen.get(name, F.col(name)).alias(name) for name in columns]
-    )
-    known = cache.select(*keys).join(latest.select(*keys), on=keys, how="left_semi")
-    added = latest.join(known, on=keys, how="left_anti").select(*keys, "__new.*").select(*columns)
-    return kept.unionByName(added)
+    held = cache.select(*keys, F.struct(order, *rest).alias("__old"))
+    newer = F.col("__new").isNotNull() & F.coalesce(F.col(f"__new.{order}") >= F.col(f"__old.{order}"), F.lit(True))
+    merged = held.join(latest, on=keys, how="full").withColumn("__row", F.when(newer, F.col("__new")).otherwise(F.col("__old")))
+    return merged.select(*[name if name in keys else F.col(f"__row.{name}").alias(name) for name in columns])
 
 
 def stale_cache_split(docs: DataFrame, cache: DataFrame, key: str, text: str, model: str) -> DataFrame:

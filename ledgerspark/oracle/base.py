@@ -425,16 +425,14 @@ rolling as (
 _SYNONYM_ROWS = ",\n".join(
     f"({text(word)}, [{', '.join(text(other) for other in others)}])" for word, others in K.SYNONYMS.items()
 )
-SEARCH = f"""
+_SEARCH_STEPS = f"""
 synonyms(word, others) as (values
 {_SYNONYM_ROWS}
 ),
-queries(query_id, query_text) as (values
-{rows(QUERIES)}
-),
 asked as (
-  select query_id, trim(query_text) as query_text, lower(trim(query_text)) as cleaned
-  from queries where length(trim(query_text)) >= 3
+  select query_id, query_text, lower(query_text) as cleaned from (
+    select query_id, regexp_replace(query_text, '^\\s+|\\s+$', '', 'g') as query_text from queries
+  ) where length(query_text) >= 3
 ),
 seeds as (
   select query_id, unnest(regexp_extract_all(cleaned, '[a-z0-9]+')) as term from asked
@@ -454,6 +452,12 @@ expanded as (
   select a.*, (select list(term order by term) from term_rows t where t.query_id = a.query_id) as terms from asked a
 )"""
 
+SEARCH = f"queries(query_id, query_text) as (values\n{rows(QUERIES)}\n)," + _SEARCH_STEPS
+# The same steps for every user turn, and for every turn, of the conversations.
+_TURNS = "with queries as (select conv_id * 1000 + turn as query_id, text as query_text from conversations{where}),"
+WITH_TURNS = _TURNS.format(where="") + _SEARCH_STEPS + "\n"
+WITH_USER_TURNS = _TURNS.format(where=" where role = 'user'") + _SEARCH_STEPS + "\n"
+
 _LAYERS = "with " + STAGING.strip()
 _MARTS = _LAYERS + ",\n" + MARTS.strip()
 LAYERS = _LAYERS + "\n"

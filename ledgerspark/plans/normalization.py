@@ -6,33 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions.rules import accepted, provenance_flags
+from ledgerspark.operators.joins import null_safe_left_join
 
 RULE_FIELDS = ["pattern", "normalized_merchant", "merchant_group", "default_category"]
 
-# Up to this many rules travel as one array value and are tested in a plain projection. Larger rule tables are
-# joined on text pieces instead.
-INLINE_RULES = 512
+# Letters of a rule that its candidates are joined by; what the join finds is verified by the whole rule.
 PIECE = 4
 
 
-def fits_inline(rules: DataFrame) -> bool:
-    """Whether the rule table is small enough to travel as one value; reads at most a bounded number of rows."""
-    return rules.limit(INLINE_RULES + 1).count() <= INLINE_RULES
-
-
 def _ranked() -> Column:
     """Rule as a struct that sorts by preference: longest pattern first, then by pattern."""
     return F.struct((-F.length("pattern")).alias("preference"), *RULE_FIELDS, "match_text")
 
 
-def _with_inline_matches(txn: DataFrame, rules: DataFrame) -> DataFrame:
-    """Transactions with ``__found``, the array of the rules found in the description, best first."""
-    ordered = rules.agg(F.array_sort(F.collect_list(_ranked())).alias("rules")).scalar()
-    text = F.col("clean_description")
-    found = F.filter(F.col("__rules"), lambda rule: F.contains(text, rule["match_text"]))
-    return txn.withColumn("__rules", ordered).withColumn("__found", found).drop("__rules")
-
-
 def _pieces(text: Column) -> Column:
     """All substrings a rule could start with: one per position and length up to ``PIECE``, and the empty one."""
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
@@ -46,7 +32,8 @@ def _pieces(text: Column) -> Column:
 def _piece_matches(txn: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct descriptions with every rule found in them, from an equi-join on the rule's first letters.
 
-    Sizes are left to AQE: it broadcasts the rules while they are small and splits a piece that is hot.
+    One path for rule tables of any size: Catalyst broadcasts the rules while they are small, and AQE splits a
+    piece that is hot.
     """
     texts = txn.select("clean_description").filter(F.col("clean_description").isNotNull()).distinct()
     probes = texts.select("clean_description", F.explode(_pieces(F.col("clean_description"))).alias("__piece"))
@@ -57,13 +44,8 @@ def _piece_matches(txn: DataFrame, rules: DataFrame) -> DataFrame:
 
 def rule_match(txn: DataFrame, rules: DataFrame) -> DataFrame:
     """Every rule whose text occurs in a transaction's description; unmatched transactions stay, once."""
-    if fits_inline(rules):
-        found = _with_inline_matches(txn, rules)
-        matched = found.select("transaction_id", F.explode_outer("__found").alias("__rule"))
-    else:
-        matched = txn.select("transaction_id", "clean_description").join(
-            _piece_matches(txn, rules), on="clean_description", how="left"
-        )
+    found = _piece_matches(txn, rules)
+    matched = null_safe_left_join(txn.select("transaction_id", "clean_description"), found, ["clean_description"])
     return matched.select("transaction_id", *[F.col(f"__rule.{name}").alias(name) for name in RULE_FIELDS])
 
 
@@ -79,13 +61,10 @@ def best_match(matched: DataFrame) -> DataFrame:
 def with_best_rule(txn: DataFrame, rules: DataFrame) -> DataFrame:
     """``rule_match`` and ``best_match`` in one step: a struct column ``__rule`` on every transaction.
 
-    With an inline rule table this is a projection, without any shuffle of the transactions.
+    Rules are matched to distinct descriptions. The join back may split a description with many transactions.
     """
-    if fits_inline(rules):
-        found = _with_inline_matches(txn, rules)
-        return found.withColumn("__rule", F.get("__found", F.lit(0))).drop("__found")
     best = _piece_matches(txn, rules).groupBy("clean_description").agg(F.min("__rule").alias("__rule"))
-    return txn.join(best, on="clean_description", how="left").select(*txn.columns, "__rule")
+    return null_safe_left_join(txn, best, ["clean_description"]).select(*txn.columns, "__rule")
 
 
 def resolve_precedence(matched: DataFrame) -> DataFrame:

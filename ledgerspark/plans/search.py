@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions.text import (
@@ -20,7 +15,7 @@ from ledgerspark.functions.text import (
     strip,
     synonym_map,
 )
-from ledgerspark.functions.vectors import confidence_label, is_confident
+from ledgerspark.functions.vectors import confidence_label, cosine_prepared, hybrid_score, is_confident, norm
 from ledgerspark.operators.caches import cache_upsert, stale_cache_split
 from ledgerspark.operators.joins import lookup_map_join
 from ledgerspark.operators.ordering import top_k_limit
@@ -41,8 +36,9 @@ DOCUMENT_COLUMNS = [
     "is_anomaly",
 ]
 
-# Queries scored in one pass over the documents; more are scored in several passes.
-QUERY_BATCH = 64
+# Queries that meet a document at a time, on average, and slices that spread the documents of one block of queries.
+BLOCK_QUERIES = 64
+SLICES = 64
 
 
 def profile_lookup(profiles: DataFrame, model: str | None = None) -> DataFrame:
@@ -122,19 +118,25 @@ def expand_query(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", expanded_terms(F.col("query_text"), synonym_map()))
 
 
-def query_batches(queries: DataFrame) -> list[DataFrame]:
-    """The queries in batches of bounded size; a single batch for any interactive use."""
-    batches = -(-queries.count() // QUERY_BATCH)
-    if batches <= 1:
-        return [queries]
-    place = F.ntile(batches).over(Window.orderBy("query_id"))
-    numbered = queries.withColumn("__batch", place)
-    return [numbered.filter(F.col("__batch") == number).drop("__batch") for number in range(1, batches + 1)]
-
-
-def batch_queries(queries: DataFrame, *more: str) -> list[Row]:
-    """The searchable queries of one batch with their terms; at most ``QUERY_BATCH`` small rows."""
-    return expand_query(query_guard(queries)).select("query_id", "query_text", "terms", *more).collect()
+def query_blocks(queries: DataFrame) -> tuple[DataFrame, Column]:
+    """The searchable queries, about ``BLOCK_QUERIES`` to a block and every block once for each slice, and the
+    number of blocks. However many queries there are, they stay a table."""
+    asked = expand_query(query_guard(queries))
+    vector = F.col("embedding") if "embedding" in queries.columns else F.lit(None).cast("array<float>")
+    term = F.transform("terms", lambda t: F.struct(
+        t.alias("term"), F.concat(F.lit(" "), t, F.lit(" ")).alias("word"), F.contains(t, F.lit(" ")).alias("phrase")
+    ))
+    prepared = asked.select(
+        F.struct(
+            "query_id", "query_text", F.lower("query_text").alias("cleaned"), term.alias("terms"),
+            vector.alias("vector"), norm(vector).alias("length"),
+        ).alias("query"),
+        F.xxhash64("query_id", "query_text").alias("__spread"),
+    )
+    count = F.greatest(query_guard(queries).agg(F.ceil(F.count("*") / BLOCK_QUERIES)).scalar(), F.lit(1)).cast("int")
+    blocks = prepared.groupBy(F.pmod("__spread", count).cast("int").alias("__block"))
+    listed = blocks.agg(F.collect_list("query").alias("__queries"))
+    return listed.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), count
 
 
 def prepare_text(docs: DataFrame, text: str) -> DataFrame:
@@ -144,109 +146,61 @@ def prepare_text(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__lowered", lowered).withColumn("__words", words)
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Lexical score of every document for every query; the document's text stays behind."""
-    names = [name for name in docs.columns if name != text]
-    found = []
-    for batch in query_batches(queries):
-        asked = batch_queries(batch)
-        ids = F.array(*[F.lit(row["query_id"]) for row in asked]).cast("array<long>")
-        pairs = F.arrays_zip(ids.alias("query_id"), lexical_scores(asked).alias("lexical_score"))
-        found.append(prepare_text(docs, text).select(*names, F.inline(pairs)))
-    return reduce(DataFrame.unionByName, found)
+def with_queries(queries: DataFrame, docs: DataFrame, text: str, document_id: str) -> DataFrame:
+    """Documents with ``__query``, once for each searchable query, by an equi-join on block and slice.
 
+    A document is prepared once and then meets every block of queries. The queries are broadcast only if Catalyst
+    finds them small; otherwise slices keep the documents of a block apart.
+    """
+    blocks, count = query_blocks(queries)
+    dealt = prepare_text(docs, text).withColumn(
+        "__slice", F.pmod(F.xxhash64(document_id), F.lit(SLICES)).cast("int")
+    )
+    met = dealt.withColumn("__block", F.explode(F.sequence(F.lit(0), count - 1))).join(blocks, ["__block", "__slice"])
+    return met.withColumn("__query", F.explode("__queries")).drop("__queries", "__block", "__slice")
 
-def lexical_scores(queries: list[Row]) -> Column:
-    """A document's lexical score for each query of a batch, as an array.
 
-    Expects ``__lowered``, the lowered text, and ``__words``, its tokens each between blanks. The terms are known
-    when the plan is made, so every test is a plain text search that compiles into the scan's loop; a term that
-    several queries share is tested once.
-    """
-    lowered, words = F.col("__lowered"), F.col("__words")
-
-    def weight(term: str) -> Column:
-        inside = lowered.contains(term)
-        if " " in term:
-            return F.when(inside, K.PHRASE_SCORE).otherwise(0.0)
-        return F.when(words.contains(f" {term} "), K.TOKEN_SCORE).when(inside, K.PART_SCORE).otherwise(0.0)
-
-    def score(row: Row) -> Column:
-        whole = F.when(lowered.contains(row["query_text"].lower()), K.WHOLE_QUERY_SCORE).otherwise(0.0)
-        return reduce(Column.__add__, [weight(term) for term in row["terms"]], whole)
-
-    return F.array(*[score(row) for row in queries])
-
-
-def cosine_matrix(vectors: pa.Array, queries: list[np.ndarray]) -> np.ndarray:
-    """Cosine of each vector with each query; 0 for a missing or zero vector. Unequal lengths meet over the
-    shorter one, as in ``cosine_similarity``."""
-    scores = np.zeros((len(vectors), len(queries)))
-    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-    lengths_of_queries = [np.sqrt((query * query).sum()) for query in queries]
-    for length in np.unique(lengths[lengths > 0]):
-        rows = np.flatnonzero(lengths == length)
-        flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-        matrix = np.nan_to_num(flat.astype(np.float64)).reshape(-1, length)
-        norms = np.sqrt((matrix * matrix).sum(axis=1))
-        for place, query in enumerate(queries):
-            width = min(length, len(query))
-            # A sum per row, not a matrix product: equal vectors then score equally to the last bit.
-            products = (matrix[:, :width] * query[:width]).sum(axis=1)
-            scale = norms * lengths_of_queries[place]
-            scores[rows, place] = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
-    return scores
-
-
-def batch_leaders(queries: list[Row], k: int | None, schema: pa.Schema):
-    """Task function: scores record batches and keeps what can still be among the ``k`` best of a query.
-
-    A row stays unless some batch of its task holds ``k`` rows with a higher score, so ties are kept and nothing is
-    lost before the final ranking. ``k=None`` keeps every pair.
-    """
-    vectors = [np.nan_to_num(np.asarray(row["embedding"] or [], dtype=np.float64)) for row in queries]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors = np.full(len(queries), -np.inf)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            semantic = cosine_matrix(batch.column("embedding"), vectors)
-            lexical = batch.column("__lexical").flatten().to_numpy(zero_copy_only=False).reshape(semantic.shape)
-            hybrid = semantic + lexical * K.LEXICAL_WEIGHT
-            for place, query in enumerate(queries):
-                if k is not None and batch.num_rows >= k:
-                    floors[place] = max(floors[place], np.partition(hybrid[:, place], -k)[-k])
-                rows = np.flatnonzero(hybrid[:, place] >= floors[place])
-                if not len(rows):
-                    continue
-                kept = batch.drop_columns(["embedding", "__lexical"]).take(pa.array(rows))
-                constants = [pa.repeat(pa.scalar(query[name], schema.field(name).type), len(rows))
-                             for name in ("query_id", "query_text")]
-                scores = [pa.array(values[rows, place]) for values in (semantic, lexical, hybrid)]
-                yield pa.RecordBatch.from_arrays([*constants, *kept.columns, *scores], schema=schema)
-
-    return run
+def prepared_lexical_score() -> Column:
+    """Lexical score of a document for ``__query``, from ``__lowered`` and ``__words``."""
+    lowered, words, query = F.col("__lowered"), F.col("__words"), F.col("__query")
+    whole = F.when(F.contains(lowered, query["cleaned"]), K.WHOLE_QUERY_SCORE).otherwise(0.0)
+
+    def weight(term: Column) -> Column:
+        inside = F.contains(lowered, term["term"])
+        phrase = F.when(inside, K.PHRASE_SCORE).otherwise(0.0)
+        word = F.when(F.contains(words, term["word"]), K.TOKEN_SCORE).when(inside, K.PART_SCORE).otherwise(0.0)
+        return F.when(term["phrase"], phrase).otherwise(word)
+
+    return F.aggregate(query["terms"], whole, lambda total, term: total + weight(term))
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, text: str, document_id: str = "doc_id") -> DataFrame:
+    """Documents with a positive lexical score for a query; the document's text stays behind."""
+    names = [name for name in docs.columns if name != text]
+    met = with_queries(queries, docs, text, document_id)
+    scored = met.select(*names, F.col("__query.query_id"), prepared_lexical_score().alias("lexical_score"))
+    return scored.filter("lexical_score > 0")
 
 
 def score_documents(
-    queries: DataFrame, docs: DataFrame, text: str = "search_text", leaders: int | None = None
+    queries: DataFrame, docs: DataFrame, text: str = "search_text", document_id: str = "transaction_id"
 ) -> DataFrame:
-    """Documents with their semantic, lexical and hybrid score for every query of one batch.
-
-    The documents are read once, where they lie, for the whole batch; lexical scores are computed in the JVM
-    and cosines on Arrow batches. The queries are few and bounded, so they go to the tasks with the plan. With
-    ``leaders`` only rows that can be among that many best leave a task, unsorted.
-    """
-    asked = batch_queries(queries, "embedding")
+    """Every document with its semantic, lexical and hybrid score for every query, lazily; keep the best of them."""
     names = [name for name in docs.columns if name != "embedding"]
-    shape = docs.select(F.lit(None).cast("long").alias("query_id"), F.lit("").alias("query_text"), *names).schema
-    for score in ("semantic_score", "lexical_score", "hybrid_score"):
-        shape = shape.add(score, "double")
-    if not asked:
-        return docs.sparkSession.createDataFrame([], shape)
-    scored = prepare_text(docs, text).select(*names, "embedding", lexical_scores(asked).alias("__lexical"))
-    return scored.mapInArrow(batch_leaders(asked, leaders, to_arrow_schema(shape)), shape)
+    measured = docs.withColumn("__length", norm(F.col("embedding")))
+    query = F.col("__query")
+    semantic = cosine_prepared(F.col("embedding"), F.col("__length"), query["vector"], query["length"])
+    return (
+        with_queries(queries, measured, text, document_id)
+        .select(
+            F.col("__query.query_id"),
+            F.col("__query.query_text"),
+            *names,
+            semantic.alias("semantic_score"),
+            prepared_lexical_score().alias("lexical_score"),
+        )
+        .withColumn("hybrid_score", hybrid_score(F.col("semantic_score"), F.col("lexical_score")))
+    )
 
 
 def hybrid_search(
@@ -261,9 +215,7 @@ def hybrid_search(
     """Best candidates per query by hybrid score, then semantic score, then newest, with their 0-based place."""
     k = max(result_limit, candidate_count)
     order = [F.desc("hybrid_score"), F.desc("semantic_score"), F.desc_nulls_last(recency), F.asc(document_id)]
-    scored = reduce(
-        DataFrame.unionByName, [score_documents(batch, docs, text, leaders=k) for batch in query_batches(queries)]
-    )
+    scored = score_documents(queries, docs, text, document_id)
     ranked = top_k_per_group(scored, ["query_id"], order, k, document_id, "candidate_index")
     return ranked.withColumn("candidate_index", F.col("candidate_index") - 1)
 

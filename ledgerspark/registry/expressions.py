@@ -10,7 +10,7 @@ from ledgerspark.operators.aggregates import description_samples
 from ledgerspark.operators.calendar import date_bounds, period_bucket
 from ledgerspark.operators.filters import facet_values, filter_daily_metrics, filter_transactions
 from ledgerspark.operators.windows import group_stats
-from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, in_list, out, text as quoted
+from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, WITH_TURNS, WITH_USER_TURNS, in_list, out, text as quoted
 from ledgerspark.plans import enrichment, search
 from ledgerspark.plans.features import recurring_transactions
 from ledgerspark.plans.normalization import merchant_normalization, resolve_precedence, with_best_rule
@@ -197,15 +197,20 @@ def tokens(c: Context):
 
 
 def expansions(c: Context):
-    return search.expand_query(search.query_guard(c.queries)).select("query_id", "query_text", "terms").join(
-        c.table("embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id"
-    )
+    turns = testbed.conversation_queries(c.spark, c.dir)
+    return search.expand_query(search.query_guard(turns)).select("query_id", "query_text", "terms")
 
 
 def lexical(c: Context):
     return search.lexical_search(c.queries, c.table("documents").select("doc_id", "text"), "text")
 
 
+def lexical_turns(c: Context):
+    """Several hundred queries and more: every user turn against every document."""
+    turns = testbed.conversation_queries(c.spark, c.dir).filter("role = 'user'").drop("role")
+    return search.lexical_search(turns, c.table("documents").select("doc_id", "text"), "text")
+
+
 def cosine(c: Context):
     anchor = c.table("embeddings").filter("vec_id = 0").select("embedding").scalar()
     scored = c.table("embeddings").withColumn("__anchor", anchor)
@@ -382,13 +387,13 @@ TOTALS_SQL = """totals as (
   select raw_description, normalized_merchant, merchant_source, count(*) as n, sum(amount_abs) as spend
   from fact group by all)
 """
-LEX_SQL = """select d.doc_id, e.query_id, (case when contains(d.lowered, e.cleaned) then 3.0 else 0.0 end)::double
+LEX_SQL = """select * from (select d.doc_id, e.query_id, (case when contains(d.lowered, e.cleaned) then 3.0 else 0.0 end)::double
   + coalesce(list_sum([
       (case when contains(t, ' ') then case when contains(d.lowered, t) then 1.5 else 0 end
             when list_contains(d.tokens, t) then 1.0
             when contains(d.lowered, t) then 0.5 else 0 end)::double for t in e.terms]), 0) as lexical_score
 from (select doc_id, lower(text) as lowered, regexp_extract_all(lower(text), '[a-z0-9]+') as tokens from documents) d,
-     expanded e"""
+     expanded e) where lexical_score > 0"""
 
 ENTRIES = {
     "stage_transactions": (
@@ -520,10 +525,10 @@ ENTRIES = {
     ),
     "expand_query": (
         expansions,
-        WITH_SEARCH + "select query_id, query_text, array_to_string(terms, '|') as terms, label "
-        "from expanded join embeddings on vec_id = query_id",
+        WITH_TURNS + "select query_id, query_text, coalesce(array_to_string(terms, '|'), '') as terms from expanded",
     ),
     "lexical_score": (lexical, WITH_SEARCH + LEX_SQL),
+    "lexical_score_turns": (lexical_turns, WITH_USER_TURNS + LEX_SQL),
     "cosine_similarity": (
         cosine,
         "select vec_id, round(list_dot_product(v, a) / nullif(sqrt(list_dot_product(v, v)) * "

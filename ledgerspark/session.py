@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the plans rely on. They are applied only where the user left Spark's default.
+# Runtime settings the plans rely on, for sessions whose user has not set them.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -32,9 +34,11 @@ def build_session(app: str = "ledgerspark", master: str | None = None, **conf: s
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give a session made elsewhere the runtime settings the plans rely on."""
+    """Give a session made elsewhere the runtime settings the plans rely on, where its user has not set them."""
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if not spark.sparkContext.getConf().contains(key) and not spark.conf.get(key, None) == value:
+            spark.conf.set(key, value)
+    # Dates in text are written and read in one time zone, which the results depend on.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -42,7 +46,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors, named by ``spark.checkpoint.dir``.
 
-    Only a single-process session without that setting (tests, a laptop) gets a private folder. On a cluster
+    Only a single-process session without that setting (tests, a laptop) gets a private folder, which goes with it. On a cluster
     a missing setting is an error: a machine-local folder would lose data with its executor.
     """
     context = spark.sparkContext
@@ -54,6 +58,7 @@ def scratch_root(spark: SparkSession) -> str:
     key = context.applicationId
     if key not in _scratch_roots:
         _scratch_roots[key] = tempfile.mkdtemp(prefix="ledgerspark-")
+        atexit.register(shutil.rmtree, _scratch_roots[key], ignore_errors=True)
     return _scratch_roots[key]
 
 

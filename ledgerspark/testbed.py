@@ -105,6 +105,12 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.join(vectors, on="query_id", how="left")
 
 
+def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as a query."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query_text"), "role")
+
+
 def transaction_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for every transaction: customers share the given vectors in turn."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

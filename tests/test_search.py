@@ -5,7 +5,6 @@ import math
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from ledgerspark.plans import enrichment, search
@@ -64,19 +63,28 @@ def test_search_equals_scoring_every_pair(spark):
         assert [r["transaction_id"] for r in got] == expected
 
 
-def test_more_queries_than_one_batch(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BATCH", 2)
+def test_hundreds_of_queries_stay_a_table(spark):
     docs = spark.createDataFrame([("a", day(0), "coffee", [1.0]), ("b", day(1), "hotel", [0.0])], DOCS)
-    asked = queries(spark, [(n, "coffee", [1.0]) for n in range(5)])
+    asked = queries(spark, [(n, "coffee" if n % 2 else "hotel bar", [1.0]) for n in range(300)] + [(7, "coffee", [1.0])])
     found = search.hybrid_search(asked, docs).collect()
-    assert sorted({r["query_id"] for r in found}) == list(range(5)) and len(found) == 10
+    assert sorted({r["query_id"] for r in found}) == list(range(300)) and len(found) == 602
+    plan = search.hybrid_search(asked, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_cosines_of_missing_zero_and_uneven_vectors():
-    vectors = pa.array([[1.0, 0.0], None, [0.0, 0.0], [3.0], [1.0, 2.0, 2.0]], pa.list_(pa.float32()))
-    got = search.cosine_matrix(vectors, [np.array([1.0, 0.0]), np.array([])])
-    assert got[:, 0].round(6).tolist() == [1.0, 0.0, 0.0, 1.0, 0.333333]
-    assert got[:, 1].tolist() == [0.0] * 5
+def test_lexical_search_returns_matches_only(spark):
+    docs = spark.createDataFrame([(1, "coffee bar"), (2, "hotel"), (3, None)], "doc_id long, text string")
+    found = search.lexical_search(queries(spark, [(1, "coffee", None), (2, "zebra", None)]), docs, "text").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in found] == [(1, 1)]
+
+
+def test_cosines_of_missing_zero_and_uneven_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [3.0]), ("e", [1.0, 2.0, 2.0])]
+    docs = spark.createDataFrame([(key, day(0), "coffee", vector) for key, vector in rows], DOCS)
+    asked = queries(spark, [(1, "coffee", [1.0, 0.0]), (2, "coffee", None)])
+    got = {(r["query_id"], r["transaction_id"]): round(r["semantic_score"], 6) for r in search.score_documents(asked, docs).collect()}
+    assert [got[1, key] for key in "abcde"] == [1.0, 0.0, 0.0, 1.0, 0.333333]
+    assert {got[2, key] for key in "abcde"} == {0.0}
 
 
 def candidates(spark):
