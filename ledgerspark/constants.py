@@ -135,7 +135,6 @@ CANDIDATE_COUNT = 60
 LEXICAL_WEIGHT = 0.08
 EMBED_BATCH = 96
 PROFILE_BATCH = 10
-SUMMARY_PROMPT_VERSION = "v3"
 
 # --- fixed values: the thirteen period metrics ---------------------------------------------------------------
 # (key, label, group, unit, favourable direction, definition)
@@ -216,8 +215,7 @@ NO_MATERIAL_CHANGE = "No material change versus the prior 30 days."
 NO_DECLINE = "No category moved down versus the prior 30 days."
 NO_ANOMALY = "No major anomaly"
 NO_ANOMALY_TEXT = "No anomalies in the current selection."
-MOVE_UP = "{label} up {size} vs prior 30d ({current} current)"
-MOVE_DOWN = "{label} down {size} vs prior 30d ({current} current)"
+MOVE = "{label} {direction} {size} vs prior 30d ({current} current)"
 ANOMALY_TEXT = "{amount} · {reason}"
 CARD_TITLES = ("30D Trend", "Recent Driver", "Watch Item")
 CARD_TREND = "{delta} vs prior 30d ({delta_pct})"
@@ -312,3 +310,24 @@ NO_MERCHANT_CHANGES = "- No recent merchant comparison is available."
 NO_CATEGORIES = "- No debit categories in the current filters."
 NO_ANOMALIES = "- No anomalies in the current filters."
 NO_RECURRING = "- No recurring merchants in the current filters."
+
+# --- declared data tests: fixed values -------------------------------------------------------------------------
+
+DECLARED_TESTS = {
+    "fct_transactions": {"not_null": ["transaction_id", "transaction_date", "final_category"], "unique": ["transaction_id"]},
+    "mart_merchant_review": {"not_null": ["raw_description", "normalized_merchant", "review_priority_score"]},
+    "mart_spend_kpis": {"not_null": ["total_spend", "transaction_count"]},
+    "mart_monthly_kpis": {"not_null": ["month", "total_spend"], "unique": ["month"]},
+    "mart_category_metrics": {"not_null": ["final_category", "total_spend"], "unique": ["final_category"]},
+    "mart_data_quality": {"not_null": ["merchant_source", "category_source"]},
+    "mart_metric_summary": {"not_null": ["metric_key", "metric_value", "unit"], "unique": ["metric_key"]},
+    "mart_daily_metric_values": {"not_null": ["metric_date", "metric_key", "metric_value", "metric_value_l30d"]},
+    "stg_chase_transactions": {
+        "not_null": ["transaction_id", "transaction_date", "raw_description", "amount", "transaction_type"],
+        "unique": ["transaction_id"],
+    },
+    "stg_ai_merchant_enrichments": {
+        "not_null": ["raw_description", "suggested_merchant", "confidence"],
+        "unique": ["raw_description"],
+    },
+}

@@ -82,8 +82,8 @@ def visible_semi_join(mart: DataFrame, visible: DataFrame, key: str) -> DataFram
 
 
 def lookup_map_join(df: DataFrame, lookup: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
-    """Attach look-up columns by key, with a default where the key is unknown."""
-    joined = df.join(lookup.select(key, *defaults), on=key, how="left")
+    """Attach look-up columns by key, with a default where the key is unknown; a hot key on the left is split."""
+    joined = composite_left_join(df, lookup.select(key, *defaults), [key])
     return joined.withColumns({name: F.coalesce(F.col(name), value) for name, value in defaults.items()})
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,3 +49,32 @@ def dq_grain_report(frames: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> Da
     if report is None:
         raise ValueError("no frames given")
     return report
+
+
+def dq_declared(tables: Mapping[str, DataFrame], declared: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+    """Findings of declared tests, a row per table, column and test with its number of failures.
+
+    Missing values of a table are counted in one pass. Repeated values are counted by grouping, which combines
+    a repeated value before the shuffle.
+    """
+    findings = []
+    for name, tests in declared.items():
+        missing = dq_not_null(tables[name], tests["not_null"])
+        findings.append(missing.select(F.lit(name).alias("model"), "column_name", F.lit("not_null").alias("test"), "failures"))
+        for column in tests.get("unique", ()):
+            repeated = dq_unique(tables[name], column).agg(F.count("*").alias("failures"))
+            findings.append(repeated.select(F.lit(name).alias("model"), F.lit(column).alias("column_name"), F.lit("unique").alias("test"), "failures"))
+    return reduce(DataFrame.unionByName, findings)
+
+
+def require_declared(tables: Mapping[str, DataFrame], declared: Mapping[str, Mapping[str, Sequence[str]]]) -> None:
+    """An error that names every failed test; its rows are few, one per failed test."""
+    failed = dq_declared(tables, declared).filter("failures > 0").collect()
+    if failed:
+        raise ValueError("failed data tests: " + ", ".join(f"{r['model']}.{r['column_name']} {r['test']} ({r['failures']})" for r in failed))
+
+
+def dq_missing_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """One row for each required column that a frame lacks."""
+    missing = missing_columns(df.columns, required)
+    return df.sparkSession.createDataFrame([(name,) for name in missing], "missing_column string")

@@ -41,17 +41,23 @@ def with_final_category(normalized: DataFrame) -> DataFrame:
     return normalized.withColumn("final_category", category).drop("rule_category")
 
 
-def transaction_features(normalized: DataFrame) -> DataFrame:
+def category_stats(normalized: DataFrame) -> DataFrame:
+    """Mean and deviation of the amounts of each final category; a few rows, worth storing once."""
+    return group_stats(with_final_category(normalized), "final_category", "amount_abs", "category")
+
+
+def transaction_features(normalized: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """Merchant and category statistics, z-scores and the gap to the merchant's previous transaction.
 
     The transactions move once, by (merchant, day). Everything a merchant contributes is first aggregated to
-    one row per merchant and day, so neither a hot merchant nor one of few categories becomes a single task.
+    one row per merchant and day, so a hot merchant does not become a single task. ``categories`` is a stored
+    ``category_stats``: Catalyst knows its size, so it plans a broadcast instead of a second move of all rows.
     Transactions of one day follow each other in file order.
     """
     enriched = with_final_category(normalized)
     merchant, day, tie = "normalized_merchant", "transaction_date", "source_row_number"
     by_merchant = group_stats(enriched, merchant, "amount_abs", "merchant")
-    by_category = group_stats(enriched, "final_category", "amount_abs", "category")
+    by_category = category_stats(normalized) if categories is None else categories
     per_day = null_safe_left_join(previous_dates(enriched, merchant, day, tie), by_merchant, [merchant])
     joined = null_safe_left_join(enriched, per_day, [merchant, day])
     joined = null_safe_left_join(joined, by_category, ["final_category"])

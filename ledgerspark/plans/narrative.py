@@ -31,7 +31,7 @@ def move_text(row: Column, dimension: str, missing: str) -> Column:
     """Sentence about a mover, or a fixed one where nothing moved."""
     delta = row["delta_amount"]
     parts = {"label": row[dimension], "size": money_text(F.abs(delta)), "current": money_text(row["current_spend"])}
-    sentence = F.when(delta > 0, fill(K.MOVE_UP, **parts)).otherwise(fill(K.MOVE_DOWN, **parts))
+    sentence = fill(K.MOVE, direction=F.when(delta > 0, "up").otherwise("down"), **parts)
     return F.coalesce(sentence, F.lit(missing))
 
 

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ledgerspark.constants import DECLARED_TESTS
+from ledgerspark.operators.quality import require_declared
 from ledgerspark.plans.daily import mart_daily_metric_values
-from ledgerspark.plans.features import fact_transactions, recurring_transactions, transaction_features
+from ledgerspark.plans.features import category_stats, fact_transactions, recurring_transactions, transaction_features
 from ledgerspark.plans.marts import (
     mart_anomalies,
     mart_category_metrics,
@@ -43,7 +45,8 @@ def build_layers(raw: DataFrame, rules: DataFrame, enrichment_cache: DataFrame)
     staged = stage_transactions(raw)
     enrichments = stage_enrichments(enrichment_cache)
     normalized = stored(normalize_merchants(staged, rules, enrichments), "normalized")
-    features = stored(transaction_features(normalized), "features")
+    categories = stored(category_stats(normalized), "categories")
+    features = stored(transaction_features(normalized, categories), "features")
     recurring = stored(recurring_transactions(features), "recurring")
     fact = stored(fact_transactions(features, recurring), "fact")
     return Layers(staged, enrichments, normalized, features, recurring, fact)
@@ -71,6 +74,13 @@ def build_marts(layers: Layers) -> dict[str, DataFrame]:
 def run_pipeline(
     raw: DataFrame, rules: DataFrame, enrichment_cache: DataFrame, warehouse: Warehouse
 ) -> dict[str, DataFrame]:
-    """Refresh every mart of a warehouse from raw rows; returns the stored marts."""
-    marts = build_marts(build_layers(raw, rules, enrichment_cache))
-    return {name: warehouse.full_refresh_write(frame, name) for name, frame in marts.items()}
+    """Refresh every mart of a warehouse from raw rows and run the declared tests; returns the stored marts."""
+    layers = build_layers(raw, rules, enrichment_cache)
+    written = {name: warehouse.full_refresh_write(frame, name) for name, frame in build_marts(layers).items()}
+    require_declared(tested_tables(layers, written), DECLARED_TESTS)
+    return written
+
+
+def tested_tables(layers: Layers, marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables that tests are declared for, by name."""
+    return marts | {"stg_chase_transactions": layers.staged, "stg_ai_merchant_enrichments": layers.enrichments}

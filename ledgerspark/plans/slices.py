@@ -102,8 +102,10 @@ def review_sections(review: DataFrame) -> DataFrame:
         )
     )
     sectioned = review.withColumn("section", F.explode(sections))
-    sizes = sectioned.groupBy("section").agg(F.count(F.lit(1)).alias("section_count"))
-    return sectioned.join(sizes, on="section", how="left")
+    # Three sections at most: their sizes travel as one value, so no row moves for them.
+    sizes = sectioned.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    listed = sizes.agg(F.map_from_entries(F.collect_list(F.struct("section", "n"))).alias("sizes")).scalar()
+    return sectioned.select("section", *review.columns, F.element_at(listed, F.col("section")).alias("section_count"))
 
 
 METRIC = ["metric_key", "metric_name", "metric_group", "unit"]

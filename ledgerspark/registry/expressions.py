@@ -11,6 +11,7 @@ from ledgerspark.operators.calendar import date_bounds, period_bucket
 from ledgerspark.operators.filters import facet_values, filter_daily_metrics, filter_transactions
 from ledgerspark.operators.windows import group_stats
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, WITH_TURNS, WITH_USER_TURNS, in_list, out, text as quoted
+from ledgerspark.operators.joins import null_safe_left_join
 from ledgerspark.plans import enrichment, search
 from ledgerspark.plans.features import recurring_transactions
 from ledgerspark.plans.normalization import merchant_normalization, resolve_precedence, with_best_rule
@@ -65,7 +66,7 @@ def category(c: Context):
 def zscore(c: Context):
     stats = group_stats(c.fact, "normalized_merchant", "amount_abs", "merchant")
     score = amounts.null_safe_zscore(F.col("amount_abs"), F.col("merchant_avg_amount"), F.col("merchant_std_amount"))
-    return c.fact.join(stats, "normalized_merchant").select(ID, score.alias("zscore_vs_merchant"))
+    return null_safe_left_join(c.fact, stats, ["normalized_merchant"]).select(ID, score.alias("zscore_vs_merchant"))
 
 
 def gap(c: Context):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerspark import testbed
-from ledgerspark.constants import REQUIRED_COLUMNS
+from ledgerspark.constants import DECLARED_TESTS, REQUIRED_COLUMNS
 from ledgerspark.operators import caches, quality
-from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_SEARCH, out
+from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, out
 from ledgerspark.plans import enrichment, search
+from ledgerspark.plans.pipeline import build_marts, tested_tables
 from ledgerspark.registry.context import Context
 from ledgerspark.registry.expressions import REPLIES_SQL, enrichment_replies, profile_replies
 from ledgerspark.registry.relational import embedding_states
@@ -112,8 +113,35 @@ def grain(c: Context):
 
 
 def required(c: Context):
-    checked = quality.dq_required_columns(c.raw, REQUIRED_COLUMNS)
-    return checked.agg(F.count("*").alias("row_count"))
+    """Required columns that the export lacks once some of them are taken away; the whole export passes."""
+    whole = quality.dq_required_columns(c.raw, REQUIRED_COLUMNS)
+    lacking = whole.drop("Memo", "Post Date")
+    rows = lacking.agg(F.count("*").alias("row_count")).scalar()
+    return quality.dq_missing_columns(lacking, REQUIRED_COLUMNS).withColumn("row_count", rows)
+
+
+def suite(c: Context):
+    return quality.dq_declared(tested_tables(c.layers, build_marts(c.layers)), DECLARED_TESTS)
+
+
+SUITE_CTES = {
+    "fct_transactions": "fact", "mart_merchant_review": "review", "mart_spend_kpis": "spend_totals",
+    "mart_monthly_kpis": "monthly_kpis", "mart_category_metrics": "category_metrics", "mart_data_quality": "source_quality",
+    "mart_metric_summary": "period_pairs", "mart_daily_metric_values": "rolling", "stg_chase_transactions": "staged",
+    "stg_ai_merchant_enrichments": "enrichments",
+}
+
+
+def suite_sql() -> str:
+    lines = []
+    for model, tests in DECLARED_TESTS.items():
+        for column in tests["not_null"]:
+            value = f"count(*) filter ({column} is null)"
+            lines.append(f"select '{model}' as model, '{column}' as column_name, 'not_null' as test, {value} as failures from {SUITE_CTES[model]}")
+        for column in tests.get("unique", ()):
+            repeated = f"(select {column} from {SUITE_CTES[model]} where {column} is not null group by 1 having count(*) > 1)"
+            lines.append(f"select '{model}', '{column}', 'unique', count(*) from {repeated}")
+    return WITH_DAILY + " union all ".join(lines)
 
 
 PROFILE_SQL = """profile as (
@@ -258,7 +286,12 @@ from fact group by normalized_merchant""",
         lambda c: quality.dq_unique(c.fact, "normalized_merchant"),
         LAYERS + "select normalized_merchant as value, count(*) as occurrences from fact group by 1 having count(*) > 1",
     ),
-    "dq_required_columns": (required, LAYERS + "select count(*) as row_count from raw_export"),
+    "dq_required_columns": (
+        required,
+        LAYERS + "select missing_column, (select count(*) from raw_export) as row_count "
+        "from (values ('Memo'), ('Post Date')) as t(missing_column)",
+    ),
+    "dq_suite": (suite, suite_sql()),
     "dq_grain_report": (
         grain,
         LAYERS + " union all ".join(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark import testbed
 from ledgerspark.operators.caches import cache_lookup, cache_upsert
+from ledgerspark.constants import REQUIRED_COLUMNS
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans.marts import mart_monthly_spend
 from ledgerspark.plans.pipeline import build_marts
@@ -30,7 +31,14 @@ def csv_scan(c: Context):
 
 
 def latest_file_scan(c: Context):
-    scan = files.latest_file_scan(c.spark, c.export_path)
+    """The newer of two export files; the older one holds all other rows."""
+    path = scratch_path(c.spark, "drop")
+    urgent = F.col("Category").eqNullSafe(F.lit("1-URGENT"))
+    names = [F.col(f"`{name}`") for name in REQUIRED_COLUMNS]
+    for part in (~urgent, urgent):
+        # A card export is one file; rows are moved to one task only to make such a file here.
+        c.raw.filter(part).select(*names).coalesce(1).write.mode("append").option("header", True).csv(path)
+    scan = files.latest_file_scan(c.spark, path)
     return scan.drop("_metadata").withColumnsRenamed(SNAKE)
 
 
@@ -140,7 +148,11 @@ ENTRIES = {
         LAYERS + "select transaction_date_text, post_date_text, description, category, type, amount, "
         "null::varchar as memo from raw_export",
     ),
-    "latest_file_scan": (latest_file_scan, None),
+    "latest_file_scan": (
+        latest_file_scan,
+        LAYERS + "select transaction_date_text, post_date_text, description, category, type, amount, "
+        "null::varchar as memo from raw_export where category = '1-URGENT'",
+    ),
     "lineage_columns": (
         lineage_columns,
         LAYERS + "select 'test' as source_mode, count(*) as row_count, 1::bigint as first_number, "
