@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, hamming, katz, merge_encoding, ngram_rules, packing, ranking, severity, sketch, skip_chain
+from . import bpe_counts, hamming, katz, merge_encoding, ngram_rules, oracles, packing, ranking, severity, sketch, skip_chain
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -73,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_scaled_sketch": op10_scaled_sketch,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_ngram_quality_rules": oracles.NGRAM_QUALITY_RULES,
+}
