@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions.text import extract_json_object, json_slice, normalise_tags, or_default, strip
-from ledgerspark.operators.aggregates import ordered_string_agg, total
+from ledgerspark.operators.aggregates import description_samples, total
 from ledgerspark.operators.caches import cache_upsert
 from ledgerspark.operators.joins import anti_join
-from ledgerspark.operators.ordering import multi_key_sort, top_k_limit
+from ledgerspark.operators.ordering import multi_key_sort, sort_columns, top_k_limit
 from ledgerspark.schemas import CACHE_KEYS, ENRICHMENT_CACHE, ENRICHMENT_REPLY, PROFILE_CACHE, PROFILE_REPLY
 
 # --- enrichment of raw descriptions -----------------------------------------------------------------------------
@@ -82,7 +82,10 @@ def enrichment_cycle(review: DataFrame, cache: DataFrame, replies: DataFrame, n:
 
 
 def merchant_candidates(fact: DataFrame) -> DataFrame:
-    """Merchants with group, category, volume and descriptions, busiest first."""
+    """Merchants with group, category, volume and their first few descriptions, busiest first.
+
+    A request shows no more than these, so no merchant's descriptions are gathered whole.
+    """
     key = "normalized_merchant"
     rolled = fact.groupBy(key).agg(
         F.min("merchant_group").alias("merchant_group"),
@@ -90,7 +93,9 @@ def merchant_candidates(fact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("transaction_count"),
         total("amount_abs", F.col("is_debit")).alias("debit_spend"),
     )
-    texts = ordered_string_agg(fact, [key], "raw_description", " || ", "raw_descriptions")
+    texts = description_samples(fact, key, "raw_description").select(
+        key, F.array_join("samples", " || ").alias("raw_descriptions")
+    )
     return multi_key_sort(
         rolled.join(texts, on=key, how="left"),
         [("transaction_count", "desc"), ("debit_spend", "desc"), (key, "asc")],
@@ -101,6 +106,17 @@ def profile_uncached(candidates: DataFrame, cache: DataFrame, model: str) -> Dat
     return anti_join(candidates, cache.filter(F.col("model") == model), "normalized_merchant")
 
 
+def profile_requests(candidates: DataFrame, cache: DataFrame, model: str, n: int, batch: int = K.PROFILE_BATCH) -> DataFrame:
+    """The next ``n`` merchants to ask for, busiest first, in numbered batches of ``batch``.
+
+    Only these ``n`` rows are numbered in one place.
+    """
+    order = [("transaction_count", "desc"), ("debit_spend", "desc"), ("normalized_merchant", "asc")]
+    following = top_k_limit(profile_uncached(candidates, cache, model), order, n)
+    place = F.row_number().over(Window.orderBy(*sort_columns(order)))
+    return following.withColumn("place", place).withColumn("batch", F.ceil(F.col("place") / batch))
+
+
 def profile_batch_match(replies: DataFrame, batch: DataFrame) -> DataFrame:
     """Profiles inside batched replies, for merchants that were asked for; the last reply of a merchant wins.
 

@@ -110,6 +110,11 @@ def profile_uncached(c: Context):
     )
 
 
+def profile_requests(c: Context):
+    waiting = enrichment.profile_requests(enrichment.merchant_candidates(c.fact), c.profiles, testbed.MODEL, 25)
+    return waiting.select("batch", "place", MERCHANT, "transaction_count", "debit_spend", "raw_descriptions")
+
+
 def visible_semi_join(c: Context):
     chosen = c.fact.filter("is_anomaly")
     return joins.visible_semi_join(slices.spend_by(c.fact, MERCHANT), chosen, MERCHANT)
@@ -444,9 +449,18 @@ ENTRIES = {
         LAYERS + "select " + out("s:normalized_merchant;s:merchant_group=min(merchant_group);"
                                  "s:final_category=min(final_category);i:transaction_count=count(*);"
                                  "n:debit_spend=coalesce(sum(amount_abs) filter (is_debit), 0);"
-                                 "s:raw_descriptions=string_agg(distinct raw_description, ' || ' order by raw_description)")
+                                 "s:raw_descriptions=array_to_string(list_sort(list(distinct raw_description))[:6], ' || ')")
         + " from fact group by normalized_merchant",
     ),
+    "profile_requests": (
+        profile_requests,
+        LAYERS + "select ceil(place / 10)::bigint as batch, place, normalized_merchant, transaction_count, "
+        "round(debit_spend, 6) as debit_spend, raw_descriptions from (select *, row_number() over (order by transaction_count "
+        "desc, debit_spend desc, normalized_merchant) as place from (select normalized_merchant, count(*) as transaction_count, "
+        "coalesce(sum(amount_abs) filter (is_debit), 0)::double as debit_spend, "
+        "array_to_string(list_sort(list(distinct raw_description))[:6], ' || ') as raw_descriptions "
+        "from fact group by 1 having min(merchant_group) = 'Unmapped' and max(merchant_group) = 'Unmapped')) where place <= 25",
+    ),
     "null_group_aggregate": (
         lambda c: agg.null_group_aggregate(c.fact, "raw_category", AMOUNT, "spend"),
         LAYERS + "select " + out("s:raw_category;n:spend=sum(amount_abs)") + " from fact group by raw_category",

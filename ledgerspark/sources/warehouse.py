@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ledgerspark.operators.ordering import sort_columns
+from ledgerspark.session import stored
 
 # Display order of each mart.
 MART_ORDER: dict[str, list[tuple[str, str]]] = {
@@ -27,51 +28,38 @@ MART_ORDER: dict[str, list[tuple[str, str]]] = {
 
 
 class Warehouse:
-    """A folder of parquet tables, each written as a numbered version beside the earlier ones.
-
-    A refresh writes a new version and readers take the newest complete one, so a table can be rebuilt from
-    itself and a failed write leaves the last good version in place.
-    """
+    """A folder of parquet tables that a refresh replaces as a whole."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        found = []
-        for status in files.listStatus(path):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and files.exists(done):
-                found.append(int(name[1:]))
-        return sorted(found)
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
     def full_refresh_write(self, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        """Replace a table by a frame, which may itself read the table; returns the stored table."""
-        versions = self._versions(table)
-        path = f"{self.root}/{table}/v{(versions[-1] if versions else 0) + 1}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """Replace a table by a frame; returns the stored table.
 
-    def table(self, table: str, empty: StructType | None = None) -> DataFrame:
-        """Newest version of a table; an empty frame of the given schema where there is none."""
-        versions = self._versions(table)
-        if versions:
-            return self.spark.read.parquet(f"{self.root}/{table}/v{versions[-1]}")
-        return self.spark.createDataFrame([], empty or StructType([]))
+        Spark cannot overwrite what it is reading, so a frame that reads the table itself is stored aside first.
+        """
+        own = f"/{self.path(table).split('://')[-1].strip('/')}/"
+        frame = stored(df, table) if any(own in file for file in df.inputFiles()) else df
+        writer = frame.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+        return self.spark.read.schema(df.schema).parquet(self.path(table))
 
-    def mart_scan(self, table: str) -> DataFrame:
-        """A mart in its display order; an unreadable or missing one is an empty frame."""
+    def table(self, table: str, empty: StructType | None = None) -> DataFrame:
+        """A table, or an empty frame of the given schema where there is none."""
         try:
-            frame = self.table(table)
-        except AnalysisException:
-            return self.spark.createDataFrame([], StructType([]))
+            return self.spark.read.parquet(self.path(table))
+        except AnalysisException as error:
+            if empty is None or error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], empty)
+
+    def mart_scan(self, table: str, empty: StructType | None = None) -> DataFrame:
+        """A mart in its display order; one that was never written is an empty frame of the given schema."""
+        frame = self.table(table, empty)
         order = [key for key in MART_ORDER.get(table, []) if key[0] in frame.columns]
         return frame.orderBy(*sort_columns(order)) if order else frame
 

@@ -3,7 +3,9 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerspark import session
 from ledgerspark.sources import files
@@ -98,7 +100,10 @@ def test_mart_scan_orders_and_survives_a_missing_table(spark, tmp_path):
         "mart_monthly_spend",
     )
     assert [row["month"] for row in house.mart_scan("mart_monthly_spend").collect()] == ["2025-01", "2025-02"]
-    assert house.mart_scan("mart_anomalies").count() == 0
+    missing = house.mart_scan("mart_anomalies", StructType.fromDDL("severity_score double, note string"))
+    assert missing.count() == 0 and missing.columns == ["severity_score", "note"]
+    with pytest.raises(AnalysisException):
+        house.mart_scan("mart_anomalies")
 
 
 def test_bad_dates_become_null(spark):
