@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
 from ledgerspark.functions.text import (
+    content_key,
     expanded_terms,
     profile_text,
     search_text,
@@ -17,10 +18,10 @@ from ledgerspark.functions.text import (
 )
 from ledgerspark.functions.vectors import confidence_label, cosine_prepared, hybrid_score, is_confident, norm
 from ledgerspark.operators.caches import cache_upsert, stale_cache_split
-from ledgerspark.operators.joins import lookup_map_join
+from ledgerspark.operators.joins import anti_join, lookup_map_join
 from ledgerspark.operators.ordering import top_k_limit
 from ledgerspark.operators.windows import top_k_per_group
-from ledgerspark.schemas import EMBEDDING_CACHE
+from ledgerspark.schemas import CACHE_KEYS, EMBEDDING_CACHE, QUERY_CACHE, RERANK_CACHE
 from ledgerspark.session import stored
 
 DOCUMENT_COLUMNS = [
@@ -100,6 +101,65 @@ def embedding_backfill(
     return cache_upsert(cache.select(*names), fresh, ["transaction_id", "embedding_model"])
 
 
+def query_vector_cache(
+    queries: DataFrame, cache: DataFrame, embed: EmbedFunction, model: str, batch: int = K.EMBED_BATCH
+) -> DataFrame:
+    """The query cache after embedding every searchable query it does not hold; equal texts are embedded once."""
+    asked = query_guard(queries).select("query_text").distinct()
+    key = content_key(embedding_model=F.lit(model), query_text=F.col("query_text"))
+    waiting = anti_join(asked.withColumn("query_key", key), cache, "query_key")
+    schema = "query_key string, query_text string, embedding array<float>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start : start + batch]
+                yield part.assign(embedding=embed(part["query_text"].tolist()))
+
+    made = stored(waiting.select("query_key", "query_text").mapInPandas(run, schema), "query-vectors")
+    fresh = made.withColumns({"embedding_model": F.lit(model), "created_at": F.current_timestamp()})
+    names = QUERY_CACHE.fieldNames()
+    return cache_upsert(cache.select(*names), fresh.select(*names), CACHE_KEYS["search_query_cache"])
+
+
+RerankFunction = Callable[[str, list[str]], list[float]]
+
+
+def rerank_requests(candidates: DataFrame, model: str) -> DataFrame:
+    """One request per query: its few candidates' texts in their order, and the key of the cached answer."""
+    listed = F.array_sort(F.collect_list(F.struct("candidate_index", "search_text")))
+    asked = candidates.groupBy("query_id", "query_text").agg(listed["search_text"].alias("documents"))
+    key = content_key(model=F.lit(model), query_text=F.col("query_text"), documents=F.col("documents"))
+    return asked.withColumn("rerank_key", key)
+
+
+def rerank_cache(candidates: DataFrame, cache: DataFrame, rerank: RerankFunction, model: str) -> DataFrame:
+    """The rerank cache after asking for every list of candidates it does not hold; equal requests are made once."""
+    waiting = anti_join(rerank_requests(candidates, model), cache, "rerank_key").drop("query_id")
+    schema = "rerank_key string, query_text string, documents array<string>, scores array<double>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores = [rerank(text, list(texts)) for text, texts in zip(frame["query_text"], frame["documents"], strict=True)]
+            yield frame.assign(scores=scores)
+
+    asked = waiting.dropDuplicates(["rerank_key"]).select("rerank_key", "query_text", "documents")
+    made = stored(asked.mapInPandas(run, schema), "rerank-scores")
+    result = F.transform("scores", lambda score, place: F.struct(place.alias("index"), score.alias("relevance_score")))
+    fresh = made.withColumns({"results": result, "model": F.lit(model), "created_at": F.current_timestamp()})
+    names = RERANK_CACHE.fieldNames()
+    return cache_upsert(cache.select(*names), fresh.select(*names), CACHE_KEYS["search_rerank_cache"])
+
+
+def cached_rerank_scores(candidates: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Scores by query and place from the cache, as ``rerank_merge`` takes them."""
+    held = rerank_requests(candidates, model).join(cache.select("rerank_key", "results"), on="rerank_key")
+    item = held.select("query_id", F.explode("results").alias("item"))
+    return item.select(
+        "query_id", F.col("item.index").alias("candidate_index"), F.col("item.relevance_score").alias("rerank_score")
+    )
+
+
 def attach_embeddings(docs: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     vectors = cache.filter(F.col("embedding_model") == model).select("transaction_id", "embedding")
     return docs.join(vectors, on="transaction_id", how="left")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ledgerspark import testbed
 from ledgerspark.constants import DECLARED_TESTS, REQUIRED_COLUMNS
 from ledgerspark.operators import caches, quality
+from ledgerspark.functions.text import content_key
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, out
 from ledgerspark.plans import enrichment, search
 from ledgerspark.plans.pipeline import build_marts, tested_tables
 from ledgerspark.registry.context import Context
 from ledgerspark.registry.expressions import REPLIES_SQL, enrichment_replies, profile_replies
 from ledgerspark.registry.relational import embedding_states
+from ledgerspark.schemas import RERANK_CACHE
 from ledgerspark.session import stored
 
 ID = "transaction_id"
@@ -41,6 +43,29 @@ def stats(c: Context):
     return caches.backfill_stats(split)
 
 
+def query_vectors(c: Context):
+    """Every user turn as a query; the cache already holds those of even turns, with outdated vectors."""
+    turns = testbed.conversation_queries(c.spark, c.dir).filter("role = 'user'")
+    guarded = search.query_guard(turns).filter("query_id % 2 = 0").select("query_text").distinct()
+    key = content_key(embedding_model=F.lit(testbed.EMBED_MODEL), query_text=F.col("query_text"))
+    held = guarded.select(
+        key.alias("query_key"), "query_text", F.lit(testbed.EMBED_MODEL).alias("embedding_model"),
+        F.array(F.lit(0.0)).cast("array<float>").alias("embedding"),
+        F.lit(testbed.CACHE_TIME).cast("timestamp").alias("created_at"),
+    )
+    filled = search.query_vector_cache(turns, held, testbed.letter_counts, testbed.EMBED_MODEL)
+    return filled.select("query_key", "query_text", "embedding_model", "embedding")
+
+
+def reranked(c: Context):
+    """Scores of the candidates of every query, asked for once and then read from the cache."""
+    found = stored_candidates(c)
+    empty = c.spark.createDataFrame([], RERANK_CACHE)
+    cache = search.rerank_cache(found, empty, testbed.shared_letters, testbed.EMBED_MODEL)
+    again = search.rerank_cache(found, stored(cache, "rerank-cache"), testbed.shared_letters, testbed.EMBED_MODEL)
+    return search.cached_rerank_scores(found, again, testbed.EMBED_MODEL)
+
+
 def candidates(c: Context):
     return search.hybrid_search(c.queries, c.searchable)
 
@@ -212,6 +237,27 @@ s:search_text""") + " from documented",
         "cache_hits, count(*) filter (o_orderpriority in ('1-URGENT', '2-HIGH')) as embedded_now, "
         "count(*) filter (o_orderpriority = '2-HIGH') as stale_rows from orders join customer on c_custkey = o_custkey",
     ),
+    "query_vector_cache": (
+        query_vectors,
+        """with turns as (
+  select conv_id * 1000 + turn as query_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as query_text
+  from conversations where role = 'user'
+),
+asked as (
+  select query_text, bool_or(query_id % 2 = 0) as held from turns where length(query_text) >= 3 group by 1
+)
+select sha256(json_object('embedding_model', '"""
+        + testbed.EMBED_MODEL
+        + """', 'query_text', query_text)::varchar) as query_key, query_text, '"""
+        + testbed.EMBED_MODEL
+        + """' as embedding_model, if(held, '0.0', concat_ws('|', length(query_text)::varchar || '.0', """
+        + ", ".join(f"(length(query_text) - length(replace(query_text, '{v}', '')))::varchar || '.0'" for v in "aeiou")
+        + ")) as embedding from asked",
+    ),
+    "rerank_cache": (
+        reranked,
+        HYBRID_SQL + "select query_id, candidate_index, (length(search_text) - length(query_text))::double as rerank_score from found",
+    ),
     "hybrid_search": (
         lambda c: candidates(c).select(
             "query_id", "query_text", "candidate_index", ID, "normalized_merchant", "search_text", "semantic_score",

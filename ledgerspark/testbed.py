@@ -140,6 +140,11 @@ def profile_cache(fact: DataFrame) -> DataFrame:
     )
 
 
+def shared_letters(query: str, texts: list[str]) -> list[float]:
+    """Stand-in for a rerank model: how much longer than the query a text is."""
+    return [float(len(text) - len(query)) for text in texts]
+
+
 def letter_counts(texts: list[str]) -> list[list[float]]:
     """Stand-in for an embedding model: text length and vowel counts."""
     return [[float(len(text)), *[float(text.count(vowel)) for vowel in "aeiou"]] for text in texts]
