@@ -43,13 +43,13 @@ def latest_file_scan(c: Context):
 
 
 def lineage_columns(c: Context):
-    rows = files.lineage_columns(files.csv_scan(c.spark, c.export_path), "test")
-    return rows.groupBy("source_mode").agg(
-        F.count("*").alias("row_count"),
-        F.min("source_row_number").alias("first_number"),
-        F.max("source_row_number").alias("last_number"),
-        F.count_distinct("source_row_number").alias("distinct_numbers"),
-        F.sum(F.col("Amount").cast("decimal(18,2)")).alias("amount"),
+    """The number of every row of an export whose files hold the transactions in the order of their keys."""
+    path = scratch_path(c.spark, "ordered-export")
+    names = [F.col(f"`{name}`") for name in REQUIRED_COLUMNS]
+    c.raw.orderBy("source_row_number").select(*names).write.option("header", True).csv(path)
+    rows = files.lineage_columns(files.csv_scan(c.spark, path), "test")
+    return rows.withColumnsRenamed(SNAKE).select(
+        "source_row_number", "source_mode", "transaction_date_text", "description", "amount"
     )
 
 
@@ -155,9 +155,8 @@ ENTRIES = {
     ),
     "lineage_columns": (
         lineage_columns,
-        LAYERS + "select 'test' as source_mode, count(*) as row_count, 1::bigint as first_number, "
-        "count(*) as last_number, count(*) as distinct_numbers, " + out("n:amount=sum(amount::decimal(18,2))")
-        + " from raw_export",
+        LAYERS + "select row_number() over (order by source_row_number) as source_row_number, 'test' as source_mode, "
+        "transaction_date_text, description, amount from raw_export",
     ),
     "row_hash_key": (
         row_hash_key,
