@@ -39,21 +39,28 @@ class Layers:
     fact: DataFrame
 
 
-def build_layers(raw: DataFrame, rules: DataFrame, enrichment_cache: DataFrame) -> Layers:
+def build_layers(
+    raw: DataFrame, rules: DataFrame, enrichment_cache: DataFrame, warehouse: Warehouse | None = None
+) -> Layers:
     """Staging stays lazy. Layers that several later jobs read are written once, so that rules are matched and
-    statistics joined a single time however many marts follow."""
+    statistics joined a single time however many marts follow. With a warehouse the fact goes straight to its
+    table there, and its files are ordered by date, so that date filters skip row groups."""
     staged = stage_transactions(raw)
     enrichments = stage_enrichments(enrichment_cache)
     normalized = stored(normalize_merchants(staged, rules, enrichments), "normalized")
     categories = stored(category_stats(normalized), "categories")
     features = stored(transaction_features(normalized, categories), "features")
     recurring = stored(recurring_transactions(features), "recurring")
-    fact = stored(fact_transactions(features, recurring), "fact")
+    fact = fact_transactions(features, recurring).sortWithinPartitions("transaction_date")
+    fact = warehouse.full_refresh_write(fact, "fct_transactions") if warehouse else stored(fact, "fact")
     return Layers(staged, enrichments, normalized, features, recurring, fact)
 
 
-def build_marts(layers: Layers) -> dict[str, DataFrame]:
-    """Lazy marts over the stored fact."""
+def build_marts(
+    layers: Layers, start: str | None = None, end: str | None = None, daily_tasks: int | None = None
+) -> dict[str, DataFrame]:
+    """Lazy marts over the stored fact. ``start`` and ``end`` bound the days of the daily mart, and ``daily_tasks``
+    sets the number of tasks that write it."""
     recurring_mart = mart_recurring_spend(layers.recurring)
     fact = layers.fact
     return {
@@ -67,16 +74,24 @@ def build_marts(layers: Layers) -> dict[str, DataFrame]:
         "mart_data_quality": mart_data_quality(fact),
         "mart_merchant_review": mart_merchant_review(fact),
         "mart_metric_summary": mart_metric_summary(fact),
-        "mart_daily_metric_values": mart_daily_metric_values(fact),
+        "mart_daily_metric_values": mart_daily_metric_values(fact, start=start, end=end, partitions=daily_tasks),
     }
 
 
 def run_pipeline(
-    raw: DataFrame, rules: DataFrame, enrichment_cache: DataFrame, warehouse: Warehouse
+    raw: DataFrame,
+    rules: DataFrame,
+    enrichment_cache: DataFrame,
+    warehouse: Warehouse,
+    start: str | None = None,
+    end: str | None = None,
+    daily_tasks: int | None = None,
 ) -> dict[str, DataFrame]:
     """Refresh every mart of a warehouse from raw rows and run the declared tests; returns the stored marts."""
-    layers = build_layers(raw, rules, enrichment_cache)
-    written = {name: warehouse.full_refresh_write(frame, name) for name, frame in build_marts(layers).items()}
+    layers = build_layers(raw, rules, enrichment_cache, warehouse)
+    marts = build_marts(layers, start, end, daily_tasks)
+    fact = marts.pop("fct_transactions")
+    written = {"fct_transactions": fact} | {name: warehouse.full_refresh_write(frame, name) for name, frame in marts.items()}
     require_declared(tested_tables(layers, written), DECLARED_TESTS)
     return written
 

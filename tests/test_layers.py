@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.calendar import date_bounds
 from ledgerspark.plans import daily, features, marts, normalization, slices
 from ledgerspark.plans.narrative import summary_record
-from ledgerspark.plans.pipeline import build_layers, build_marts
+from ledgerspark.plans.pipeline import build_layers, build_marts, run_pipeline
 from ledgerspark.plans.staging import stage_transactions
 from ledgerspark.schemas import ENRICHMENT_CACHE
 from ledgerspark.sources.files import rules_frame
+from ledgerspark.sources.warehouse import Warehouse
 from tests.frames import day, fact, fact_row, raw, small_fact
 
 RULE_COLUMNS = "pattern string, normalized_merchant string, merchant_group string, default_category string"
@@ -286,3 +287,27 @@ def test_whole_pipeline_from_raw_rows(spark):
     assert produced["mart_metric_summary"].count() == 13
     kpis = produced["mart_spend_kpis"].collect()[0]
     assert (kpis["total_spend"], kpis["credit_amount"], kpis["debit_transaction_count"]) == (180, 100, 6)
+
+
+def test_refresh_of_a_warehouse(spark, tmp_path):
+    rows = [("01/02/2025", "UBER TRIP", "Food", "-1.00"), ("02/03/2025", "Café", None, "-4.00"), ("03/04/2025", "UBER TRIP", "Food", "-5.00")]
+    house = Warehouse(spark, str(tmp_path))
+    cache = spark.createDataFrame([], ENRICHMENT_CACHE)
+    marts = run_pipeline(raw(spark, rows), rules(spark), cache, house, start="2025-02-01", end="2025-02-28")
+    assert marts["fct_transactions"].count() == 3
+    days = {str(row["metric_date"]) for row in marts["mart_daily_metric_values"].select("metric_date").collect()}
+    assert min(days) >= "2025-02-01" and max(days) <= "2025-02-28"
+    # A second refresh replaces the tables, and a repeated key fails the declared tests.
+    twice = raw(spark, rows).union(raw(spark, rows[:1]))
+    with pytest.raises(ValueError, match="stg_chase_transactions.transaction_id unique"):
+        run_pipeline(twice, rules(spark), cache, house, start="2025-02-01", end="2025-02-28")
+    assert house.mart_scan("fct_transactions").count() > 3
+
+
+def test_declared_tests_report_their_failures(spark):
+    from ledgerspark.operators.quality import dq_declared
+
+    frame = spark.createDataFrame([("a", 1), ("a", None), (None, 2)], "k string, v int")
+    found = dq_declared({"t": frame}, {"t": {"not_null": ["k", "v"], "unique": ["k"]}}).collect()
+    assert sorted((r["column_name"], r["test"], r["failures"]) for r in found) == [
+        ("k", "not_null", 1), ("k", "unique", 1), ("v", "not_null", 1)]
