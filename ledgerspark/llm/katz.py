@@ -307,12 +307,12 @@ def good_turing(found: np.ndarray) -> np.ndarray:
 
 
 def backoff_sums(table: pa.Table, discounts: Discounts) -> pa.Table:
-    """Step 4: a partition's contexts added up; for each document that asks, the sum of its logarithms of alpha."""
+    """Step 4: a partition's contexts added up; for each block, rows of documents and their sums of logarithms of alpha."""
     kinds = np.array(table.column("kind").to_pylist())
     keys, data = table.column("keys").to_pylist(), table.column("numbers").to_pylist()
     blocks = table.column("block").to_numpy()
     given = np.flatnonzero(kinds == "context")
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
     if len(given):
         each = [unpacked(keys[i]) for i in given]
         contexts, place = np.unique(np.concatenate(each), return_inverse=True)
@@ -325,9 +325,23 @@ def backoff_sums(table: pa.Table, discounts: Discounts) -> pa.Table:
         asking, who = values[: len(asked)], values[len(asked) :]
         alpha = weights[np.searchsorted(contexts, asked)]
         rows_of, where = np.unique(who, return_inverse=True)
-        out.append((np.full(len(rows_of), blocks[i]), rows_of.astype(np.int32), np.bincount(where, np.repeat(alpha, asking))))
-    merged = [np.concatenate(column) for column in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)]
-    return pa.table({"block": merged[0].astype(np.int64), "row": merged[1], "backoff": merged[2]})
+        out.append((int(blocks[i]), rows_of.astype(np.int32), np.bincount(where, np.repeat(alpha, asking))))
+    columns = list(zip(*out)) or [[], [], []]
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+    return pa.table([pa.array(column, kind) for column, kind in zip(columns, kinds)], names=["block", "rows", "backoff"])
+
+
+def finished_block(rows: pa.Table, sums: pa.Table, discounts: Discounts) -> pa.Table:
+    """Scores of the documents of a block, the parts of their backoff weights added in the order of their values."""
+    rows = rows.sort_by("row")
+    n_tokens = rows.column("n_tokens").to_numpy()
+    base, model = discounts.scores(np.stack(rows.column("sums").to_pylist()), n_tokens)
+    if sums.num_rows:
+        places, parts = (np.concatenate([value.values.to_numpy() for value in sums.column(name)]) for name in ("rows", "backoff"))
+        order = np.lexsort((parts, places))
+        model = model + np.bincount(places[order], parts[order], len(model))
+    made = {"train_tokens": np.full(len(model), int(discounts.tokens)), "base_score": base, "score": model}
+    return pa.table({name: rows.column(name) for name in ("doc_id", "held_out", "n_tokens", "n_known")} | made)
 
 
 def score(documents: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
@@ -372,24 +386,11 @@ def score(documents: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, bl
         return backoff_sums(table, discounts)
 
     asked = described.where("kind in ('context', 'unseen')").select("part", "kind", "block", "keys", "numbers")
-    backoff = asked.groupBy("part").applyInArrow(weigh, "block bigint, row int, backoff double")
-    backoff = backoff.groupBy("block", "row").agg(F.sum("backoff").alias("backoff"))
-
-    @F.pandas_udf("base_score double, score double")
-    def weighed(sums, n_tokens):
-        import pandas as pd
+    backoff = asked.groupBy("part").applyInArrow(weigh, "block bigint, rows array<int>, backoff array<double>")
 
-        base, model = discounts.scores(np.stack(sums.to_list()).reshape(len(sums), -1), n_tokens.to_numpy())
-        return pd.DataFrame({"base_score": base, "score": model})
+    def finish(key, rows: pa.Table, sums: pa.Table) -> pa.Table:
+        return finished_block(rows, sums, discounts)
 
     rows = described.where("kind = 'doc'").select("block", "row", "doc_id", "held_out", "n_tokens", "n_known", "sums")
-    rows = rows.join(backoff, ["block", "row"], "left").withColumn("made", weighed("sums", "n_tokens"))
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(int(discounts.tokens)).cast("bigint").alias("train_tokens"),
-        F.col("made.base_score").alias("base_score"),
-        (F.col("made.score") + F.coalesce("backoff", F.lit(0.0))).alias("score"),
-    )
+    made = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return rows.groupBy("block").cogroup(backoff.groupBy("block")).applyInArrow(finish, made)
