@@ -36,7 +36,7 @@ from .common import fields, fold, words_of
 RELIABLE = 5
 KEPT = 0.999
 #: Documents in a block, and blocks for each partition of the tables of keys.
-BLOCK_DOCUMENTS, BLOCKS_A_PARTITION = 1024, 2
+BLOCK_DOCUMENTS, BLOCKS_A_PARTITION = 2048, 1
 FOLDS, HELD_OUT = 7, 2
 
 # No word holds a space, so these two cannot be words.
@@ -64,8 +64,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Small numbers byte by byte of all, for the same reason."""
+    return np.ascontiguousarray(values.astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 def numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint32).astype(np.int64)
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(">u4").ravel().astype(np.int64)
 
 
 class Block:
@@ -114,9 +120,9 @@ def sent_keys(table: pa.Table, partitions: int) -> pa.Table:
         (
             part,
             packed(block.words[word_cuts[part] : word_cuts[part + 1]]),
-            block.word_counts[word_cuts[part] : word_cuts[part + 1]].astype(np.uint32).tobytes(),
+            packed_numbers(block.word_counts[word_cuts[part] : word_cuts[part + 1]]),
             packed(block.pairs[pair_cuts[part] : pair_cuts[part + 1]]),
-            block.pair_counts[pair_cuts[part] : pair_cuts[part + 1]].astype(np.uint32).tobytes(),
+            packed_numbers(block.pair_counts[pair_cuts[part] : pair_cuts[part + 1]]),
         )
         for part in range(partitions)
         if word_cuts[part] < word_cuts[part + 1] or pair_cuts[part] < pair_cuts[part + 1]
@@ -135,11 +141,11 @@ def added_up(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], list[
     """Global counts for the keys of each block, and whether the block owns the key: the first block that sent it."""
     each = [unpacked(data) for data in keys]
     _, first, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-    totals = np.bincount(place, np.concatenate([numbers(data) for data in counts])).astype(np.uint32)
+    totals = np.bincount(place, np.concatenate([numbers(data) for data in counts])).astype(np.int64)
     owned = np.zeros(len(place), dtype=bool)
     owned[first] = True
     edges = np.cumsum([len(one) for one in each])[:-1]
-    return [part.tobytes() for part in np.split(totals[place], edges)], [np.packbits(part).tobytes() for part in np.split(owned, edges)]
+    return [packed_numbers(part) for part in np.split(totals[place], edges)], [np.packbits(part).tobytes() for part in np.split(owned, edges)]
 
 
 def answers(table: pa.Table) -> pa.Table:
@@ -231,21 +237,21 @@ def scored_block(key, documents: pa.Table, answered: pa.Table, partitions: int,
     contexts, group = np.unique(block.pair_before[own], return_inverse=True)
     after = by_class(pair_count[own], group, len(contexts))[:, 1:]
     lower = by_class(word_count[block.pair_word[own]], group, len(contexts))[:, 1:]
-    table = np.concatenate([after, lower], axis=1).astype(np.uint32)
+    table = np.concatenate([after, lower], axis=1).astype(np.int64)
     asked, place = np.unique(block.before[backed], return_inverse=True)
     order = np.argsort(place, kind="stable")
     # For each asked context, how many tokens ask, then who: the rows of their documents.
-    asking = np.bincount(place, minlength=len(asked)).astype(np.uint32)
-    who, ends = document[backed][order].astype(np.uint32), np.concatenate([[0], np.cumsum(asking, dtype=np.int64)]).astype(np.int64)
+    asking = np.bincount(place, minlength=len(asked))
+    who, ends = document[backed][order], np.concatenate([[0], np.cumsum(asking, dtype=np.int64)]).astype(np.int64)
     context_cuts, asked_cuts = cuts(contexts, partitions), cuts(asked, partitions)
     for part in range(partitions):
         low, high = context_cuts[part], context_cuts[part + 1]
         if low < high:
-            data = np.ascontiguousarray(table[low:high].T).tobytes()
+            data = packed_numbers(table[low:high].T.ravel())
             rows.append({"kind": "context", "block": number, "part": part, "keys": packed(contexts[low:high]), "numbers": data})
         low, high = asked_cuts[part], asked_cuts[part + 1]
         if low < high:
-            data = asking[low:high].tobytes() + who[ends[low] : ends[high]].tobytes()
+            data = packed_numbers(np.concatenate([asking[low:high], who[ends[low] : ends[high]]]))
             rows.append({"kind": "unseen", "block": number, "part": part, "keys": packed(asked[low:high]), "numbers": data})
     return pa.Table.from_pylist(rows, schema=schema)
 
@@ -316,12 +322,12 @@ def backoff_sums(table: pa.Table, discounts: Discounts) -> pa.Table:
     if len(given):
         each = [unpacked(keys[i]) for i in given]
         contexts, place = np.unique(np.concatenate(each), return_inverse=True)
-        rows = np.concatenate([np.frombuffer(data[i], np.uint32).reshape(2 * CLASSES, -1).T for i in given])
+        rows = np.concatenate([numbers(data[i]).reshape(2 * CLASSES, -1).T for i in given])
         summed = np.stack([np.bincount(place, column, len(contexts)) for column in rows.T], axis=1)
         weights = discounts.log_alpha(summed)
     for i in np.flatnonzero(kinds == "unseen"):
         asked = unpacked(keys[i])
-        values = np.frombuffer(data[i], np.uint32)
+        values = numbers(data[i])
         asking, who = values[: len(asked)], values[len(asked) :]
         alpha = weights[np.searchsorted(contexts, asked)]
         rows_of, where = np.unique(who, return_inverse=True)
