@@ -322,11 +322,11 @@ DECLARED_TESTS = {
     "mart_data_quality": {"not_null": ["merchant_source", "category_source"]},
     "mart_metric_summary": {"not_null": ["metric_key", "metric_value", "unit"], "unique": ["metric_key"]},
     "mart_daily_metric_values": {"not_null": ["metric_date", "metric_key", "metric_value", "metric_value_l30d"]},
-    "stg_chase_transactions": {
+    "staged_transactions": {
         "not_null": ["transaction_id", "transaction_date", "raw_description", "amount", "transaction_type"],
         "unique": ["transaction_id"],
     },
-    "stg_ai_merchant_enrichments": {
+    "staged_enrichments": {
         "not_null": ["raw_description", "suggested_merchant", "confidence"],
         "unique": ["raw_description"],
     },

@@ -98,4 +98,4 @@ def run_pipeline(
 
 def tested_tables(layers: Layers, marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables that tests are declared for, by name."""
-    return marts | {"stg_chase_transactions": layers.staged, "stg_ai_merchant_enrichments": layers.enrichments}
+    return marts | {"staged_transactions": layers.staged, "staged_enrichments": layers.enrichments}

@@ -152,8 +152,8 @@ def suite(c: Context):
 SUITE_CTES = {
     "fct_transactions": "fact", "mart_merchant_review": "review", "mart_spend_kpis": "spend_totals",
     "mart_monthly_kpis": "monthly_kpis", "mart_category_metrics": "category_metrics", "mart_data_quality": "source_quality",
-    "mart_metric_summary": "period_pairs", "mart_daily_metric_values": "rolling", "stg_chase_transactions": "staged",
-    "stg_ai_merchant_enrichments": "enrichments",
+    "mart_metric_summary": "period_pairs", "mart_daily_metric_values": "rolling", "staged_transactions": "staged",
+    "staged_enrichments": "enrichments",
 }
 
 

@@ -299,7 +299,7 @@ def test_refresh_of_a_warehouse(spark, tmp_path):
     assert min(days) >= "2025-02-01" and max(days) <= "2025-02-28"
     # A second refresh replaces the tables, and a repeated key fails the declared tests.
     twice = raw(spark, rows).union(raw(spark, rows[:1]))
-    with pytest.raises(ValueError, match="stg_chase_transactions.transaction_id unique"):
+    with pytest.raises(ValueError, match="staged_transactions.transaction_id unique"):
         run_pipeline(twice, rules(spark), cache, house, start="2025-02-01", end="2025-02-28")
     assert house.mart_scan("fct_transactions").count() > 3
 
