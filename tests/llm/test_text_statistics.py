@@ -306,3 +306,18 @@ def test_marginals_equal_enumeration_on_a_tree(field):
             total[i, k] += math.exp(score)
     exact = total / total.sum(axis=1, keepdims=True)
     assert np.allclose(field.marginals(tokens), exact, atol=0.02)
+
+
+def test_sql_counterpart_of_the_rules(documents, labels):
+    import duckdb
+
+    from ledgerspark.llm.oracles import NGRAM_QUALITY_RULES
+    from tests.llm.conftest import SMALL
+
+    connection = duckdb.connect()
+    for name in ("documents", "labels"):
+        connection.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
+    expected = connection.execute(NGRAM_QUALITY_RULES).fetchall()
+    names = [column[0] for column in connection.description]
+    rows = ngram_rules.quality_rules(documents, labels).select(*names).collect()
+    assert sorted(map(tuple, rows)) == sorted(expected)
