@@ -15,6 +15,8 @@ empty result; of the documents only the id and text columns are read, except by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -102,14 +104,15 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(prints: DataFrame) -> DataFrame:
+def near_groups(prints: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """For each distinct fingerprint of a stored table: root, component_id and keeper, the row that may stay.
 
+    ``link`` gives the pairs (left < right) of linked fingerprints of the table of distinct ones.
     ``component_id`` is the smallest id of the component, ``keeper`` the smallest (id, text hash) of it.
     """
     last = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     nodes = stored(prints.groupBy("fingerprint").agg(F.min(last).alias("first")), "nodes")
-    labels = components(stored(links(nodes), "links"))
+    labels = components(stored(link(nodes), "links"))
     linked = nodes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint")
     firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
     grouped = stored(linked.select("fingerprint", "root").join(stored(firsts, "firsts"), "root"), "grouped")

@@ -1,0 +1,81 @@
+"""Near-duplicates by exact shingle similarity against all pairs, and near copies beyond the reach of operator 4."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from ledgerspark.llm import hamming, similar
+
+
+def edited_texts() -> list[str]:
+    """Random texts of many lengths, each with copies that have some words replaced, added or cut, and a common passage."""
+    draw = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for length in [*range(1, 40), *range(40, 900, 23)]:
+        words = [f"w{draw.randrange(5000)}" for _ in range(length)] + (passage if length % 3 == 0 else [])
+        texts.append(" ".join(words))
+        for share in (0.0, 0.01, 0.02, 0.022, 0.025, 0.03, 0.05):
+            copy = [draw.choice([f"x{draw.randrange(9999)}", ""]) if draw.random() < share else w for w in words]
+            texts.append(" ".join(copy[: len(copy) - draw.choice([0, 0, len(copy) // 6])]))
+    return texts
+
+
+def plain_set(text: str) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_pairs(texts: list[str]) -> set:
+    sets = [plain_set(text) for text in texts]
+    return {
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i + 1, len(sets))
+        if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])
+    }
+
+
+def test_similar_sets_share_a_key():
+    texts = [text for text in edited_texts() if text.strip()]
+    sets = [similar.shingles(text) for text in texts]
+    found = [set(similar.keys(members).tolist()) for members in sets]
+    near = plain_pairs(texts)
+    assert len(near) > 300
+    for i, j in near:
+        assert similar.similar(sets[i], sets[j]) and found[i] & found[j]
+
+
+def test_too_few_filled_buckets(monkeypatch):
+    monkeypatch.setattr(similar, "FILL", 50.0)
+    test_similar_sets_share_a_key()
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    texts = edited_texts()
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in plain_pairs(texts):
+        low, high = sorted((find(i), find(j)))
+        parent[high] = low
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {row.doc_id for row in corpus_pipeline.near_duplicates(spark, documents, "").collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+    assert len(kept) < hamming.one_of_each_group(documents).count()
+
+
+def test_odd_rows(spark, odd):
+    kept = [(row.doc_id, row.text) for row in similar.one_of_each_group(odd).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [1, 4, 5, 7, 8]
+    assert [text for i, text in kept if i is None] == ["a row without an id"]
+    assert similar.one_of_each_group(odd).columns == odd.columns
+    assert similar.one_of_each_group(odd.limit(0)).count() == 0
+    assert np.array_equal(similar.shingles(None), similar.shingles(" \t"))
