@@ -4,12 +4,15 @@ Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Th
 thing, such as a phone number without its plus sign. The field labels every token with a digit or an at sign; all
 other tokens carry no label, which cuts the chain between its pieces. Neighbouring tokens share transition
 potentials, and each token is linked to the next one in the document with the same key (its last seven digits, or its
-text without case), however far away: such a link has agreement potentials. Tokens inside pattern matches are
+text without case), however far away: such a link has agreement potentials. A number may be written in groups: a pattern
+match, and neighbouring tokens up to any one of them, have the last seven of their joined digits as a key, and tokens of two such
+numbers are linked where their digits agree. Tokens inside pattern matches are
 observed. Loopy sum-product message passing carries their labels along chain and links.
 
 The weights are learned by pseudo-likelihood from pattern matches of a bounded sample of documents, with a prior of
 ``AGREEMENT`` for equal labels across a link. A run of tokens becomes an added span if each token has the label with
-probability ``CERTAIN`` at least, and one of them is linked to an observed token with that label. Pattern matches always stay.
+probability ``CERTAIN`` at least, and one of them is linked, maybe over others, to an observed token with that label; further neighbours with such a link join it. Pattern matches
+always stay.
 
 Defined results: a null text is an empty text; spans are code points, end exclusive; without matches to learn from
 nothing is added; repeated rows are searched each; an empty table gives an empty result; only the id and text columns
@@ -48,8 +51,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGITS, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
 _EDGE = ".,;:!?\"'*&%$#|<>"
+_BETWEEN = re.compile(r"[\x20\x09-\x0D().-]+")
+#: Digits of a key, and most digits of a pattern match.
+KEY_DIGITS, MOST_DIGITS = 7, 19
 
 Span = tuple[str, int, int]
+#: Tokens of a number in their order, each with its digits.
+Number = list[tuple[int, str]]
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -112,15 +120,92 @@ class Tokens:
                     break
         place = np.array([n for n, _, _ in picked], dtype=np.int64)
         self.chain = np.flatnonzero(np.diff(place) == 1) if len(place) else place
-        self.keys = [link_key(token) for token in self.texts]
-        groups: dict[str, list[int]] = defaultdict(list)
-        for i, key in enumerate(self.keys):
-            if key:
-                groups[key].append(i)
-        # Each occurrence is linked to the next: as many links as tokens, never all pairs.
-        self.links = np.array([pair for group in groups.values() for pair in zip(group, group[1:])], dtype=np.int64).reshape(-1, 2)
+        # Each occurrence is linked to the next: as many links as tokens and their digits, never all pairs.
+        groups: dict[str, list[Number]] = defaultdict(list)
+        for key, number in self.numbers(text, spans):
+            groups[key].append(number)
+        pairs = {pair for group in groups.values() for one, other in zip(group, group[1:]) for pair in agreeing(one, other)}
+        self.links = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
         self.features = [token_features(token) for token in self.texts]
 
+    def numbers(self, text: str, spans: list[Span]) -> list[tuple[str, Number]]:
+        """Keys with their tokens, by last token: single tokens, runs of tokens outside matches, and matches."""
+        digits = [_NOT_DIGIT.sub("", token) for token in self.texts]
+        found: dict[tuple[int, str], Number] = {}
+        for i, token in enumerate(self.texts):
+            if key := link_key(token):
+                found[i, key] = [(i, digits[i])]
+        run: list[int] = []
+        for i, token in enumerate(self.texts):
+            if self.observed[i] or "@" in token or not digits[i]:
+                run = []
+                continue
+            joins = run and token[0] in "0123456789(" and self.texts[i - 1][-1] in "0123456789)-"
+            if not (joins and _BETWEEN.fullmatch(text, self.bounds[i - 1][1], self.bounds[i][0])):
+                run = []
+            # Every token has a digit, so this many tokens hold all that can agree.
+            run = [*run[1 - MOST_DIGITS :], i]
+            if len(run) > 1:
+                add_number(found, [(j, digits[j]) for j in run])
+        first = 0
+        for _, left, right in sorted((span for span in spans if span[0] != "email"), key=lambda span: (span[1], span[2])):
+            while first < len(self.bounds) and self.bounds[first][1] <= left:
+                first += 1
+            last = first
+            while last < len(self.bounds) and self.bounds[last][0] < right:
+                last += 1
+            if last - first > 1:
+                cut = [(max(left, start), min(right, end)) for start, end in self.bounds[first:last]]
+                parts = [(j, _NOT_DIGIT.sub("", text[start:end])) for j, (start, end) in enumerate(cut, first)]
+                add_number(found, [part for part in parts if part[1]])
+        return [(key, number) for (_, key), number in sorted(found.items(), key=lambda item: item[0])]
+
+    def groups(self) -> list[int]:
+        """For each token the first one that links connect it to."""
+        parent = list(range(len(self.texts)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, j in self.links.tolist():
+            low, high = sorted((find(i), find(j)))
+            parent[high] = low
+        return [find(i) for i in range(len(parent))]
+
+
+def add_number(found: dict[tuple[int, str], Number], parts: Number) -> None:
+    joined_digits = "".join(digits for _, digits in parts)
+    if len(joined_digits) >= KEY_DIGITS:
+        found[parts[-1][0], joined_digits[-KEY_DIGITS:]] = parts
+
+
+def agreeing(one: Number, other: Number) -> list[tuple[int, int]]:
+    """Pairs (smaller, larger) of tokens that hold the same digits, counted from the end of two numbers; texts without digits agree."""
+    left, right = ("".join(digits for _, digits in number)[-MOST_DIGITS:] for number in (one, other))
+    same = 0
+    while same < min(len(left), len(right)) and left[-1 - same] == right[-1 - same]:
+        same += 1
+    if not same:
+        return [(one[-1][0], other[-1][0])] if one[-1][0] != other[-1][0] else []
+    pairs, i, j = [], len(one) - 1, len(other) - 1
+    ends = [len(one[i][1]), len(other[j][1])]
+    while True:
+        # A token whose further digits differ or are missing agrees if it starts within the shared end.
+        if min(ends) <= same and one[i][0] != other[j][0]:
+            pairs.append((min(one[i][0], other[j][0]), max(one[i][0], other[j][0])))
+        elif min(ends) > same and i == len(one) - 1 and j == len(other) - 1 and one[i][0] != other[j][0]:
+            pairs.append((min(one[i][0], other[j][0]), max(one[i][0], other[j][0])))
+        if ends[0] <= ends[1]:
+            i, step = i - 1, 0
+        else:
+            j, step = j - 1, 1
+        if ends[step] >= same or i < 0 or j < 0:
+            return pairs
+        ends[step] += len(one[i][1] if step == 0 else other[j][1])
+
 
 def edges(text: str, start: int, end: int) -> tuple[int, int]:
     """A word without the punctuation at its ends."""
@@ -136,7 +221,7 @@ def link_key(token: str) -> str:
     digits = _NOT_DIGIT.sub("", token)
     if "@" in token:
         return token.casefold()
-    return digits[-7:] if len(digits) >= 7 else ""
+    return digits[-KEY_DIGITS:] if len(digits) >= KEY_DIGITS else ""
 
 
 def token_features(token: str) -> list[int]:
@@ -187,13 +272,19 @@ class SkipChainModel:
         if not spans:
             return []  # no observed label to be consistent with
         tokens = Tokens(text, spans)
-        support = {(key, label) for key, label in zip(tokens.keys, tokens.observed) if key and label}
-        supported = {key for key, _ in support}
-        if not any(key in supported for key, label in zip(tokens.keys, tokens.observed) if not label):
+        groups = tokens.groups()
+        support = {(group, label) for group, label in zip(groups, tokens.observed.tolist()) if label}
+        supported = {group for group, _ in support}
+        if not any(group in supported for group, label in zip(groups, tokens.observed) if not label):
             return []
         chances = self.marginals(tokens)
         labels = np.where(tokens.observed > 0, 0, chances.argmax(axis=1))
         labels[chances.max(axis=1) < CERTAIN] = 0
+        # Groups of digits are certain together: the rest of a number that is linked to the same match follows its neighbour.
+        steps = [(i, i + 1) for i in tokens.chain.tolist()]
+        for i, j in [*steps, *((j, i) for i, j in reversed(steps))]:
+            if labels[i] and not labels[j] and not tokens.observed[j] and (groups[j], labels[i]) in support:
+                labels[j] = labels[i]
         joined = set(tokens.chain.tolist())
         added: list[Span] = []
         i = 0
@@ -201,7 +292,7 @@ class SkipChainModel:
             last = i
             while labels[i] and last in joined and labels[last + 1] == labels[i]:
                 last += 1
-            if labels[i] and any((tokens.keys[j], labels[i]) in support for j in range(i, last + 1)):
+            if labels[i] and any((groups[j], labels[i]) in support for j in range(i, last + 1)):
                 added.append((KINDS[labels[i] - 1], tokens.bounds[i][0], tokens.bounds[last][1]))
             i = last + 1
         return added
