@@ -6,7 +6,7 @@ n-grams of log(target share / raw share), so it does not depend on the length. D
 are kept, unless the plain rules reject them. Target shares are smoothed with ``SMOOTHING`` raw-distributed n-grams a
 bucket. Ratios are whole millionths, so that sums are exact in any order.
 
-The target is the ``sample`` good documents whose ids come first by hash, a parameter; the raw counts cover all rows.
+Both counts cover all rows: the target is every document with a good label, found by an even join on the ids.
 Everything is a DataFrame or SQL expression. The counts are aggregated map-side to at most ``BUCKETS`` rows a task and
 come back as one array of that fixed size.
 
@@ -20,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, first_ids
+from .common import fields
 
 BUCKETS = 1 << 18
 SMOOTHING = 3.0
 THRESHOLD = -0.15
-SAMPLE = 20_000
 SCALE = 1_000_000
 #: The plain rules: fewest words, words of a window that may repeat, and the per cent of repeated words allowed.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
@@ -47,10 +46,10 @@ def grams(words_column: str = "words") -> Column:
     return F.when(F.size(words_column) >= 2, F.concat(single, pairs)).otherwise(single)
 
 
-def bucket_counts(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def bucket_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """For each bucket, its n-grams in all documents and in the trusted ones."""
-    good = first_ids(labels.where(F.col("quality") == 1), sample).withColumn("good", F.lit(True))
-    flagged = fields(documents, doc_id="doc_id", text="text").join(F.broadcast(good), "doc_id", "left")
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("good", F.lit(True))
+    flagged = fields(documents, doc_id="doc_id", text="text").join(good, "doc_id", "left")
     found = flagged.select(words().alias("words"), F.col("good").isNotNull().alias("good"))
     return (
         found.select("good", F.explode(grams()).alias("bucket"))
@@ -138,7 +137,7 @@ def judged(documents: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The plain rules and the verdict for every document. The texts are read twice and never shuffled."""
+    """The plain rules and the verdict for every document. The texts are read twice and shuffled once, to meet the labels."""
     ratios = bucket_ratios(bucket_counts(documents, labels))
     result = judged(fields(documents, doc_id="doc_id", text="text"), ratios)
     return result.select(

@@ -20,7 +20,7 @@ def _crc(text: str) -> str:
     return f"xor(4294967295, {steps})"
 
 
-# All good labels are the trusted target here: it equals the operator's sample while there are no more than that.
+# All good labels are the trusted target, as in the operator.
 NGRAM_QUALITY_RULES = f"""with {_CRC_TABLE},
 texts as (
   select doc_id, coalesce(text, '') as text, row_number() over () as row,
