@@ -31,13 +31,12 @@ def csv_scan(c: Context):
 
 
 def latest_file_scan(c: Context):
-    """The newer of two export files; the older one holds all other rows."""
+    """The newer of two exports, each a folder of part files; the older one holds all other rows."""
     path = scratch_path(c.spark, "drop")
     urgent = F.col("Category").eqNullSafe(F.lit("1-URGENT"))
     names = [F.col(f"`{name}`") for name in REQUIRED_COLUMNS]
-    for part in (~urgent, urgent):
-        # A card export is one file; rows are moved to one task only to make such a file here.
-        c.raw.filter(part).select(*names).coalesce(1).write.mode("append").option("header", True).csv(path)
+    for name, part in (("older.csv", ~urgent), ("newer.csv", urgent)):
+        c.raw.filter(part).select(*names).write.option("header", True).csv(f"{path}/{name}")
     scan = files.latest_file_scan(c.spark, path)
     return scan.drop("_metadata").withColumnsRenamed(SNAKE)
 

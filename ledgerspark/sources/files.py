@@ -35,18 +35,30 @@ def csv_scan(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED_
 
 
 def latest_file(spark: SparkSession, folder: str) -> str:
-    """Path of the most recently modified CSV of a drop folder, by listing only; file contents stay unread."""
+    """Path of the most recently modified CSV of a drop folder, by listing only; file contents stay unread.
+
+    A folder named like a CSV is one drop, as Spark writes it: all its part files, dated by the newest of them.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .load(folder)
+        .load([folder, *csv_folders(spark, folder)])
         .select("path", "modificationTime")
         .orderBy(F.desc("modificationTime"), F.asc("path"))
         .head(1)
     )
     if not files:
         raise FileNotFoundError(f"no CSV file in {folder}")
-    return files[0]["path"]
+    parent = files[0]["path"].rsplit("/", 1)[0]
+    return parent if parent in csv_folders(spark, folder) else files[0]["path"]
+
+
+def csv_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folders in a drop folder that are named like a CSV, with their whole paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = system.listStatus(path) if system.exists(path) and system.getFileStatus(path).isDirectory() else []
+    return [one.getPath().toString() for one in found if one.isDirectory() and one.getPath().getName().lower().endswith(".csv")]
 
 
 def latest_file_scan(
