@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import ngram_rules, packing, ranking, similar, skip_chain
+from ledgerspark.llm import hamming, ngram_rules, packing, ranking, skip_chain
 from ledgerspark.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word-shingle similarity of 0.8 or more, every such pair linked."""
-    return similar.one_of_each_group(docs)
+    """Operator 4: one document of each group of fingerprints that are linked at 2 or fewer differing bits."""
+    return hamming.one_of_each_group(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
