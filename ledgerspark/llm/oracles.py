@@ -72,3 +72,80 @@ judged as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr,
        not base_failed and llr >= {THRESHOLD} as kept from judged"""
+
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+NORM_BUCKET_SEARCH = f"""with texts as (select row_number() over () as row, doc_id, {_TERMS} as terms from documents),
+items as (select row_number() over () as item, item_id, list_distinct({_TERMS}) as terms from benchmark),
+totals as (select count(*)::bigint as docs, sum(len(terms))::bigint as words from texts where len(terms) > 0),
+counted as (select row, term, count(*) as tf from (select row, unnest(terms) as term from texts) group by row, term),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as weight
+  from (select term, count(*) as df from counted group by term), totals
+),
+impacts as (
+  select row, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(terms) * docs) // words)) as impact
+  from counted join texts using (row), totals
+),
+scored as (
+  select item, item_id, row, doc_id, sum(weight * impact)::bigint as score
+  from (select item, item_id, unnest(terms) as term from items) join weights using (term) join impacts using (term)
+  group by item, item_id, row, doc_id
+),
+placed as (
+  select *, row_number() over (partition by item order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from placed where rank <= 50"""
+
+
+_LEAF = " || ".join(
+    f"coalesce(strlen({name}::varchar)::varchar || ':' || {name}::varchar, '-')" for name in ("doc_id", "source", "lang", "n_chars", "text")
+)
+_CHANGED = _LEAF.replace("n_chars::varchar", "(n_chars + 1)::varchar")
+
+# Levels of the two parts of the tree, then the walk of every row up through both.
+BUTTERFLY_MANIFEST = f"""with recursive {_CRC_TABLE},
+leaves as (
+  select doc_id, lang, sha256({_LEAF}) as leaf,
+         case when {_crc("doc_id::varchar")} % 7 = 0 then sha256({_CHANGED}) else sha256({_LEAF}) end as received
+  from documents, crc_table
+),
+ordered as (
+  select *, row_number() over (partition by lang order by doc_id nulls last, leaf) - 1 as place,
+         dense_rank() over (order by lang nulls first) - 1 as member
+  from leaves
+),
+lower as (
+  select member, 0 as level, place, leaf as node, count(*) over (partition by member) as total from ordered
+  union all
+  select member, level + 1, place // 2, sha256(string_agg(node, '' order by place)), (any_value(total) + 1) // 2
+  from lower where total > 1 group by member, level, place // 2
+),
+subroots as (select member, node as subroot, level as height from lower where total = 1),
+upper as (
+  select 0 as level, member as place, subroot as node, count(*) over () as total from subroots
+  union all
+  select level + 1, place // 2, sha256(string_agg(node, '' order by place)), (any_value(total) + 1) // 2
+  from upper where total > 1 group by level, place // 2
+),
+top as (select node as root, level as rounds from upper where total = 1),
+nodes as (
+  select l.member, l.level, l.place, l.node from lower l where total > 1
+  union all select s.member, s.height + u.level, u.place, u.node from upper u, subroots s where u.level < (select rounds from top)
+),
+walk as (
+  select doc_id, leaf, member, place as row, place, 0 as level, received as node, '' as proof from ordered
+  union all
+  select doc_id, leaf, w.member, row, case when w.level + 1 = height then w.member else w.at // 2 end, w.level + 1,
+         sha256(case when w.at % 2 = 1 then coalesce(n.node, '') || w.node else w.node || coalesce(n.node, '') end),
+         proof || coalesce(n.node, '')
+  from (select *, case when walk.level = height then member else place end as at
+        from walk join subroots using (member), top where walk.level < height + rounds) w
+  left join nodes n on n.member = w.member and n.level = w.level and n.place = xor(w.at, 1)
+)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, w.node as folded_root, w.node = root as verified
+from walk w join subroots using (member), top where w.level = height + rounds"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, hamming, katz, merge_encoding, ngram_rules, oracles, packing, ranking, severity, sketch, skip_chain
+from . import bpe_counts, hamming, katz, merge_encoding, merkle, ngram_rules, norm_buckets, oracles, packing, ranking, resharding, severity, sketch, skip_chain
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -60,6 +60,18 @@ def op10_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.compare_with_edits(table(spark, folder, "documents"))
 
 
+def op11_norm_bucket_search(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_buckets.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_butterfly_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tampered_documents(table(spark, folder, "documents"))
+
+
+def op13_flow_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    return resharding.reshard(table(spark, folder, "documents"), resharding.by_source())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_packing": op2_packing,
@@ -71,8 +83,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_quality_rules": op9_ngram_quality_rules,
     "op10_scaled_sketch": op10_scaled_sketch,
+    "op11_norm_bucket_search": op11_norm_bucket_search,
+    "op12_butterfly_manifest": op12_butterfly_manifest,
+    "op13_flow_resharding": op13_flow_resharding,
 }
 
 ORACLES: dict[str, str] = {
     "op9_ngram_quality_rules": oracles.NGRAM_QUALITY_RULES,
+    "op11_norm_bucket_search": oracles.NORM_BUCKET_SEARCH,
+    "op12_butterfly_manifest": oracles.BUTTERFLY_MANIFEST,
 }
