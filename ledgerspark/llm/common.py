@@ -36,6 +36,25 @@ class BoundedCache(dict):
         return value
 
 
+class RecentCache(dict):
+    """As ``BoundedCache``, but when ``limit`` entries are full they become the older generation, out of which what is
+    asked for again is taken over; at most twice ``limit`` entries are held."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def units(text: str) -> list[str]:
     """``text`` cut at every single space between two characters that are not white space.
 

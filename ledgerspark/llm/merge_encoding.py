@@ -23,7 +23,7 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, arrow_rows, fields
+from .common import BoundedCache, RecentCache, arrow_rows, fields
 
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
@@ -62,7 +62,7 @@ class PieceVocabulary:
             lengths = range(len(piece) - 1, 0, -1)
             self.shorter[piece] = next((piece[:n] for n in lengths if self.matches.exists(piece[:n])), None)
         self.compatible = BoundedCache(lambda pair: self.merged(pair[0] + pair[1]) == [pair[0], pair[1]])
-        self.words = BoundedCache(lambda word: self.described(" " + word), 300_000)
+        self.words = RecentCache(lambda word: self.described(" " + word), 300_000)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging the best-ranked adjacent pair, the leftmost first."""

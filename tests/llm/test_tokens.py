@@ -120,3 +120,13 @@ def test_every_capacity_holds(rule, limits):
 def test_a_piece_that_cannot_fit_is_an_error():
     with pytest.raises(ValueError):
         packing.plan_bins({10: 1}, 64, 64, 99)
+
+
+def test_recent_cache_keeps_what_is_asked_for():
+    from ledgerspark.llm.common import RecentCache
+
+    made = []
+    cache = RecentCache(lambda key: made.append(key) or key * 2, 3)
+    for key in [1, 2, 3, 1, 4, 1, 5, 6, 1, 7, 8, 1]:
+        assert cache[key] == key * 2 and len(cache) <= 3 and len(cache.older) <= 3
+    assert made == [1, 2, 3, 4, 5, 6, 7, 8]
