@@ -170,7 +170,8 @@ def manifest(
     # The prefix sets the null group apart and keeps the order of the others, bytewise.
     key = F.coalesce(F.concat(F.lit("+"), F.col(f"`{group}`").cast("string")), F.lit(""))
     rows = documents.select(F.col(f"`{order}`").alias("doc_id"), key.alias("group"), leaf(given).alias("leaf"), leaf(copies).alias("copy"))
-    slim = rows.withColumn("copy", F.when(F.col("copy") != F.col("leaf"), F.col("copy")))
+    # Stored, as sorting by ranges reads its input twice, and texts need to be read and hashed only once.
+    slim = stored(rows.withColumn("copy", F.when(F.col("copy") != F.col("leaf"), F.col("copy"))), "digests")
     ordered = placed(slim, "group", [F.asc_nulls_last("doc_id"), F.asc("leaf")], "leaves")
     leaves = ordered.withColumn("block", F.floor(F.col("place") / fanout**levels).cast("bigint"))
 
