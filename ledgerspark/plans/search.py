@@ -178,21 +178,23 @@ def expand_query(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", expanded_terms(F.col("query_text"), synonym_map()))
 
 
+def prepared_query(vector: Column) -> Column:
+    """What the scores need of a query with its expanded terms."""
+    term = F.transform("terms", lambda t: F.struct(
+        t.alias("term"), F.concat(F.lit(" "), t, F.lit(" ")).alias("word"), F.contains(t, F.lit(" ")).alias("phrase")
+    ))
+    return F.struct(
+        "query_id", "query_text", F.lower("query_text").alias("cleaned"), term.alias("terms"),
+        vector.alias("vector"), norm(vector).alias("length"),
+    )
+
+
 def query_blocks(queries: DataFrame) -> tuple[DataFrame, Column]:
     """The searchable queries, about ``BLOCK_QUERIES`` to a block and every block once for each slice, and the
     number of blocks. However many queries there are, they stay a table."""
     asked = expand_query(query_guard(queries))
     vector = F.col("embedding") if "embedding" in queries.columns else F.lit(None).cast("array<float>")
-    term = F.transform("terms", lambda t: F.struct(
-        t.alias("term"), F.concat(F.lit(" "), t, F.lit(" ")).alias("word"), F.contains(t, F.lit(" ")).alias("phrase")
-    ))
-    prepared = asked.select(
-        F.struct(
-            "query_id", "query_text", F.lower("query_text").alias("cleaned"), term.alias("terms"),
-            vector.alias("vector"), norm(vector).alias("length"),
-        ).alias("query"),
-        F.xxhash64("query_id", "query_text").alias("__spread"),
-    )
+    prepared = asked.select(prepared_query(vector).alias("query"), F.xxhash64("query_id", "query_text").alias("__spread"))
     count = F.greatest(query_guard(queries).agg(F.ceil(F.count("*") / BLOCK_QUERIES)).scalar(), F.lit(1)).cast("int")
     blocks = prepared.groupBy(F.pmod("__spread", count).cast("int").alias("__block"))
     listed = blocks.agg(F.collect_list("query").alias("__queries"))

@@ -12,7 +12,7 @@ from ledgerspark.operators.filters import facet_values, filter_daily_metrics, fi
 from ledgerspark.operators.windows import group_stats
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, WITH_TURNS, WITH_USER_TURNS, in_list, out, text as quoted
 from ledgerspark.operators.joins import null_safe_left_join
-from ledgerspark.plans import enrichment, search
+from ledgerspark.plans import enrichment, lexical_index, search
 from ledgerspark.plans.features import recurring_transactions
 from ledgerspark.plans.normalization import merchant_normalization, resolve_precedence, with_best_rule
 from ledgerspark.plans.staging import stage_enrichments, stage_transactions
@@ -202,14 +202,25 @@ def expansions(c: Context):
     return search.expand_query(search.query_guard(turns)).select("query_id", "query_text", "terms")
 
 
+def text_index(c: Context):
+    return lexical_index.build_lexical_index(c.table("documents").select("doc_id", "text"), "text", "doc_id")
+
+
+def user_turns(c: Context):
+    return testbed.conversation_queries(c.spark, c.dir).filter("role = 'user'").drop("role")
+
+
 def lexical(c: Context):
     return search.lexical_search(c.queries, c.table("documents").select("doc_id", "text"), "text")
 
 
 def lexical_turns(c: Context):
-    """Several hundred queries and more: every user turn against every document."""
-    turns = testbed.conversation_queries(c.spark, c.dir).filter("role = 'user'").drop("role")
-    return search.lexical_search(turns, c.table("documents").select("doc_id", "text"), "text")
+    """Several hundred queries and more: every user turn against every document, through the inverted index."""
+    return lexical_index.indexed_search(user_turns(c), text_index(c))
+
+
+def lexical_best(c: Context):
+    return lexical_index.indexed_top_k(user_turns(c), text_index(c), 10)
 
 
 def cosine(c: Context):
@@ -530,6 +541,11 @@ ENTRIES = {
     ),
     "lexical_score": (lexical, WITH_SEARCH + LEX_SQL),
     "lexical_score_turns": (lexical_turns, WITH_USER_TURNS + LEX_SQL),
+    "lexical_top_k": (
+        lexical_best,
+        WITH_USER_TURNS + "select * from (select query_id, doc_id, lexical_score, row_number() over (partition by query_id "
+        "order by lexical_score desc, doc_id)::int as rank from (" + LEX_SQL + ")) where rank <= 10",
+    ),
     "cosine_similarity": (
         cosine,
         "select vec_id, round(list_dot_product(v, a) / nullif(sqrt(list_dot_product(v, v)) * "
