@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerspark import constants as K
-from ledgerspark.operators.calendar import date_bounds, fill_days
+from ledgerspark.operators.calendar import date_bounds
 from ledgerspark.operators.filters import filter_daily_metrics, filter_transactions
 
 DIMS = ["final_category", "normalized_merchant", "merchant_source", "category_source"]
@@ -91,23 +91,15 @@ def _step(date: Column, value: Column, current: Column, earlier: Column) -> Colu
     )
 
 
-def dense_metrics(
-    fact: DataFrame,
-    bounds: DataFrame,
-    dims: Sequence[str],
-    start: str | None = None,
-    end: str | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Dense daily series per metric and ``dims`` over the days of ``bounds``, with both 30-day sums.
-
-    A value enters the current sum on its day, moves to the earlier sum after 30 days and leaves after 60. These
-    steps are sparse: running totals over them give both sums, and each step is then repeated for the days up to
-    the next one. Only sparse rows are shuffled and sorted, a series contributes at most three rows per day
-    however many transactions it has, and the dense rows come straight out of a narrow step. The steps are placed
-    by series once, which serves their sums and both windows. ``start`` and ``end`` bound the days that come out;
-    the sums still see all days. ``partitions`` fixes the number of output tasks where the dense rows need more of
-    them than the small sparse input suggests to AQE.
+def daily_runs(fact: DataFrame, bounds: DataFrame, dims: Sequence[str] = DIMS, partitions: int | None = None) -> DataFrame:
+    """Daily series as runs of days: ``first_day`` to ``last_day`` with the sums that hold on all of them.
+
+    A value enters the current sum on its day, moves to the earlier sum after 30 days and leaves after 60. Running totals
+    over these sparse steps give both sums, and each step holds up to the next one of its series. Only sparse rows are
+    shuffled and sorted, and a series has at most three runs per day on which something happened, however many
+    transactions and days there are. ``metric_value`` is that of the first day; on the others it is 0. The earlier sum is
+    known from ``prior_from`` on. The steps are placed by series once, which serves their sums and both windows.
+    ``partitions`` fixes the number of tasks where the runs will be expanded to far more rows.
     """
     series = [*dims, "metric_key"]
     first, last = bounds.select("min_date").scalar(), bounds.select("max_date").scalar()
@@ -124,35 +116,65 @@ def dense_metrics(
         placed.groupBy(*series, "metric_date")
         .agg(*[F.sum(name).cast(VALUE).alias(name) for name in ("metric_value", "current_step", "earlier_step")])
     )
-    running = Window.partitionBy(*series).orderBy("metric_date").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sparse.withColumns(
-        {
-            "metric_value_l30d": F.sum("current_step").over(running).cast(VALUE),
-            "metric_value_prior_l30d": F.sum("earlier_step").over(running).cast(VALUE),
-            "metric_name": metric_text(1),
-            "metric_group": metric_text(2),
-            "unit": metric_text(3),
-        }
+    ordered = Window.partitionBy(*series).orderBy("metric_date")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    return sparse.select(
+        *series,
+        day.alias("first_day"),
+        F.coalesce(F.date_sub(F.lead(day).over(ordered), 1), last).alias("last_day"),
+        metric_text(1).alias("metric_name"),
+        metric_text(2).alias("metric_group"),
+        metric_text(3).alias("unit"),
+        "metric_value",
+        F.sum("current_step").over(running).cast(VALUE).alias("metric_value_l30d"),
+        F.sum("earlier_step").over(running).cast(VALUE).alias("metric_value_prior_l30d"),
+        F.date_add(first, SPAN).alias("prior_from"),
     )
-    held = ["metric_name", "metric_group", "unit", "metric_value", "metric_value_l30d", "metric_value_prior_l30d"]
-    dense = fill_days(sums, series, "metric_date", last, held)
+
+
+def expand_runs(runs: DataFrame, dims: Sequence[str] = DIMS, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Dense daily series from runs, in a narrow step, for the days from ``start`` to ``end`` only. Runs outside of them
+    are dropped by the scan of a stored table."""
+    day = F.col("metric_date")
+    begins, ends = F.col("first_day"), F.col("last_day")
     if start:
-        dense = dense.filter(day >= F.lit(start).cast("date"))
+        asked = F.lit(start).cast("date")
+        runs, begins = runs.filter(F.col("last_day") >= asked), F.greatest(begins, asked)
     if end:
-        dense = dense.filter(day <= F.lit(end).cast("date"))
+        asked = F.lit(end).cast("date")
+        runs, ends = runs.filter(F.col("first_day") <= asked), F.least(ends, asked)
+    dense = runs.withColumn("metric_date", F.explode(F.sequence(begins, ends, F.expr("interval 1 day"))))
     return dense.select(
         "metric_date",
         "metric_key",
         "metric_name",
         "metric_group",
         *dims,
-        F.when(F.col("__added") == 0, value).otherwise(zero).alias("metric_value"),
+        F.when(day == F.col("first_day"), F.col("metric_value")).otherwise(F.lit(0).cast(VALUE)).alias("metric_value"),
         "metric_value_l30d",
-        F.when(day >= F.date_add(first, SPAN), F.col("metric_value_prior_l30d")).alias("metric_value_prior_l30d"),
+        F.when(day >= F.col("prior_from"), F.col("metric_value_prior_l30d")).alias("metric_value_prior_l30d"),
         "unit",
     )
 
 
+def dense_metrics(
+    fact: DataFrame,
+    bounds: DataFrame,
+    dims: Sequence[str],
+    start: str | None = None,
+    end: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Dense daily series per metric and ``dims`` over the days of ``bounds``, with both 30-day sums. ``start`` and ``end``
+    bound the days that come out; the sums still see all days."""
+    return expand_runs(daily_runs(fact, bounds, dims, partitions), dims, start, end)
+
+
+def mart_daily_metric_runs(fact: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The daily mart as it is stored: runs of days, as many as things that happened and not as days times merchants."""
+    return daily_runs(fact, date_bounds(fact, "transaction_date"), DIMS, partitions)
+
+
 def mart_daily_metric_values(
     fact: DataFrame, start: str | None = None, end: str | None = None, partitions: int | None = None
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ledgerspark.constants import DECLARED_TESTS
 from ledgerspark.operators.quality import require_declared
-from ledgerspark.plans.daily import mart_daily_metric_values
+from ledgerspark.plans.daily import expand_runs, mart_daily_metric_runs, mart_daily_metric_values
 from ledgerspark.plans.features import category_stats, fact_transactions, recurring_transactions, transaction_features
 from ledgerspark.plans.marts import (
     mart_anomalies,
@@ -27,6 +27,9 @@ from ledgerspark.session import stored
 from ledgerspark.sources.warehouse import Warehouse
 
 
+DAILY_RUNS = "mart_daily_metric_runs"
+
+
 @dataclass
 class Layers:
     """The frames between raw rows and fact. ``normalized``, ``features`` and ``fact`` are stored."""
@@ -87,13 +90,26 @@ def run_pipeline(
     end: str | None = None,
     daily_tasks: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Refresh every mart of a warehouse from raw rows and run the declared tests; returns the stored marts."""
+    """Refresh every mart of a warehouse from raw rows and run the declared tests; returns the marts.
+
+    The daily mart is stored as runs of days (``mart_daily_metric_runs``) and expanded when it is read; ``start`` and ``end``
+    bound the days that come out of the returned frame.
+    """
     layers = build_layers(raw, rules, enrichment_cache, warehouse)
-    marts = build_marts(layers, start, end, daily_tasks)
+    marts = build_marts(layers)
     fact = marts.pop("fct_transactions")
+    del marts["mart_daily_metric_values"]
+    marts[DAILY_RUNS] = mart_daily_metric_runs(layers.fact, daily_tasks)
     written = {"fct_transactions": fact} | {name: warehouse.full_refresh_write(frame, name) for name, frame in marts.items()}
-    require_declared(tested_tables(layers, written), DECLARED_TESTS)
-    return written
+    # A day has the columns of its run, so a missing value in a run is one in the days.
+    days = written[DAILY_RUNS].withColumnRenamed("first_day", "metric_date")
+    require_declared(tested_tables(layers, written | {"mart_daily_metric_values": days}), DECLARED_TESTS)
+    return written | {"mart_daily_metric_values": stored_daily_mart(warehouse, start, end)}
+
+
+def stored_daily_mart(warehouse: Warehouse, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The days from ``start`` to ``end`` of the daily mart of a warehouse."""
+    return expand_runs(warehouse.table(DAILY_RUNS), start=start, end=end)
 
 
 def tested_tables(layers: Layers, marts: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.filters import filter_transactions
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans import marts, narrative, slices
-from ledgerspark.plans.daily import daily_totals, mart_daily_metric_values
+from ledgerspark.plans.daily import daily_totals, expand_runs, mart_daily_metric_runs, mart_daily_metric_values
 from ledgerspark.plans.features import fact_transactions, recurring_transactions, transaction_features
 from ledgerspark.plans.normalization import normalize_merchants
 from ledgerspark.registry.context import Context
+from ledgerspark.session import stored
 
 # One selection serves the slices that start from a filtered fact.
 START, END = "1995-03-01", "2001-05-31"
+# The days asked for from the stored runs of the daily mart.
+RUNS_START, RUNS_END = "1996-01-15", "1996-04-14"
 
 
 def selection(c: Context):
@@ -35,7 +38,27 @@ def features(c: Context):
 
 
 def daily_mart(c: Context):
-    """The dense mart by day and metric. Every row enters through its sums and through a fingerprint of all its
+    return by_day_and_metric(mart_daily_metric_values(c.fact))
+
+
+def stored_daily(c: Context):
+    """A quarter of the daily mart, expanded from its stored runs."""
+    runs = stored(mart_daily_metric_runs(c.fact), "daily-runs")
+    return by_day_and_metric(expand_runs(runs, start=RUNS_START, end=RUNS_END))
+
+
+def daily_run_counts(c: Context):
+    """The stored form by metric: its runs, the days they stand for and the sum of their values."""
+    return mart_daily_metric_runs(c.fact).groupBy("metric_key").agg(
+        F.sum(F.datediff("last_day", "first_day") + 1).alias("days"),
+        F.sum("metric_value").alias("metric_value"),
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
+    )
+
+
+def by_day_and_metric(mart):
+    """A dense mart by day and metric. Every row enters through its sums and through a fingerprint of all its
     columns, so one wrong cell anywhere changes a line."""
     prior = F.coalesce(F.col("metric_value_prior_l30d").cast("string"), F.lit("none"))
     row = F.concat_ws(
@@ -43,7 +66,7 @@ def daily_mart(c: Context):
         F.col("metric_value").cast("string"), F.col("metric_value_l30d").cast("string"), prior,
     )
     fingerprint = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
-    return mart_daily_metric_values(c.fact).groupBy(
+    return mart.groupBy(
         "metric_date", "metric_key", "metric_name", "metric_group", "unit"
     ).agg(
         F.count("*").alias("series_count"),
@@ -342,6 +365,15 @@ concat_ws(chr(10), 'Summary cues',
 {CONTEXT_SQL}
 from together"""
 
+DAILY_SQL = WITH_DAILY + "select " + out("""d:metric_date;s:metric_key;s:metric_name;s:metric_group;s:unit;i:series_count
+n:metric_value=v;n:metric_value_l30d=l30;n:metric_value_prior_l30d=p30;i:fingerprint""") + """
+from (select metric_date, metric_key, metric_name, metric_group, unit, count(*) as series_count, sum(metric_value) as v,
+        sum(metric_value_l30d) as l30, sum(metric_value_prior_l30d) as p30,
+        sum(('0x' || substr(md5(concat_ws('|', final_category, normalized_merchant, merchant_source, category_source,
+          metric_value::decimal(28,2)::varchar, metric_value_l30d::decimal(28,2)::varchar,
+          coalesce(metric_value_prior_l30d::decimal(28,2)::varchar, 'none'))), 1, 8))::bigint) as fingerprint
+      from rolling group by all)"""
+
 ENTRIES = {
     "transaction_features": (
         features,
@@ -408,16 +440,15 @@ n:comparison_value;n:delta_value=metric_value - comparison_value
 n:delta_pct=case when abs(comparison_value) > 0 then metric_value / comparison_value - 1 end
 s:unit;s:favorable_direction;s:definition""") + " from period_pairs, periods",
     ),
-    "mart_daily_metric_values": (
-        daily_mart,
-        WITH_DAILY + "select " + out("""d:metric_date;s:metric_key;s:metric_name;s:metric_group;s:unit;i:series_count
-n:metric_value=v;n:metric_value_l30d=l30;n:metric_value_prior_l30d=p30;i:fingerprint""") + """
-from (select metric_date, metric_key, metric_name, metric_group, unit, count(*) as series_count, sum(metric_value) as v,
-        sum(metric_value_l30d) as l30, sum(metric_value_prior_l30d) as p30,
-        sum(('0x' || substr(md5(concat_ws('|', final_category, normalized_merchant, merchant_source, category_source,
-          metric_value::decimal(28,2)::varchar, metric_value_l30d::decimal(28,2)::varchar,
-          coalesce(metric_value_prior_l30d::decimal(28,2)::varchar, 'none'))), 1, 8))::bigint) as fingerprint
-      from rolling group by all)""",
+    "mart_daily_metric_values": (daily_mart, DAILY_SQL),
+    "mart_daily_metric_runs": (
+        stored_daily,
+        DAILY_SQL.replace("from rolling group", f"from rolling where metric_date between '{RUNS_START}' and '{RUNS_END}' group"),
+    ),
+    "daily_run_counts": (
+        daily_run_counts,
+        WITH_DAILY + "select " + out("s:metric_key;i:days=count(*);n:metric_value=sum(metric_value);d:first_day=min(metric_date)"
+                                     ";d:last_day=max(metric_date)") + " from rolling group by metric_key",
     ),
     "kpi_row": (
         lambda c: slices.kpi_row(selection(c)),
