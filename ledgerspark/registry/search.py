@@ -9,7 +9,7 @@ from ledgerspark.constants import DECLARED_TESTS, REQUIRED_COLUMNS
 from ledgerspark.operators import caches, quality
 from ledgerspark.functions.text import content_key
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, WITH_SEARCH, out
-from ledgerspark.plans import enrichment, search
+from ledgerspark.plans import enrichment, search, vector_index
 from ledgerspark.plans.pipeline import build_marts, tested_tables
 from ledgerspark.registry.context import Context
 from ledgerspark.registry.expressions import REPLIES_SQL, enrichment_replies, profile_replies
@@ -70,6 +70,13 @@ def candidates(c: Context):
     return search.hybrid_search(c.queries, c.searchable)
 
 
+def nearest_vectors(c: Context, probes: int | None = 0):
+    """Every vector whose id is divisible by 20 as a query against all vectors."""
+    vectors = c.table("embeddings").select("vec_id", "embedding")
+    queries = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return vector_index.vector_search(queries, vector_index.build_vector_index(vectors, "vec_id"), probes=probes)
+
+
 def stored_candidates(c: Context):
     return stored(candidates(c), "candidates")
 
@@ -217,7 +224,17 @@ merged as (
 )
 """
 
+NEAREST_SQL = """select query_id, vec_id, round(semantic_score, 6) + 0.0 as semantic_score, rank from (
+  select *, row_number() over (partition by query_id order by semantic_score desc, vec_id)::int as rank from (
+    select q.vec_id as query_id, v.vec_id, list_dot_product(v.e, q.e)
+      / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))) as semantic_score
+    from (select vec_id, embedding::double[] as e from embeddings) v
+    join (select vec_id, embedding::double[] as e from embeddings where vec_id % 20 = 0) q on true))
+where rank <= 60"""
+
 ENTRIES = {
+    "vector_search_exact": (lambda c: nearest_vectors(c, None), NEAREST_SQL),
+    "vector_search": (nearest_vectors, None),  # finds most of them; tests measure how many
     "build_search_documents": (
         documents,
         LAYERS + "," + PROFILE_SQL + " select " + out("""s:transaction_id;d:transaction_date;s:normalized_merchant
