@@ -49,10 +49,13 @@ def test_ranking_learns_the_order_of_a_feature():
 def test_toxicity_on_held_out_rows(tables):
     documents, labels = tables
     model = severity.train(documents, labels.where("doc_id % 4 <> 0"))
-    rows = severity.score(documents, model).join(labels.where("doc_id % 4 = 0"), "doc_id").collect()
-    assert area(np.array([row.expected_severity for row in rows]), np.array([row.toxic for row in rows])) > 0.8
-    clean = [row for row in rows if not row.toxic]
-    assert sum(row.asDict()["toxic_probability"] >= severity.CUT for row in rows if row.toxic == 0) <= 0.1 * len(rows) + len(clean)
+    held = labels.where("doc_id % 4 = 0").withColumnRenamed("toxic", "label")
+    scored = severity.score(documents, model).join(held, "doc_id").collect()
+    rows = [row.asDict() | {"toxic": row.label} for row in scored]
+    clean = [row for row in scored if row.label == 0]
+    wrong = [row for row in clean if row["toxic"]]
+    assert len(clean) > 50 and len(wrong) <= 0.05 * len(clean), (len(wrong), len(clean))
+    assert area(np.array([row["expected_severity"] for row in rows]), np.array([row["toxic"] for row in rows])) > 0.85  # some 200 rows to learn from
 
 
 def test_severity_is_ordered():
@@ -66,7 +69,8 @@ def test_severity_is_ordered():
         counts.append(many)
     counts = np.array(counts)
     grades = severity.grades_of(rows, (counts > 0).astype(int))
-    assert (grades[counts == 0] == 0).all() and set(grades) == {0, 1, 2, 3} or set(grades) == {0, 1, 2}
+    assert (grades[counts == 0] == 0).all() and (grades[counts > 0] > 0).all() and set(grades) >= {0, 1, 2}
+    assert grades[counts == 6].min() > grades[counts == 1].max()
     model = severity.fit(rows, grades)
     assert (np.diff(model.thresholds) >= 0).all()
     expected = [model.exceedance(np.array([model.strength(" ".join(marks[:n]))])).sum() for n in (0, 1, 3, 6)]
