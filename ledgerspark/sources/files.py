@@ -37,7 +37,8 @@ def csv_scan(spark: SparkSession, path: str, required: Sequence[str] = REQUIRED_
 def latest_file(spark: SparkSession, folder: str) -> str:
     """Path of the most recently modified CSV of a drop folder, by listing only; file contents stay unread.
 
-    A folder named like a CSV is one drop, as Spark writes it: all its part files, dated by the newest of them.
+    A folder named like a CSV is one drop, as Spark writes it: all its part files, dated by the newest of them. It counts
+    once it is complete.
     """
     files = (
         spark.read.format("binaryFile")
@@ -53,12 +54,19 @@ def latest_file(spark: SparkSession, folder: str) -> str:
     return parent if parent in csv_folders(spark, folder) else files[0]["path"]
 
 
-def csv_folders(spark: SparkSession, folder: str) -> list[str]:
-    """The folders in a drop folder that are named like a CSV, with their whole paths."""
+def file_system(spark: SparkSession, folder: str):
+    """A folder's path and its file system. Readers cannot list folders or rename them, so this takes Hadoop's own interface."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def csv_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folders in a drop folder that are named like a CSV, with their whole paths, without those that a job is still
+    writing: until it is done, its part files lie below ``_temporary``, and some may be in place already."""
+    path, system = file_system(spark, folder)
     found = system.listStatus(path) if system.exists(path) and system.getFileStatus(path).isDirectory() else []
-    return [one.getPath().toString() for one in found if one.isDirectory() and one.getPath().getName().lower().endswith(".csv")]
+    named = [one.getPath() for one in found if one.isDirectory() and one.getPath().getName().lower().endswith(".csv")]
+    return [one.toString() for one in named if not system.exists(one.suffix("/_temporary"))]
 
 
 def latest_file_scan(

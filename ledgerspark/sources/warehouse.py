@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ledgerspark.operators.ordering import sort_columns
-from ledgerspark.session import stored
+from ledgerspark.sources.files import file_system
 
 # Display order of each mart.
 MART_ORDER: dict[str, list[tuple[str, str]]] = {
@@ -27,6 +28,11 @@ MART_ORDER: dict[str, list[tuple[str, str]]] = {
 }
 
 
+def frame_writer(df: DataFrame, partition_by: Sequence[str]):
+    writer = df.write.mode("errorifexists")
+    return writer.partitionBy(*partition_by) if partition_by else writer
+
+
 class Warehouse:
     """A folder of parquet tables that a refresh replaces as a whole."""
 
@@ -40,14 +46,32 @@ class Warehouse:
     def full_refresh_write(self, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
         """Replace a table by a frame; returns the stored table.
 
-        Spark cannot overwrite what it is reading, so a frame that reads the table itself is stored aside first.
+        The frame is written beside the table, and the two are swapped when it is complete. A write that fails leaves the
+        table as it was, and a frame may read the table that it replaces.
         """
-        own = f"/{self.path(table).split('://')[-1].strip('/')}/"
-        frame = stored(df, table) if any(own in file for file in df.inputFiles()) else df
-        writer = frame.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
+        fresh = f"{self.path(table)}.next-{uuid.uuid4().hex}"
+        frame_writer(df, partition_by).parquet(fresh)
+        self.swap(fresh, self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def swap(self, fresh: str, current: str) -> None:
+        """Put a complete folder in the place of another one, which goes when the new one is there."""
+        new, system = file_system(self.spark, fresh)
+        old, aside = (file_system(self.spark, name)[0] for name in (current, fresh.replace(".next-", ".old-")))
+        held = system.exists(old)
+        if held and not system.rename(old, aside):
+            raise OSError(f"cannot move {current} aside")
+        done = False
+        try:
+            done = system.rename(new, old)
+        finally:
+            if held and not done:
+                system.rename(aside, old)
+        if not done:
+            raise OSError(f"cannot put {fresh} in the place of {current}")
+        if held:
+            system.delete(aside, True)
+
     def table(self, table: str, empty: StructType | None = None) -> DataFrame:
         """A table, or an empty frame of the given schema where there is none."""
         try:
