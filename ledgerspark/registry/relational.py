@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerspark import testbed
-from ledgerspark.operators import aggregates as agg, calendar, joins, ordering, windows
+from ledgerspark.operators import aggregates as agg, calendar, joins, ordering, sketches, windows
 from ledgerspark.operators.caches import stale_cache_split
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans import enrichment, normalization, search, slices
@@ -13,6 +13,7 @@ from ledgerspark.plans.daily import daily_metric_events
 from ledgerspark.plans.features import with_final_category
 from ledgerspark.plans.marts import debits_by_month, metric_unpivot, period_base
 from ledgerspark.registry.context import Context
+from ledgerspark.session import stored
 
 ID = "transaction_id"
 MERCHANT, CATEGORY, DAY, AMOUNT = "normalized_merchant", "final_category", "transaction_date", "amount_abs"
@@ -270,6 +271,35 @@ source_rolling as (
 """
 MONTH_MERCHANT_SQL = "(select month, normalized_merchant, sum(amount_abs) as spend from debits group by all)"
 
+SKETCH_START, SKETCH_END = "1996-01-15", "1999-06-30"
+
+
+def by_sketch(c: Context):
+    """Categories over some years, from stored daily sketches, held against the exact operators on the same rows."""
+    daily = sketches.daily_sketches(c.fact, "transaction_date", [CATEGORY], ["raw_description", ID], [AMOUNT])
+    merged = sketches.merged_sketches(stored(daily, "daily-sketches"), "transaction_date", [CATEGORY], SKETCH_START, SKETCH_END)
+    about = merged.select(
+        CATEGORY, "row_count", sketches.about_distinct("raw_description").alias("descriptions"),
+        sketches.about_distinct(ID).alias("ids"), sketches.about_quantile(AMOUNT).alias("middle"),
+    )
+    rows = c.fact.filter(F.col("transaction_date").between(SKETCH_START, SKETCH_END))
+    exact = agg.distinct_count(rows, [CATEGORY], ["raw_description", ID])
+    below = rows.join(about.select(CATEGORY, "middle"), CATEGORY).groupBy(CATEGORY).agg(
+        F.avg((F.col(AMOUNT) <= F.col("middle")).cast("double")).alias("at_most"),
+        F.avg((F.col(AMOUNT) < F.col("middle")).cast("double")).alias("less"),
+    )
+
+    def near(estimate: str, value: str):
+        return F.abs(F.col(estimate) - F.col(value)) <= 1 + F.col(value) * 0.03
+
+    return about.join(exact, CATEGORY).join(below, CATEGORY).select(
+        CATEGORY, "row_count", "distinct_raw_description", f"distinct_{ID}",
+        near("descriptions", "distinct_raw_description").alias("descriptions_near"),
+        near("ids", f"distinct_{ID}").alias("ids_near"),
+        ((F.col("at_most") >= 0.48) & (F.col("less") <= 0.52)).alias("median_near"),
+    )
+
+
 ENTRIES = {
     "rule_match": (
         rule_match,
@@ -398,6 +428,12 @@ ENTRIES = {
         LAYERS + "select " + out("s:normalized_merchant;n:median_amount=median(amount_abs::double)")
         + " from debits group by normalized_merchant",
     ),
+    "sketch_aggregate": (
+        by_sketch,
+        LAYERS + "select final_category, count(*) as row_count, count(distinct raw_description) as distinct_raw_description, "
+        "count(distinct transaction_id) as distinct_transaction_id, true as descriptions_near, true as ids_near, true as median_near "
+        f"from fact where transaction_date between '{SKETCH_START}' and '{SKETCH_END}' group by 1",
+    ),
     "sample_stddev": (
         lambda c: agg.sample_stddev(c.fact, [MERCHANT, CATEGORY], AMOUNT),
         LAYERS + "select " + out("s:normalized_merchant;s:final_category;n:stddev=stddev_samp(amount_abs::double)")
