@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerspark import registry  # noqa: E402
-from ledgerspark.plans.daily import mart_daily_metric_values  # noqa: E402
+from ledgerspark.plans.daily import mart_daily_metric_runs, mart_daily_metric_values  # noqa: E402
 from ledgerspark.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -73,6 +73,7 @@ def main() -> None:
     for name in HEADLINE:
         build = registry.ENTRIES[name][0]
         clock(name, lambda build=build: run(build(context)))
+    clock("mart_daily_metric_runs", lambda: run(mart_daily_metric_runs(context.fact)))
     clock("mart_daily_metric_values", lambda: run(mart_daily_metric_values(context.fact)))
     for name in ("metric_rollup", "metric_trend", "summary_record"):
         build = registry.ENTRIES[name][0]
