@@ -9,7 +9,8 @@ order, 48 bits each, in base 64. Texts too short to keep a hash are compared by
 
 Defined results: a null text is an empty text; a text with fewer words than a shingle has one shingle of all its
 words, and a text without words has none; repeated rows are fingerprinted each and follow one another; a null id
-sorts before all others; an empty table gives an empty result; other columns are not read.
+sorts before all others; ids are whole numbers or text of them, and others end in an error of the cast, as the order of
+documents is that of numbers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

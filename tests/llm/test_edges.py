@@ -87,3 +87,13 @@ def test_one_of_each_group_stays(odd):
 def test_models_without_labels(odd):
     assert {row.score for row in ranking.score(odd, None).collect()} == {0.5}
     assert {row.expected_severity for row in severity.score(odd, None).collect()} == {0.0}
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Operator 10 orders documents by number; text ids that are numbers are taken as such, and others are an error."""
+    numbers = spark.createDataFrame([("10", "a b c"), ("9", "d e f")], "doc_id string, text string")
+    rows = {row.doc_id: row for row in sketch.compare_with_edits(numbers).collect()}
+    assert set(rows) == {"9", "10"} and rows["9"].n_chars == 5
+    names = spark.createDataFrame([("x", "a b c"), ("y", "d e f")], "doc_id string, text string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        sketch.compare_with_edits(names).collect()
