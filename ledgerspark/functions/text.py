@@ -104,9 +104,11 @@ def date_text(day: Column) -> Column:
 
 
 def unit_format(value: Column, unit: Column) -> Column:
-    """A metric value in its unit; a missing value is a dash."""
+    """A metric value in its unit; a missing value is a dash. A date is given as the number of its day since 1970."""
     text = (
         F.when(unit == "currency", money_text(value))
+        .when(unit == "signed_currency", signed_money_text(value))
+        .when(unit == "date", date_text(F.date_from_unix_date(F.when(unit == "date", value).cast("int"))))
         .when(unit == "percent", percent_text(value))
         .when(unit == "count", count_text(value))
         .otherwise(F.format_number(value, 2))

@@ -172,3 +172,10 @@ def test_search_text_defaults(spark):
         "merchant: Unknown. merchant_group: Unknown. category: Food. raw_description: . transaction_type: Unknown. "
         "amount: $0.00 credit. date: Unknown. signals: recurring, anomaly. merchant_source: Unknown."
     )
+
+
+def test_signed_money_and_dates_are_units(spark):
+    rows = [(-12.5, "signed_currency"), (1234.0, "signed_currency"), (0.0, "signed_currency"), (None, "signed_currency"), (20089.0, "date"), (None, "date")]
+    frame = spark.createDataFrame(rows, "v double, u string")
+    found = [row[0] for row in frame.select(text.unit_format(F.col("v"), F.col("u"))).collect()]
+    assert found == ["-$12.50", "+$1,234.00", "$0.00", "—", "Jan 1, 2025", "—"]
