@@ -146,6 +146,32 @@ def profile_batch_match(replies: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def rejected_profiles(replies: DataFrame, batch: DataFrame) -> DataFrame:
+    """What ``profile_batch_match`` cannot use, with the reason: whole replies without a readable object or without
+    profiles, and items (``place`` in their reply) that name no merchant or one that was not asked for."""
+    parsed = replies.select("reply_id", "reply", json_slice(F.col("reply")).alias("__slice"))
+    parsed = parsed.withColumn("__profiles", extract_json_object(F.col("reply"), PROFILE_REPLY)["profiles"])
+    readable = F.try_parse_json("__slice").isNotNull()
+    reason = (
+        F.when(F.col("__slice").isNull(), "no object")
+        .when(~readable, "unreadable")
+        .when(F.coalesce(F.size("__profiles"), F.lit(0)) <= 0, "no profiles")
+    )
+    whole = parsed.withColumn("reason", reason).filter("reason is not null")
+    items = parsed.filter(readable).select("reply_id", F.posexplode("__profiles").alias("place", "item"))
+    named = items.withColumn("normalized_merchant", F.nullif(strip(F.col("item.normalized_merchant")), F.lit("")))
+    asked = batch.select("normalized_merchant").distinct()
+    nameless = named.filter("normalized_merchant is null").withColumn("reason", F.lit("no merchant"))
+    strangers = anti_join(named.filter("normalized_merchant is not null"), asked, "normalized_merchant").withColumn("reason", F.lit("not asked for"))
+    found = nameless.unionByName(strangers).select(
+        "reply_id", "place", "normalized_merchant", "reason", F.to_json("item").alias("content")
+    )
+    nothing = F.lit(None).cast("string")
+    return found.unionByName(
+        whole.select("reply_id", F.lit(None).cast("int").alias("place"), nothing.alias("normalized_merchant"), "reason", F.col("reply").alias("content"))
+    )
+
+
 def profile_backfill(
     candidates: DataFrame, cache: DataFrame, replies: DataFrame, model: str, created_at
 ) -> DataFrame:

@@ -350,6 +350,29 @@ def profile_matches(c: Context):
     return enrichment.profile_batch_match(profile_replies(c), enrichment.merchant_candidates(c.fact))
 
 
+def rejects(c: Context):
+    asked = c.fact.select("raw_description", F.col("final_category").alias("raw_category"))
+    return enrichment.rejected_replies(enrichment_replies(c), asked).select("raw_description")
+
+
+def broken_profile_replies(c: Context):
+    """As ``profile_replies``, but by the length of the merchant's name some are no objects, cut short or without profiles."""
+    kind = F.length("normalized_merchant") % 5
+    reply = (
+        F.when(kind == 0, "nothing to say")
+        .when(kind == 1, F.concat(F.substring("reply", 1, 40), F.lit("}")))
+        .when(kind == 2, '{"note": "none"}')
+        .when(kind == 3, F.replace("reply", F.lit("Nobody"), F.lit(" ")))
+        .otherwise(F.col("reply"))
+    )
+    return profile_replies(c).withColumn("reply", reply)
+
+
+def profile_rejects(c: Context):
+    found = enrichment.rejected_profiles(broken_profile_replies(c), enrichment.merchant_candidates(c.fact))
+    return found.groupBy("reason", F.col("place").cast("long").alias("place"), "normalized_merchant").agg(F.count("*").alias("n"))
+
+
 def profile_sentences(c: Context):
     return c.profiles.select(
         "normalized_merchant",
@@ -589,6 +612,14 @@ ENTRIES = {
         f"'{testbed.MODEL}' as model from replies join (select raw_description, min(raw_category) as asked from review "
         "group by 1) using (raw_description) where usable",
     ),
+    "rejected_replies": (rejects, LAYERS + "," + REPLIES_SQL + "select raw_description from replies where not usable"),
+    "rejected_profiles": (
+        profile_rejects,
+        LAYERS + """, kinds as (select normalized_merchant, length(normalized_merchant) % 5 as kind from fact group by 1)
+select case kind when 0 then 'no object' when 1 then 'unreadable' when 2 then 'no profiles' when 3 then 'no merchant'
+       else 'not asked for' end as reason, case when kind >= 3 then 1::bigint end as place,
+       case when kind = 4 then 'Nobody' end as normalized_merchant, count(*) as n from kinds group by all""",
+    ),
     "profile_batch_match": (
         profile_matches,
         LAYERS + "select normalized_merchant, min(merchant_group) as merchant_group, min(final_category) as "
