@@ -62,11 +62,15 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     and only the buckets that hold the two middle ranks are ordered value by value.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bucket", magnitude_bucket(F.col("__value")))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("__rows"))
+    return median_of_counts(counted, keys, value, "__rows", name)
+
+
+def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, rows: str, name: str = "median") -> DataFrame:
+    """``exact_median`` of values that are given with their number of rows, each value of a group once."""
+    keys = list(keys)
+    counted = counts.select(
+        *keys, F.col(value).alias("__value"), F.col(rows).alias("__n"), magnitude_bucket(F.col(value)).alias("__bucket")
     )
     in_order = Window.partitionBy(*keys).orderBy("__bucket")
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,6 +104,33 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return picked.groupBy(*keys).agg(((low + high) / 2).alias(name))
 
 
+class Measures:
+    """Counts, means and medians of the amounts of plain transactions, which the marts are made of."""
+
+    amount = "amount_abs"
+
+    def count(self, condition: Column | None = None) -> Column:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+
+    def mean(self, condition: Column | None = None) -> Column:
+        return mean(self.amount if condition is None else F.when(condition, F.col(self.amount)))
+
+    def largest(self) -> Column:
+        return F.max(self.amount)
+
+    def first(self) -> Column:
+        return F.min("transaction_date")
+
+    def last(self) -> Column:
+        return F.max("transaction_date")
+
+    def median(self, df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        return exact_median(df, keys, self.amount, name)
+
+
+ROWS = Measures()
+
+
 def sample_stddev(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(deviation(value).alias("stddev"))
 

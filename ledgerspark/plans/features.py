@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerspark.functions.amounts import day_gap, null_safe_zscore
 from ledgerspark.functions.rules import anomaly_flag, cadence_label, final_category, recurrence_rule
@@ -63,7 +63,6 @@ def transaction_features(normalized: DataFrame, categories: DataFrame | None = N
     joined = null_safe_left_join(joined, by_category, ["final_category"])
     previous = lag_from_previous(F.col("__first"), F.col("__previous_day"), F.col(day), F.col(tie))
     dated = joined.withColumn("previous_merchant_transaction_date", previous)
-    amount = F.col("amount_abs")
     return dated.select(
         *enriched.columns,
         "merchant_avg_amount",
@@ -71,12 +70,7 @@ def transaction_features(normalized: DataFrame, categories: DataFrame | None = N
         "category_avg_amount",
         "category_std_amount",
         "previous_merchant_transaction_date",
-        null_safe_zscore(amount, F.col("merchant_avg_amount"), F.col("merchant_std_amount")).alias(
-            "zscore_vs_merchant"
-        ),
-        null_safe_zscore(amount, F.col("category_avg_amount"), F.col("category_std_amount")).alias(
-            "zscore_vs_category"
-        ),
+        *[score.alias(name) for name, score in zscores().items()],
         day_gap(F.col("previous_merchant_transaction_date"), F.col(day)).alias(
             "days_since_last_transaction_at_merchant"
         ),
@@ -85,7 +79,6 @@ def transaction_features(normalized: DataFrame, categories: DataFrame | None = N
 
 def recurring_transactions(features: DataFrame) -> DataFrame:
     """Debit history per merchant and category with the recurrence verdict and cadence."""
-    gap = F.col("avg_days_between_transactions")
     history = (
         features.filter("is_debit")
         .groupBy("normalized_merchant", "final_category")
@@ -98,14 +91,32 @@ def recurring_transactions(features: DataFrame) -> DataFrame:
             F.avg("days_since_last_transaction_at_merchant").alias("avg_days_between_transactions"),
         )
     )
+    return with_verdict(history)
+
+
+def with_verdict(history: DataFrame) -> DataFrame:
+    """The recurrence verdict and cadence of each history row."""
+    gap = F.col("avg_days_between_transactions")
     verdict = recurrence_rule(F.col("transaction_count"), gap, F.col("amount_stddev"), F.col("avg_amount"))
     return history.withColumns({"is_recurring": verdict, "cadence": cadence_label(gap)})
 
 
 def fact_transactions(features: DataFrame, recurring: DataFrame) -> DataFrame:
     """One row per transaction with recurrence and anomaly flags."""
+    return with_flags(features, recurring).select(*FACT_COLUMNS)
+
+
+def with_flags(scored: DataFrame, recurring: DataFrame) -> DataFrame:
+    """Recurrence and anomaly flags of rows that have a merchant, a category and z-scores."""
     keys = ["normalized_merchant", "final_category"]
-    joined = composite_left_join(features, recurring.select(*keys, "is_recurring"), keys)
+    joined = composite_left_join(scored, recurring.select(*keys, "is_recurring"), keys)
     flags = anomaly_flag(F.col("is_debit"), F.col("zscore_vs_merchant"), F.col("zscore_vs_category"))
-    flagged = joined.withColumns({"is_recurring": F.coalesce("is_recurring", F.lit(False)), **flags})
-    return flagged.select(*FACT_COLUMNS)
+    return joined.withColumns({"is_recurring": F.coalesce("is_recurring", F.lit(False)), **flags})
+
+
+def zscores() -> dict[str, Column]:
+    """Distance of an amount from the averages of its merchant and its category, in their deviations."""
+    return {
+        f"zscore_vs_{of}": null_safe_zscore(F.col("amount_abs"), F.col(f"{of}_avg_amount"), F.col(f"{of}_std_amount"))
+        for of in ("merchant", "category")
+    }

@@ -1,4 +1,4 @@
-"""Metric marts over the fact."""
+"""Metric marts over the fact. Those with a ``by`` also read rows that stand for many transactions (``Measures``)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from ledgerspark import constants as K
 from ledgerspark.functions import rules
 from ledgerspark.functions.amounts import delta_columns, guarded_change_pct, guarded_ratio, month_bucket, rounded
 from ledgerspark.operators.aggregates import (
+    ROWS,
+    Measures,
     deviation,
     exact_median,
     latest_vs_prior_month,
@@ -26,8 +28,6 @@ from ledgerspark.operators.windows import (
     top_per_partition,
 )
 
-COUNT = "*"
-
 
 def debits_by_month(fact: DataFrame) -> DataFrame:
     return fact.filter("is_debit").withColumn("month", month_bucket(F.col("transaction_date")))
@@ -61,31 +61,31 @@ def mart_recurring_spend(recurring: DataFrame) -> DataFrame:
     )
 
 
-def mart_monthly_spend(fact: DataFrame) -> DataFrame:
+def mart_monthly_spend(fact: DataFrame, by: Measures = ROWS) -> DataFrame:
     monthly = (
         debits_by_month(fact)
         .groupBy("month", "final_category")
         .agg(
             F.sum("amount_abs").alias("total_spend"),
-            F.count(COUNT).alias("transaction_count"),
-            mean("amount_abs").alias("avg_transaction_amount"),
+            by.count().alias("transaction_count"),
+            by.mean().alias("avg_transaction_amount"),
         )
     )
     return lag_partitioned(monthly, "final_category", "month", "total_spend")
 
 
-def mart_monthly_kpis(fact: DataFrame) -> DataFrame:
+def mart_monthly_kpis(fact: DataFrame, by: Measures = ROWS) -> DataFrame:
     debits = debits_by_month(fact)
     months = debits.groupBy("month").agg(
         F.sum("amount_abs").alias("total_spend"),
-        F.count(COUNT).alias("transaction_count"),
-        mean("amount_abs").alias("avg_transaction_amount"),
+        by.count().alias("transaction_count"),
+        by.mean().alias("avg_transaction_amount"),
         total("amount_abs", F.col("is_recurring")).alias("recurring_spend"),
-        F.count_if("is_anomaly").alias("anomaly_count"),
+        by.count(F.col("is_anomaly")).alias("anomaly_count"),
         total("amount_abs", F.col("is_anomaly")).alias("anomaly_spend"),
     )
     leaders = [
-        exact_median(debits, ["month"], "amount_abs", "median_transaction_amount"),
+        by.median(debits, ["month"], "median_transaction_amount"),
         top_per_partition(debits, "month", "final_category", "amount_abs", "top_category", "top_category_spend"),
         top_per_partition(debits, "month", "normalized_merchant", "amount_abs", "top_merchant", "top_merchant_spend"),
     ]
@@ -112,14 +112,14 @@ def mart_monthly_kpis(fact: DataFrame) -> DataFrame:
     )
 
 
-def mart_category_metrics(fact: DataFrame) -> DataFrame:
+def mart_category_metrics(fact: DataFrame, by: Measures = ROWS) -> DataFrame:
     debits = debits_by_month(fact)
     key = "final_category"
     base = debits.groupBy(key).agg(
         F.sum("amount_abs").alias("total_spend"),
-        F.count(COUNT).alias("transaction_count"),
-        mean("amount_abs").alias("avg_transaction_amount"),
-        F.max("amount_abs").alias("largest_transaction_amount"),
+        by.count().alias("transaction_count"),
+        by.mean().alias("avg_transaction_amount"),
+        by.largest().alias("largest_transaction_amount"),
     )
     monthly = two_level_aggregate(debits, [key, "month"], [key], "amount_abs")
     leader = top_per_partition(
@@ -152,7 +152,7 @@ def mart_category_metrics(fact: DataFrame) -> DataFrame:
 SOURCE_PREFIX = {"fallback": K.SOURCE_FALLBACK, "cohere": K.SOURCE_ENRICHED, "seed_rule": K.SOURCE_RULE}
 
 
-def mart_spend_kpis(fact: DataFrame, recurring_mart: DataFrame) -> DataFrame:
+def mart_spend_kpis(fact: DataFrame, recurring_mart: DataFrame, by: Measures = ROWS) -> DataFrame:
     """One row of global figures; every rate and share is over debits only."""
     debit, amount = F.col("is_debit"), "amount_abs"
     anomaly = debit & F.col("is_anomaly")
@@ -160,16 +160,16 @@ def mart_spend_kpis(fact: DataFrame, recurring_mart: DataFrame) -> DataFrame:
     for prefix, source in SOURCE_PREFIX.items():
         from_source = debit & (F.col("merchant_source") == source)
         sources += [
-            F.count_if(from_source).alias(f"{prefix}_transaction_count"),
+            by.count(from_source).alias(f"{prefix}_transaction_count"),
             total(amount, from_source).alias(f"{prefix}_spend"),
         ]
     base = fact.agg(
         total(amount, debit).alias("total_spend"),
         total(amount, F.col("is_credit")).alias("credit_amount"),
-        F.count(COUNT).alias("transaction_count"),
-        F.count_if(debit).alias("debit_transaction_count"),
-        mean(F.when(debit, F.col(amount))).alias("avg_transaction_amount"),
-        F.count_if(anomaly).alias("anomaly_count"),
+        by.count().alias("transaction_count"),
+        by.count(debit).alias("debit_transaction_count"),
+        by.mean(debit).alias("avg_transaction_amount"),
+        by.count(anomaly).alias("anomaly_count"),
         total(amount, anomaly).alias("anomaly_spend"),
         *sources,
     )
@@ -184,7 +184,7 @@ def mart_spend_kpis(fact: DataFrame, recurring_mart: DataFrame) -> DataFrame:
     )
     wide = scalar_cross_join(
         base,
-        exact_median(debits, [], amount, "median_transaction_amount"),
+        by.median(debits, [], "median_transaction_amount"),
         leader("final_category", "top_category"),
         leader("normalized_merchant", "top_merchant"),
         top_n_sum(debits, "normalized_merchant", amount, 5, "top_5_merchant_spend"),
@@ -233,19 +233,19 @@ def mart_spend_kpis(fact: DataFrame, recurring_mart: DataFrame) -> DataFrame:
     )
 
 
-def mart_data_quality(fact: DataFrame) -> DataFrame:
+def mart_data_quality(fact: DataFrame, by: Measures = ROWS) -> DataFrame:
     by_source = (
         fact.filter("is_debit")
         .groupBy("merchant_source", "category_source")
         .agg(
-            F.count(COUNT).alias("transaction_count"),
+            by.count().alias("transaction_count"),
             F.sum("amount_abs").alias("total_spend"),
             F.count_distinct("raw_description").alias("unique_raw_descriptions"),
             F.count_distinct("normalized_merchant").alias("unique_normalized_merchants"),
         )
     )
     whole = fact.filter("is_debit").agg(
-        F.count(COUNT).alias("__count"), F.sum("amount_abs").alias("__spend")
+        by.count().alias("__count"), F.sum("amount_abs").alias("__spend")
     )
     wide = scalar_cross_join(by_source, whole)
     return wide.select(
@@ -271,16 +271,16 @@ REVIEW_KEYS = [
 ]
 
 
-def mart_merchant_review(fact: DataFrame) -> DataFrame:
+def mart_merchant_review(fact: DataFrame, by: Measures = ROWS) -> DataFrame:
     """Review queue: one row per description and resolution, with reason and priority."""
     debit = F.col("is_debit")
     grouped = fact.groupBy(*REVIEW_KEYS).agg(
-        F.count(COUNT).alias("transaction_count"),
+        by.count().alias("transaction_count"),
         total("amount_abs", debit).alias("total_spend"),
-        rounded(mean(F.when(debit, F.col("amount_abs"))), 2).alias("avg_debit_amount"),
-        F.min("transaction_date").alias("first_seen"),
-        F.max("transaction_date").alias("last_seen"),
-        F.count_if("is_anomaly").alias("anomaly_count"),
+        rounded(by.mean(debit), 2).alias("avg_debit_amount"),
+        by.first().alias("first_seen"),
+        by.last().alias("last_seen"),
+        by.count(F.col("is_anomaly")).alias("anomaly_count"),
         F.bool_or(F.coalesce("is_recurring", F.lit(False))).alias("has_recurring_flag"),
     )
     source, count, spend = F.col("merchant_source"), F.col("transaction_count"), F.col("total_spend")
@@ -307,7 +307,7 @@ def period_base(fact: DataFrame) -> DataFrame:
 
     base = debits.groupBy(key).agg(
         F.sum(amount).alias("total_spend"),
-        F.count(COUNT).alias("debit_transaction_count"),
+        F.count(F.lit(1)).alias("debit_transaction_count"),
         mean(amount).alias("avg_transaction_amount"),
         guarded_ratio(deviation(amount), mean(amount)).alias("transaction_amount_volatility"),
         total(amount, F.col("is_anomaly")).alias("anomaly_spend"),

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerspark import testbed
 from ledgerspark.constants import REQUIRED_COLUMNS
-from ledgerspark.functions.amounts import rounded
+from ledgerspark.functions.amounts import parse_us_date, rounded
 from ledgerspark.plans.marts import mart_merchant_review, mart_recurring_spend
 from ledgerspark.plans.daily import mart_daily_metric_values
+from ledgerspark.plans.incremental import Stored, marts_of_states, refresh_changed, refresh_whole
 from ledgerspark.plans.pipeline import Layers, build_layers
 from ledgerspark.plans.search import attach_embeddings, build_search_documents, profile_lookup
 from ledgerspark.session import prepare, scratch_path, stored
+from ledgerspark.sources.warehouse import Warehouse
 
 
 class Context:
@@ -69,6 +71,19 @@ class Context:
         self.raw.select(*[F.col(f"`{name}`") for name in REQUIRED_COLUMNS]).write.option("header", True).csv(path)
         return path
 
+    @cached_property
+    def loaded(self) -> Stored:
+        """The transactions in two loads: the second one repeats a year of the first and brings late rows of another."""
+        warehouse = Warehouse(self.spark, scratch_path(self.spark, "loads"))
+        year = F.year(parse_us_date(F.col("Transaction Date")))
+        late = (year == 1997) & F.col("Category").eqNullSafe("5-LOW")
+        refresh_whole(self.raw.filter((year <= 1998) & ~late), self.rules, self.enrichment_cache, warehouse)
+        return refresh_changed(self.raw.filter((year >= 1998) | late), self.rules, self.enrichment_cache, warehouse)
+
+    @cached_property
+    def loaded_marts(self) -> dict[str, DataFrame]:
+        return marts_of_states(self.loaded)
+
     @property
     def profiles(self) -> DataFrame:
         return testbed.profile_cache(self.fact)

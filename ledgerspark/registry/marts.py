@@ -587,3 +587,21 @@ d:prior_window_end=max(day) - 30""") + " from sided",
     ),
     "summary_record": (summary, SUMMARY_SQL),
 }
+
+# The same marts from month states that two overlapping loads were merged into.
+ENTRIES |= {
+    f"loaded_{name}": (lambda c, name=name: c.loaded_marts[name], ENTRIES[name][1])
+    for name in (
+        "mart_recurring_spend",
+        "mart_monthly_spend",
+        "mart_monthly_kpis",
+        "mart_category_metrics",
+        "mart_spend_kpis",
+        "mart_data_quality",
+        "mart_merchant_review",
+    )
+}
+ENTRIES |= {
+    "loaded_fact_transactions": (lambda c: c.loaded.fact(), ENTRIES["fact_transactions"][1]),
+    "loaded_mart_anomalies": (lambda c: marts.mart_anomalies(c.loaded.fact()), ENTRIES["mart_anomalies"][1]),
+}

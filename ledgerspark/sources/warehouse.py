@@ -54,6 +54,27 @@ class Warehouse:
         self.swap(fresh, self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def append(self, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
+        """Add rows to a table as new files; what is there stays untouched. Returns the stored table."""
+        frame_writer(df, partition_by).mode("append").parquet(self.path(table))
+        return self.spark.read.schema(df.schema).parquet(self.path(table))
+
+    def replace_partitions(self, df: DataFrame, table: str, partition_by: Sequence[str]) -> DataFrame:
+        """Replace the partitions that a frame has rows for; the files of all others keep their names. The frame may not
+        read the table. Returns the stored table."""
+        writer = frame_writer(df, partition_by).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.parquet(self.path(table))
+        return self.spark.read.schema(df.schema).parquet(self.path(table))
+
+    def declared(self, table: str, schema: StructType) -> DataFrame:
+        """A table under a given schema; an empty frame where there is no table."""
+        try:
+            return self.spark.read.schema(schema).parquet(self.path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def swap(self, fresh: str, current: str) -> None:
         """Put a complete folder in the place of another one, which goes when the new one is there."""
         new, system = file_system(self.spark, fresh)
