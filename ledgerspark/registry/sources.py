@@ -11,8 +11,9 @@ from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans.marts import mart_monthly_spend
 from ledgerspark.plans.pipeline import build_marts
 from ledgerspark.registry.context import Context
-from ledgerspark.session import scratch_path
+from ledgerspark.session import scratch_path, stored
 from ledgerspark.sources import files
+from ledgerspark.sources.bucketed import BucketedCache
 from ledgerspark.sources.warehouse import Warehouse, lenient_datetime
 
 SNAKE = {
@@ -83,13 +84,13 @@ def mart_scan(c: Context):
     return house.mart_scan("mart_monthly_spend")
 
 
-def _versions(c: Context, new: bool):
+def _versions(c: Context, new: bool, key: str = "c_mktsegment"):
     """Orders as versions of cache rows by description and priority; finished orders are the old cache."""
     day = F.col("o_orderdate").cast("date").cast("timestamp")
     finished = F.col("o_orderstatus") == "F"
     joined = testbed.orders_with_customer(c.spark, c.dir)
     return joined.filter(~finished if new else finished).select(
-        "c_mktsegment",
+        key,
         F.col("o_orderpriority").alias("model"),
         F.col("o_orderkey").alias("version"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
@@ -103,6 +104,15 @@ def upsert(c: Context):
     return cache_upsert(cache, _versions(c, True), keys)
 
 
+def bucketed_upsert(c: Context):
+    """The same versions by customer, in a stored cache of buckets."""
+    old, new = (stored(_versions(c, fresh, "o_custkey"), "versions") for fresh in (False, True))
+    tasks = int(c.spark.conf.get("spark.sql.shuffle.partitions"))
+    cache = BucketedCache(c.spark, scratch_path(c.spark, "bucketed"), old.schema, ["o_custkey", "model"], buckets=tasks)
+    cache.upsert(old)
+    return cache.upsert(new)
+
+
 def lookup(c: Context):
     ids = c.staged.select("raw_description")
     return cache_lookup(ids, c.enrichment_cache, "raw_description", "model", testbed.MODEL).drop("created_at")
@@ -191,6 +201,16 @@ ENTRIES = {
         "select *, row_number() over (partition by c_mktsegment, model order by day desc, fresh desc, version desc) "
         "as place from versions) where place = 1",
     ),
+    "bucketed_cache_upsert": (
+        bucketed_upsert,
+        "with versions as (select o_custkey, o_orderpriority as model, o_orderkey as version, "
+        "o_totalprice::decimal(18,2) as amount, o_orderdate::date as day, o_orderstatus <> 'F' as fresh "
+        "from orders) "
+        "select o_custkey, model, version, " + out("n:amount")
+        + ", strftime(day, '%Y-%m-%d 00:00:00') as created_at from ("
+        "select *, row_number() over (partition by o_custkey, model order by day desc, fresh desc, version desc) "
+        "as place from versions) where place = 1",
+    ),
     "cache_lookup": (
         lookup,
         LAYERS + "select raw_description, suggested_merchant, suggested_category, suggested_merchant_group, "
