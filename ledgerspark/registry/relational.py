@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerspark import testbed
-from ledgerspark.operators import aggregates as agg, calendar, joins, ordering, sketches, windows
+from ledgerspark.operators import aggregates as agg, calendar, joins, ordering, scans, sketches, windows
 from ledgerspark.operators.caches import stale_cache_split
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans import enrichment, normalization, search, slices
@@ -208,6 +208,17 @@ def rank_over_aggregate(c: Context):
     return windows.rank_over_aggregate(monthly_debits(c), "month", MERCHANT, AMOUNT, "merchant_spend", "rank", 1)
 
 
+def transaction_series(c: Context):
+    """All transactions as one series in the order of day and id, with sums and values of earlier ones."""
+    placed = scans.with_positions(c.fact.select(ID, DAY, AMOUNT), [F.col(DAY).asc(), F.col(ID).asc()])
+    frames = {
+        "last_30_amount": lambda window: F.sum(AMOUNT).over(window.rowsBetween(-29, 0)),
+        "earlier_30_amount": lambda window: F.lag(AMOUNT, 30).over(window),
+    }
+    framed = scans.bounded_frames(placed, "position", 30, frames, block_rows=4096)
+    return scans.running_total(framed, "position", AMOUNT, "amount_so_far", block_rows=4096)
+
+
 def period_rank(c: Context):
     rows = calendar.period_bucket(c.fact, DAY).filter("is_debit")
     return windows.rank_over_aggregate(rows, "period_name", MERCHANT, AMOUNT, "spend", "rank", 5)
@@ -532,6 +543,14 @@ ENTRIES = {
                                     "i:merchant_rank=row_number() over (order by spend desc, normalized_merchant)")
         + " from merchant_spend",
     ),
+    "transaction_series": (
+        transaction_series,
+        LAYERS + "select " + out("""s:transaction_id;d:transaction_date;n:amount_abs
+i:position=row_number() over (order by transaction_date, transaction_id) - 1
+n:last_30_amount=sum(amount_abs) over (order by transaction_date, transaction_id rows 29 preceding)
+n:earlier_30_amount=lag(amount_abs, 30) over (order by transaction_date, transaction_id)
+n:amount_so_far=sum(amount_abs) over (order by transaction_date, transaction_id)""") + " from fact",
+    ),
     "lag_ordered_global": (
         lambda c: windows.lag_ordered_global(month_totals(c), "month", "total_spend", "previous_month_spend"),
         ALL_MARTS + "select " + out("d:month;n:total_spend;n:previous_month_spend=before") + " from monthly_kpis",
