@@ -159,8 +159,8 @@ def fold(flagged: DataFrame) -> DataFrame:
 class FoldedMeasures(Measures):
     """Measures of folded rows. Medians need the amounts themselves and read the debits of the amount states."""
 
-    def __init__(self, amounts: DataFrame):
-        self.debits = amounts.filter("is_debit and amount_abs is not null")
+    def __init__(self, amounts: DataFrame | None = None):
+        self.debits = None if amounts is None else amounts.filter("is_debit and amount_abs is not null")
 
     def count(self, condition: Column | None = None) -> Column:
         rows = F.col("rows") if condition is None else F.when(condition, F.col("rows"))
@@ -183,6 +183,8 @@ class FoldedMeasures(Measures):
         return F.max("last_seen")
 
     def median(self, df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        if self.debits is None:
+            raise ValueError("a median needs the amount states")
         counts = self.debits.groupBy(*keys, self.amount).agg(F.sum("rows").alias("rows"))
         return median_of_counts(counts, keys, self.amount, "rows", name)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerspark import constants as K
 from ledgerspark.functions.amounts import guarded_ratio, month_bucket
 from ledgerspark.functions.rules import severity_score
-from ledgerspark.operators.aggregates import mean, total
+from ledgerspark.operators.aggregates import ROWS, Measures, mean, total
 from ledgerspark.operators.joins import scalar_cross_join, visible_semi_join
 from ledgerspark.operators.ordering import display_position, multi_key_sort, top_k_limit, top_one
 
@@ -18,15 +18,15 @@ def spend_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.filter("is_debit").groupBy(*keys).agg(F.sum(AMOUNT).alias(AMOUNT))
 
 
-def kpi_row(filtered: DataFrame) -> DataFrame:
+def kpi_row(filtered: DataFrame, by: Measures = ROWS) -> DataFrame:
     """Headline figures of a selection as one row, also for an empty selection."""
     debit = F.col("is_debit")
     base = filtered.agg(
         total(AMOUNT, debit).alias("spend"),
         total(AMOUNT, F.col("is_credit")).alias("credits"),
-        F.count_if("is_anomaly").alias("anomaly_count"),
-        F.count(F.lit(1)).alias("transaction_count"),
-        mean(F.when(debit, F.col(AMOUNT))).alias("avg_debit"),
+        by.count(F.col("is_anomaly")).alias("anomaly_count"),
+        by.count().alias("transaction_count"),
+        by.mean(debit).alias("avg_debit"),
         total(AMOUNT, debit & F.col("is_recurring")).alias("recurring_total"),
     )
     leader = top_one(spend_by(filtered, "final_category"), [(AMOUNT, "desc"), ("final_category", "asc")])
@@ -269,12 +269,12 @@ def top_categories(filtered: DataFrame, k: int = 5) -> DataFrame:
     return leaders.withColumn("spend_share", guarded_ratio(F.col(AMOUNT), whole))
 
 
-def recurring_merchants(filtered: DataFrame, k: int = 5) -> DataFrame:
+def recurring_merchants(filtered: DataFrame, k: int = 5, by: Measures = ROWS) -> DataFrame:
     keys = ["normalized_merchant", "final_category"]
     grouped = (
         filtered.filter("is_debit and is_recurring")
         .groupBy(*keys)
-        .agg(F.sum(AMOUNT).alias(AMOUNT), F.count("transaction_id").alias("transaction_count"))
+        .agg(F.sum(AMOUNT).alias(AMOUNT), by.count().alias("transaction_count"))
     )
     order = [(AMOUNT, "desc"), ("transaction_count", "desc"), (keys[0], "asc"), (keys[1], "asc")]
     return top_k_limit(grouped, order, k)

@@ -10,6 +10,7 @@ from ledgerspark import testbed
 from ledgerspark.constants import REQUIRED_COLUMNS
 from ledgerspark.functions.amounts import parse_us_date, rounded
 from ledgerspark.plans.marts import mart_merchant_review, mart_recurring_spend
+from ledgerspark.plans.cube import write_cube
 from ledgerspark.plans.daily import mart_daily_metric_values
 from ledgerspark.plans.incremental import Stored, marts_of_states, refresh_changed, refresh_whole
 from ledgerspark.plans.pipeline import Layers, build_layers
@@ -52,6 +53,10 @@ class Context:
     def fact(self) -> DataFrame:
         return self.layers.fact
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        return write_cube(self.fact, Warehouse(self.spark, scratch_path(self.spark, "cube")))
+
     @property
     def recurring_mart(self) -> DataFrame:
         return mart_recurring_spend(self.layers.recurring)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.filters import filter_transactions
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
 from ledgerspark.plans import marts, narrative, slices
+from ledgerspark.plans.cube import MEASURES
 from ledgerspark.plans.daily import daily_totals, expand_runs, mart_daily_metric_runs, mart_daily_metric_values
 from ledgerspark.plans.features import fact_transactions, recurring_transactions, transaction_features
 from ledgerspark.plans.normalization import normalize_merchants
@@ -23,6 +24,14 @@ def selection(c: Context):
     return filter_transactions(c.fact, START, END)
 
 
+def cube_selection(c: Context):
+    return filter_transactions(c.cube, START, END)
+
+
+def cube_change(c: Context):
+    return slices.change_table(cube_selection(c).filter("is_debit"), "normalized_merchant", slices.anchor_date(cube_selection(c)))
+
+
 def daily_selection(c: Context):
     return daily_totals(c.fact, START, END)
 
@@ -605,3 +614,19 @@ ENTRIES |= {
     "loaded_fact_transactions": (lambda c: c.loaded.fact(), ENTRIES["fact_transactions"][1]),
     "loaded_mart_anomalies": (lambda c: marts.mart_anomalies(c.loaded.fact()), ENTRIES["mart_anomalies"][1]),
 }
+
+# The same slices from the stored cube.
+ENTRIES |= {
+    f"cube_{name}": (build, ENTRIES[name][1])
+    for name, build in {
+        "kpi_row": lambda c: slices.kpi_row(cube_selection(c), MEASURES),
+        "spend_by_month_category": lambda c: slices.spend_by_month_category(cube_selection(c)),
+        "spend_by_category": lambda c: slices.spend_by_category(cube_selection(c)),
+        "top_merchants": lambda c: slices.top_merchants(cube_selection(c)),
+        "daily_spend": lambda c: slices.daily_spend(cube_selection(c)),
+        "rolling_windows": lambda c: slices.rolling_windows(cube_selection(c), slices.anchor_date(cube_selection(c))),
+        "change_table": cube_change,
+        "top_categories": lambda c: slices.top_categories(cube_selection(c)),
+        "recurring_merchants": lambda c: slices.recurring_merchants(cube_selection(c), by=MEASURES),
+    }.items()
+}
