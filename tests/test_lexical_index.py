@@ -78,3 +78,16 @@ def test_no_products_in_the_plan(made):
     for frame in (lexical_index.indexed_search(queries, index), lexical_index.indexed_top_k(queries, index)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_shared_units_are_looked_up_once(spark, made):
+    """Ten times the queries with the same words bring no further row to the look-ups, and no such table is broadcast."""
+    index = lexical_index.build_lexical_index(made[1], "text", "doc_id")
+
+    def matched(count):
+        asked = [(n, "coffee hotel market", None) for n in range(count)]
+        return lexical_index.matched_units(spark.createDataFrame(asked, "query_id long, query_text string, embedding array<float>"), index)
+
+    assert matched(3).count() == matched(30).count() > 0
+    plan = lexical_index.unit_scores(matched(3), index)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
