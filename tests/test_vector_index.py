@@ -84,3 +84,30 @@ def test_odd_vectors(spark):
     assert set(found) == {1, 4, 6} and [doc for doc, _ in found[1]][:2] == [1, 6]
     empty = build_vector_index(frame.limit(0), "doc_id")
     assert vector_search(queries, empty, 3).collect() == []
+
+
+def test_scores_and_ties_are_those_of_the_expression(spark, vectors, monkeypatch):
+    """Every bit as ``cosine_similarity`` gives it, and copies by id, however the queries and vectors are dealt."""
+    from pyspark.sql import functions as F
+
+    from ledgerspark.functions.vectors import cosine_similarity
+
+    monkeypatch.setattr(vector_index, "SLICE_ROWS", 700)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 9)
+    frame = vectors[1]
+    queries = frame.where("doc_id % 100 = 5").withColumnRenamed("doc_id", "query_id")
+    index = build_vector_index(frame, "doc_id")
+    pairs = queries.select("query_id", F.col("embedding").alias("asked")).crossJoin(frame)
+    best = {}
+    for row in pairs.select("query_id", "doc_id", cosine_similarity(F.col("embedding"), F.col("asked")).alias("score")).collect():
+        best.setdefault(row.query_id, []).append((-row.score, row.doc_id))
+    found = by_query(vector_search(queries, index, 60, probes=None))
+    assert found == {query: [(doc, -score) for score, doc in sorted(rows)[:60]] for query, rows in best.items()}
+
+
+def test_few_rows_are_left_to_rank(spark, vectors):
+    """What is ranked grows with queries times tiles, not with pairs."""
+    frame = vectors[1]
+    queries = frame.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    plan = vector_search(queries, build_vector_index(frame, "doc_id"), 5, probes=None)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join" not in plan
