@@ -54,3 +54,13 @@ def test_a_refresh_stores_runs_only(spark, tmp_path):
     march = as_mapping(stored_daily_mart(house, "2025-03-01", "2025-03-02"))
     assert march == {key: value for key, value in as_mapping(dense).items() if str(key[-1]) in ("2025-03-01", "2025-03-02")}
     assert marts[DAILY_RUNS].count() < dense.count()  # something happens every other day here
+
+
+def test_derived_columns_are_worked_out_once_for_equal_days(spark):
+    """They equal those of the dense rows and are computed below the step that makes the days."""
+    mark = F.md5(F.concat_ws("|", "normalized_merchant", F.col("metric_value").cast("string"), F.col("metric_value_l30d").cast("string"),
+                             F.coalesce(F.col("metric_value_prior_l30d").cast("string"), F.lit("none"))))
+    dense = daily.mart_daily_metric_values(small_fact(spark), derived={"mark": mark})
+    assert dense.count() > 500 and dense.where(F.col("mark") != mark).count() == 0
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence") < plan.index("md5(")
