@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def dq_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,6 +61,9 @@ def dq_columns(df: DataFrame, not_null: Sequence[str] = (), unique: Sequence[str
     for name in dict.fromkeys([*not_null, *unique]):
         entry = F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value"))
         entries.append(entry if name in unique else F.when(F.col(name).isNull(), entry))
+    if not unique and not_null:
+        # Only rows that lack something have entries; the others are dropped before anything is built for them.
+        df = df.where(reduce(Column.__or__, [F.col(name).isNull() for name in not_null]))
     counted = df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     own, missing = F.col("column_name"), F.col("value").isNull()
     tests = {f"{name} not_null": F.sum(F.when((own == name) & missing, F.col("n"))) for name in not_null}

@@ -29,3 +29,11 @@ def test_one_scan_and_one_exchange_of_values(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
     assert findings(found) == {("id", "not_null"): 0, ("day", "not_null"): 50, ("id", "unique"): 1, ("other", "unique"): 1, ("note", "unique"): 1}
+
+
+def test_rows_that_lack_nothing_are_dropped_first(spark):
+    frame = spark.range(10).selectExpr("id as a", "if(id < 3, null, id) as b")
+    found = dq_columns(stored(frame, "nulls"), ["a", "b"])
+    assert {(r.column_name, r.failures) for r in found.collect()} == {("a", 0), ("b", 3)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Filter (isnull(a")
