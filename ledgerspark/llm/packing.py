@@ -206,13 +206,9 @@ def pack(
     """
     histogram = {row.length: row.n for row in importable(pieces).groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_bins(histogram, tokens, documents or tokens, attention or tokens * tokens, weights, rule)
-    lengths = sorted(histogram)
-    blocks = np.array([-(-n // max(BLOCK_ROWS, int(n**0.5))) for n in map(histogram.get, lengths)], dtype=np.int64)
-    lengths = np.array(lengths, dtype=np.int64)
-
-    @F.pandas_udf("bigint")
-    def block(length: pd.Series, spread: pd.Series) -> pd.Series:
-        return pd.Series(spread.to_numpy() % blocks[np.searchsorted(lengths, length.to_numpy())])
+    # Looked up by Spark: a function in Python would run twice in one task, each time with workers of its own.
+    counts = (histogram.get(length, 1) for length in range(1, max(histogram, default=1) + 1))
+    blocks = F.split(F.lit(",".join(str(-(-n // max(BLOCK_ROWS, int(n**0.5)))) for n in counts)), ",").cast("array<bigint>")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -220,7 +216,7 @@ def pack(
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     spread = F.shiftrightunsigned(F.xxhash64("doc_id", "piece"), 1)
-    dealt = pieces.withColumn("block", block(F.col("length"), spread))
+    dealt = pieces.withColumn("block", spread % F.get(blocks, F.col("length").cast("int") - 1))
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
