@@ -8,6 +8,7 @@ from ledgerspark import testbed
 from ledgerspark.operators.caches import cache_lookup, cache_upsert
 from ledgerspark.constants import REQUIRED_COLUMNS
 from ledgerspark.oracle.base import ALL_MARTS, LAYERS, WITH_DAILY, out
+from ledgerspark.plans.daily import mart_daily_metric_runs, write_daily_mart
 from ledgerspark.plans.marts import mart_monthly_spend
 from ledgerspark.plans.pipeline import build_marts
 from ledgerspark.registry.context import Context
@@ -131,7 +132,10 @@ def materialise_layers(c: Context):
     house = Warehouse(c.spark, scratch_path(c.spark, "warehouse"))
     counts = None
     for name, frame in build_marts(c.layers).items():
-        written = house.full_refresh_write(frame, name)
+        if name == "mart_daily_metric_values":
+            written = write_daily_mart(mart_daily_metric_runs(c.fact), house, name)
+        else:
+            written = house.full_refresh_write(frame, name)
         line = written.agg(F.lit(name).alias("mart"), F.count("*").alias("row_count"))
         counts = line if counts is None else counts.unionByName(line)
     return counts
