@@ -118,3 +118,28 @@ def test_only_affected_files_are_written(spark, tmp_path):
     written = after.join(layout, ["shard", "part", "path"], "left_anti")
     assert {row.part for row in written.collect()} == {was[i][1] for i in moved}
     assert resharding.rewrite(after, folder, shards=3).join(after, ["shard", "part", "path"], "left_anti").count() <= 2
+
+
+def test_rows_move_whole_and_others_stay(spark, odd):
+    """The result is read from shards in which all columns of a moved row were written again, and nothing else was."""
+    rows = [(i, f"text {i} " * (i % 30), i % 7, f"more {i}") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, home int, more string").repartition(4)
+    lies = resharding.move_rows(table, F.when(F.col("home") < 5, F.lit(0)).otherwise(F.col("home") - 4), shards=3, blocks=32)
+    assert sorted(tuple(row.record) for row in lies.stayed.unionByName(lies.moved).select("record").collect()) == sorted(rows)
+    moved = {row.record.doc_id for row in lies.moved.collect()}
+    assert 0 < len(moved) < 600 and moved.isdisjoint(row.record.doc_id for row in lies.stayed.collect())
+    held = spark.read.parquet(lies.new_path)
+    assert {row.record.doc_id for row in held.collect()} == moved and {row.record.more for row in held.collect()} == {f"more {i}" for i in moved}
+    assert all(row.shard != row.old for row in held.collect())
+    assert {row.old for row in spark.read.parquet(lies.old_path).collect()} == {0, 1, 2}
+    everything = resharding.move_rows(odd, resharding.by_source("source"))
+    kept = everything.stayed.unionByName(everything.moved).select("record.*")
+    assert kept.columns == odd.columns and kept.exceptAll(odd).isEmpty() and odd.exceptAll(kept).isEmpty()
+
+
+def test_checksums_are_of_what_arrived(spark):
+    table = spark.createDataFrame([(i, "abc" * i, i % 2) for i in range(60)], "doc_id long, text string, home int")
+    found = resharding.reshard(table, F.col("home"), shards=3, blocks=8)
+    files = found.inputFiles()
+    assert any("new-shards" in name for name in files) and any("old-shards" in name for name in files)
+    assert len(found.collect()) == 60
